@@ -84,7 +84,7 @@ def product_features(name: Column, brand: Column, category: Column, description:
     """Text that describes a product; falls back to the name when all parts are blank."""
     parts = [F.coalesce(_c(part), F.lit("")) for part in (name, brand, category, description)]
     joined = F.concat_ws(" ", *parts)
-    return F.coalesce(F.nullif(F.trim(joined), F.lit("")), _c(name))
+    return F.when(F.trim(joined) == "", _c(name)).otherwise(joined)
 
 
 def price_band(price: Column | str, cuts: tuple[float, ...] = PRICE_CUTS) -> Column:
@@ -115,11 +115,11 @@ def parse_flexible_date(text: Column | str) -> Column:
     ).cast("date")
 
 
-def best_algorithm(cf: Column | str, mf: Column | str, hybrid: Column | str) -> Column:
-    """Name of the highest score; ties go to hybrid, then cf."""
+def best_algorithm(cf="cf", mf="mf", hybrid="hybrid", labels=("cf", "mf", "hybrid")) -> Column:
+    """Label of the highest of three scores; ties go to the third, then to the first."""
     cf, mf, hybrid = _c(cf), _c(mf), _c(hybrid)
     top = F.greatest(cf, mf, hybrid)
-    return F.when(hybrid == top, "hybrid").when(cf == top, "cf").otherwise("mf")
+    return F.when(hybrid == top, labels[2]).when(cf == top, labels[0]).otherwise(labels[1])
 
 
 def nonnegative_clamp(value: Column | str) -> Column:

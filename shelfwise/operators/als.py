@@ -81,7 +81,7 @@ def mf_sweep(
     ranks: Sequence[int] = SWEEP_RANKS,
     iterations: Sequence[int] = SWEEP_ITERATIONS,
     regularisations: Sequence[float] = (REGULARISATION,),
-    parallelism: int = 2,
+    parallelism: int = 6,
 ) -> TrainValidationSplitModel:
     """Fit the grid on 80 % and compare the settings on the rest; ``validationMetrics`` holds the errors."""
     model = als()

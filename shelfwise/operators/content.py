@@ -9,6 +9,7 @@ from shelfwise.functions import columns as C
 from shelfwise.operators.ranking import top_n
 from shelfwise.operators.similarity import SHORT_LIST, top_k_of_classes
 from shelfwise.operators.text import distinct_texts, tfidf
+from shelfwise.session import cut_lineage
 
 
 def product_vectors(products: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +28,7 @@ def similar_products(
     """``(product_id, similar_id, similarity, rank)`` for the wanted products only."""
     queries = wanted.select(F.col("product_id").alias("id")).distinct()
     classes, vectors = product_vectors(products)
-    pairs = top_k_of_classes(queries, classes, vectors, n, short_list)
+    pairs = top_k_of_classes(queries, cut_lineage(classes), cut_lineage(vectors), n, short_list)
     named = pairs.select(
         F.col("qid").alias("product_id"), F.col("vid").alias("similar_id"), F.col("sim").alias("similarity")
     )

@@ -62,7 +62,7 @@ def product_score_table(
         recommendations.groupBy("user_id", "product_id")
         .pivot("algorithm", list(columns)).agg(F.max("score")).na.fill(0.0, list(columns))
     )
-    return wide.withColumn("best_algorithm", C.best_algorithm(*columns))
+    return wide.withColumn("best_algorithm", C.best_algorithm(*columns, labels=columns))
 
 
 def latency_summary(requests: DataFrame) -> DataFrame:

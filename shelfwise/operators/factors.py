@@ -7,7 +7,10 @@ sums combine map-side. Only k by k Gram matrices reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,26 +53,44 @@ def multiply(cells: DataFrame, factors: DataFrame, on: str, by: str, k: int) ->
     )
 
 
-def gram(factors: DataFrame, k: int) -> np.ndarray:
-    """The k by k matrix of factor products: fixed size, whatever the number of rows."""
-    cells = [(i, j) for i in range(k) for j in range(i, k)]
-    row = factors.agg(
-        *[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"g{i}_{j}") for i, j in cells]
-    ).first()
+def gram(factors: DataFrame, k: int, other: list[str] | None = None) -> np.ndarray:
+    """The k by k matrix of factor products: fixed size, whatever the number of rows.
+
+    Every task adds up its own rows; what is shuffled and returned are k*k sums. With
+    ``other``, products between the factors and those columns.
+    """
+    left, right = names(k), other or names(k)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            total += batch[left].to_numpy().T @ batch[right].to_numpy()
+        i, j = np.indices((k, k))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+
+    columns = list(dict.fromkeys([*left, *right]))
+    sums = factors.select(*columns).mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g"))
     out = np.zeros((k, k))
-    for (i, j), x in zip(cells, row):
-        out[i, j] = out[j, i] = x or 0.0
+    for i, j, g in sums.collect():
+        out[i, j] = g
     return out
 
 
+def _schema(factors: DataFrame, columns: list[str]) -> str:
+    return f"id {factors.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in columns)
+
+
 def rotate(factors: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Factors times a small k by m matrix."""
+    """Factors times a small k by m matrix, batch by batch."""
     k, m = weights.shape
 
-    def combination(j: int) -> Column:
-        return sum((F.col(f"f{i}") * float(weights[i, j]) for i in range(1, k)), F.col("f0") * float(weights[0, j]))
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame(batch[names(k)].to_numpy() @ weights, columns=names(m))
+            out.insert(0, "id", batch["id"].to_numpy())
+            yield out
 
-    return factors.select("id", *[combination(j).alias(f"f{j}") for j in range(m)])
+    return factors.mapInPandas(turn, _schema(factors, names(m)))
 
 
 def _orthonormal(factors: DataFrame, k: int) -> tuple[DataFrame, int]:
@@ -125,36 +146,39 @@ def nmf_factors(
         ids = cells.select(F.col(column).alias("id")).distinct()
         return ids.select("id", *[(_uniform("id", j, seed + salt) * 2 * scale).alias(f"f{j}") for j in range(k)])
 
-    users, items = start("row", 0), cut_lineage(start("col", 1))
-    users = cut_lineage(users)
-    user_gram, item_gram = None, gram(items, k)
+    users, items = cut_lineage(start("row", 0)), cut_lineage(start("col", 1))
+    item_gram = gram(items, k)
     losses: list[float] = []
     for _ in range(steps):
         users = cut_lineage(_update(users, multiply(cells, items, "col", "row", k), item_gram, k))
         user_gram = gram(users, k)
-        products = cut_lineage(multiply(cells, users, "row", "col", k))
-        items = cut_lineage(_update(items, products, user_gram, k))
+        items = cut_lineage(_update(items, multiply(cells, users, "row", "col", k), user_gram, k))
         item_gram = gram(items, k)
-        losses.append(norm - 2 * _inner(products, items, k) + float(np.sum(user_gram * item_gram)))
+        shared = float(np.trace(gram(items, k, numerators(k))))
+        losses.append(norm - 2 * shared + float(np.sum(user_gram * item_gram)))
         if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[0]:
             break
-    return users, items, losses
+    return users.select("id", *names(k)), items.select("id", *names(k)), losses
 
 
-def _update(factors: DataFrame, numerator: DataFrame, other: np.ndarray, k: int) -> DataFrame:
-    denominator = rotate(factors, other).select("id", *[F.col(f).alias(f"d{f[1:]}") for f in names(k)])
-    top = numerator.select("id", *[F.col(f).alias(f"n{f[1:]}") for f in names(k)])
-    joined = factors.join(denominator, "id").join(top, "id")
-    return joined.select(
-        "id", *[(F.col(f"f{i}") * F.col(f"n{i}") / (F.col(f"d{i}") + EPSILON)).alias(f"f{i}") for i in range(k)]
-    )
+def numerators(k: int) -> list[str]:
+    return [f"n{i}" for i in range(k)]
 
 
-def _inner(left: DataFrame, right: DataFrame, k: int) -> float:
-    other = right.select("id", *[F.col(f).alias(f"o{f[1:]}") for f in names(k)])
-    return left.join(other, "id").agg(
-        F.sum(sum((F.col(f"f{i}") * F.col(f"o{i}") for i in range(k)), F.lit(0.0)))
-    ).first()[0]
+def _update(factors: DataFrame, numerator: DataFrame, other: np.ndarray, k: int) -> DataFrame:
+    """One multiplicative step; the numerators stay beside the new factors for the loss."""
+    fs, ns = names(k), numerators(k)
+    top = numerator.select("id", *[F.col(f).alias(n) for f, n in zip(fs, ns)])
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            old, above = batch[fs].to_numpy(), batch[ns].to_numpy()
+            out = pd.DataFrame(old * above / (old @ other + EPSILON), columns=fs)
+            out.insert(0, "id", batch["id"].to_numpy())
+            out[ns] = above
+            yield out
+
+    return factors.select("id", *fs).join(top, "id").mapInPandas(step, _schema(factors, [*fs, *ns]))
 
 
 def unit_rows(factors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.interactions import PAIR, exclude_seen
 from shelfwise.operators.ranking import top_n
 from shelfwise.operators.similarity import SHORT_LIST, profile_classes, top_k_of_classes, unit_vectors
+from shelfwise.session import cut_lineage
 
 NEIGHBOURS = 10
 
@@ -20,9 +21,9 @@ def user_vectors(behavior: DataFrame) -> DataFrame:
 
 def user_similarity(behavior: DataFrame, k: int = NEIGHBOURS, short_list: int = SHORT_LIST) -> DataFrame:
     """``(user_id, neighbour_id, similarity, rank)``: the k most similar users of every user."""
-    vectors = user_vectors(behavior)
-    classes = profile_classes(vectors)
-    distinct_vectors = vectors.join(classes.where("id = class").select("id"), "id", "left_semi")
+    vectors = cut_lineage(user_vectors(behavior))
+    classes = cut_lineage(profile_classes(vectors))
+    distinct_vectors = cut_lineage(vectors.join(classes.where("id = class").select("id"), "id", "left_semi"))
     pairs = top_k_of_classes(classes, classes, distinct_vectors, k, short_list)
     named = pairs.select(
         F.col("qid").alias("user_id"), F.col("vid").alias("neighbour_id"), F.col("sim").alias("similarity")

@@ -50,7 +50,7 @@ def bm25(df: DataFrame, fields: Mapping[str, float], terms: Sequence[str]) -> Co
         length = 1 - B + B * F.size(words) / mean
         total = F.lit(0.0)
         for i, term in enumerate(terms):
-            tf = F.size(F.filter(words, lambda w, t=term: w == t))
+            tf = F.size(F.filter(words, _equals(term)))
             df_t = stats.getField(f"{name}_df{i}")
             idf = F.log(1 + (docs - df_t + 0.5) / (df_t + 0.5))
             total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * length)).otherwise(0.0)
@@ -60,6 +60,10 @@ def bm25(df: DataFrame, fields: Mapping[str, float], terms: Sequence[str]) -> Co
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+def _equals(term: str):
+    return lambda word: word == term
+
+
 def _stat_names(name: str, terms: Sequence[str]) -> list[str]:
     return [f"{name}_n", f"{name}_len", *[f"{name}_df{i}" for i in range(len(terms))]]
 

@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ranking_key
+from shelfwise.session import cut_lineage
 
 SHORT_LIST = 64
 BLOCK_ENTRIES = 200_000
@@ -63,18 +64,27 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_
     """``(qid, vid, sim)``: the k best index vectors per query, its own id left out.
 
     Weights must be non-negative. Order is similarity at nine decimals, then id;
-    vectors without common dimensions are no match.
+    vectors without common dimensions are no match. Pass checkpointed tables: both
+    are read several times.
     """
-    lengths = index.groupBy("dim").agg(F.count(F.lit(1)).alias("length"))
-    short = lengths.where(F.col("length") <= short_list).select("dim")
-    hot = lengths.where(F.col("length") > short_list).select("dim")
+    lengths = cut_lineage(index.groupBy("dim").agg(F.count(F.lit(1)).alias("length")))
+    is_hot = F.col("length") > short_list
+    dims, hot_dims = lengths.agg(F.count(F.lit(1)), F.count_if(is_hot)).first()
+    if hot_dims == dims:
+        return block_top_k(queries, index, k)
     q = queries.select(F.col("id").alias("qid"), "dim", F.col("w").alias("wq"))
     v = index.select(F.col("id").alias("vid"), "dim", F.col("w").alias("wv"))
-
-    near = (
-        v.join(short, "dim", "left_semi").join(q, "dim").where("qid != vid")
-        .groupBy("qid", "vid").agg(F.sum(F.col("wq") * F.col("wv")).alias("part"))
+    short = v.join(lengths.where(~is_hot).select("dim"), "dim", "left_semi") if hot_dims else v
+    near = short.join(q, "dim").where("qid != vid").groupBy("qid", "vid").agg(
+        F.sum(F.col("wq") * F.col("wv")).alias("part")
     )
+    if not hot_dims:
+        return _best(near.withColumnRenamed("part", "sim"), k)
+    return _finish(queries, index, q, v, cut_lineage(near), lengths.where(is_hot).select("dim"), k)
+
+
+def _finish(queries, index, q, v, near: DataFrame, hot: DataFrame, k: int) -> DataFrame:
+    """Add what hot dimensions contribute to the candidates met through short ones."""
     q_hot = q.join(hot, "dim", "left_semi")
     v_hot = v.join(hot, "dim", "left_semi")
     hot_weight = q_hot.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("hot"))
@@ -84,15 +94,15 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_
         .groupBy("qid").agg(F.min(F.when(F.col("r") == k, F.col("part"))).alias("kth"))
     )
     # A query is open when somebody met through hot dimensions alone could still enter its list.
-    open_queries = (
-        hot_weight.join(kth, "qid", "left")
-        .where(F.round("hot", DECIMALS) >= F.round(F.coalesce("kth", F.lit(0.0)), DECIMALS))
-        .select("qid")
+    bounds = cut_lineage(
+        hot_weight.join(kth, "qid", "full").select(
+            "qid", F.coalesce("hot", F.lit(0.0)).alias("hot"), F.coalesce("kth", F.lit(0.0)).alias("kth")
+        )
     )
-    closed = near.join(open_queries, "qid", "left_anti")
+    is_open = (F.col("hot") > 0) & (F.round("hot", DECIMALS) >= F.round("kth", DECIMALS))
     live = (
-        closed.join(kth, "qid", "left").join(hot_weight, "qid", "left")
-        .where(F.col("part") + F.coalesce("hot", F.lit(0.0)) + 1e-6 >= F.coalesce("kth", F.lit(0.0)))
+        near.join(bounds.where(~is_open), "qid")
+        .where(F.col("part") + F.col("hot") + 1e-6 >= F.col("kth"))
         .select("qid", "vid", "part")
     )
     hot_part = (
@@ -102,15 +112,15 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_
     finished = live.join(hot_part, ["qid", "vid"], "left").select(
         "qid", "vid", (F.col("part") + F.coalesce("rest", F.lit(0.0))).alias("sim")
     )
-    blocked = block_top_k(
-        queries.join(open_queries.withColumnRenamed("qid", "id"), "id", "left_semi"), index, k
-    )
+    open_ids = bounds.where(is_open).select(F.col("qid").alias("id"))
+    blocked = block_top_k(queries.join(open_ids, "id", "left_semi"), index, k)
     return _best(finished.unionByName(blocked), k)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("qid").orderBy(ranking_key("sim").desc(), "vid")
-    return pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    best = pairs.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return best.select("qid", "vid", F.round("sim", DECIMALS).alias("sim"))
 
 
 def _blocks(vectors: DataFrame, entries: int) -> Column:
@@ -134,19 +144,22 @@ def block_top_k(
     """
     q_blocks, v_blocks = _blocks(queries, entries), _blocks(index, entries)
 
-    def placed(vectors: DataFrame, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+    def placed(vectors: DataFrame, side: str, own_n: Column, other_n: Column) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.greatest(own_n, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.greatest(other_n, F.lit(1)) - 1))
+        qb, vb = (own, every) if side == "q" else (every, own)
         return vectors.select(
-            F.pmod(F.xxhash64("id"), F.greatest(own_n, F.lit(1))).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.greatest(other_n, F.lit(1)) - 1)).alias(other),
-            "id", "dim", "w",
-        )
+            qb.alias(f"{side}_qb"), vb.alias(f"{side}_vb"),
+            F.col("id").alias(f"{side}_id"), F.col("dim").alias(f"{side}_dim"), F.col("w").alias(f"{side}_w"),
+        ).groupBy(f"{side}_qb", f"{side}_vb")
 
-    left = placed(queries, "qb", q_blocks, "vb", v_blocks).groupBy("qb", "vb")
-    right = placed(index, "vb", v_blocks, "qb", q_blocks).groupBy("qb", "vb")
+    left, right = placed(queries, "q", q_blocks, v_blocks), placed(index, "v", v_blocks, q_blocks)
     q_type = queries.schema["id"].dataType.simpleString()
     v_type = index.schema["id"].dataType.simpleString()
 
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        q, v = ((side[[f"{s}_id", f"{s}_dim", f"{s}_w"]].set_axis(["id", "dim", "w"], axis=1))
+                for s, side in (("q", q), ("v", v)))
         parts = list(_multiply(q, v, k, positive_only, exclude_same))
         return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "vid": [], "sim": []})
 
@@ -249,10 +262,11 @@ def top_k_of_classes(
     ``classes`` maps every id to the smallest id with the same vector. Ids of a class
     answer alike, and only its k + 1 smallest ids can be among anybody's k best. A
     third of all ids being copies of one vector costs one comparison and k + 1 rows.
+    Pass checkpointed tables.
     """
     wanted = queries.select("id").join(classes, "id")
-    asked = wanted.select("class").distinct()
-    query_vectors = class_vectors.join(asked.withColumnRenamed("class", "id"), "id", "left_semi")
+    asked = wanted.select(F.col("class").alias("id")).distinct()
+    query_vectors = class_vectors.join(asked, "id", "left_semi")
     between = top_k(query_vectors, class_vectors, k + 1, short_list)
     within = query_vectors.select("id").distinct().select(
         F.col("id").alias("qid"), F.col("id").alias("vid"), F.lit(1.0).alias("sim")

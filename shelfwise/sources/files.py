@@ -65,8 +65,7 @@ def scan_processed(spark: SparkSession, base: str, data_type: str, newest_only:
     if data_type not in PROCESSED:
         raise ValueError(f"unknown table {data_type!r}, expected one of {PROCESSED}")
     runs = (
-        spark.read.option("mergeSchema", "true")
-        .option("basePath", f"{base}/{data_type}").parquet(f"{base}/{data_type}/run_ts=*")
+        spark.read.option("basePath", f"{base}/{data_type}").parquet(f"{base}/{data_type}/run_ts=*")
         .withColumn("run_ts", F.col("run_ts").cast("string"))
     )
     return latest_run(runs) if newest_only else runs

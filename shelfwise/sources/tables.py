@@ -11,9 +11,16 @@ from pyspark.sql import types as T
 from shelfwise.operators.ids import ordinal_ids
 
 
-def materialize_tables(spark: SparkSession, database: str, tables: Mapping[str, DataFrame]) -> None:
+def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{place}")
+
+
+def materialize_tables(
+    spark: SparkSession, database: str, tables: Mapping[str, DataFrame], location: str | None = None
+) -> None:
     """Create the database if absent, overwrite its tables, refresh what the session knows of them."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    create_database(spark, database, location)
     for name, df in tables.items():
         full = f"`{database}`.`{name}`"
         df.write.mode("overwrite").format("parquet").saveAsTable(full)
@@ -34,17 +41,24 @@ def query_view(view: DataFrame, transform: Callable[[DataFrame], DataFrame]) ->
     return view.transform(transform)
 
 
-def create_index(spark: SparkSession, name: str, schema: T.StructType, prefix: str = "", key: str = "doc_id") -> str:
+def index_name(name: str, prefix: str = "", database: str | None = None) -> str:
+    return f"`{database}`.`{prefix}{name}`" if database else f"`{prefix}{name}`"
+
+
+def create_index(
+    spark: SparkSession, name: str, schema: T.StructType, prefix: str = "", key: str = "doc_id",
+    database: str | None = None,
+) -> str:
     """Typed keyed table, created once; returns its full name."""
-    full = f"{prefix}{name}"
+    full = index_name(name, prefix, database)
     columns = schema if key in schema.names else T.StructType([T.StructField(key, T.StringType()), *schema.fields])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS `{full}` ({ddl}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {full} ({ddl}) USING parquet")
     return full
 
 
-def delete_index(spark: SparkSession, name: str, prefix: str = "") -> None:
-    spark.sql(f"DROP TABLE IF EXISTS `{prefix}{name}`")
+def delete_index(spark: SparkSession, name: str, prefix: str = "", database: str | None = None) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {index_name(name, prefix, database)}")
 
 
 def bulk_load_index(
