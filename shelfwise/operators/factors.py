@@ -53,24 +53,24 @@ def multiply(cells: DataFrame, factors: DataFrame, on: str, by: str, k: int) ->
     )
 
 
-def gram(factors: DataFrame, k: int, other: list[str] | None = None) -> np.ndarray:
-    """The k by k matrix of factor products: fixed size, whatever the number of rows.
+def gram(factors: DataFrame, k: int, extra: list[str] | None = None) -> np.ndarray:
+    """Products of the k factor columns with themselves and the extra columns.
 
-    Every task adds up its own rows; what is shuffled and returned are k*k sums. With
-    ``other``, products between the factors and those columns.
+    Every task adds up its own rows; what is shuffled and returned has a fixed size,
+    whatever the number of rows.
     """
-    left, right = names(k), other or names(k)
+    left = names(k)
+    right = left + (extra or [])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, k))
+        total = np.zeros((len(left), len(right)))
         for batch in batches:
             total += batch[left].to_numpy().T @ batch[right].to_numpy()
-        i, j = np.indices((k, k))
+        i, j = np.indices(total.shape)
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
 
-    columns = list(dict.fromkeys([*left, *right]))
-    sums = factors.select(*columns).mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g"))
-    out = np.zeros((k, k))
+    sums = factors.select(*right).mapInPandas(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g"))
+    out = np.zeros((len(left), len(right)))
     for i, j, g in sums.collect():
         out[i, j] = g
     return out
@@ -153,8 +153,8 @@ def nmf_factors(
         users = cut_lineage(_update(users, multiply(cells, items, "col", "row", k), item_gram, k))
         user_gram = gram(users, k)
         items = cut_lineage(_update(items, multiply(cells, users, "row", "col", k), user_gram, k))
-        item_gram = gram(items, k)
-        shared = float(np.trace(gram(items, k, numerators(k))))
+        products = gram(items, k, numerators(k))
+        item_gram, shared = products[:, :k], float(np.trace(products[:, k:]))
         losses.append(norm - 2 * shared + float(np.sum(user_gram * item_gram)))
         if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[0]:
             break

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.functions.stop_words import ENGLISH
+from shelfwise.session import cut_lineage
+
+# Fixed value: size of the vocabulary.
 MAX_TERMS = 5000
+# A vocabulary is broadcast up to this many rows; its size is bounded by the limit, not by the data.
+MAX_BROADCAST_TERMS = 100_000
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def words(text: Column, stop_words: list[str]) -> Column:
     """Lower-case words of two or more characters, stop words removed, as an array."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
@@ -23,7 +23,7 @@ def words(text: Column, stop_words: list[str]) -> Column:
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """``(id, term, tf)`` with single words and adjacent pairs."""
-    stop = english_stop_words() if stop_words is None else stop_words
+    stop = ENGLISH if stop_words is None else stop_words
     tokens = docs.select(F.col(key).alias("id"), words(F.col(text), stop).alias("t"))
     size = F.size("t")
     pairs = F.zip_with(
@@ -54,12 +54,14 @@ def tfidf(
     counts = term_counts(docs, key, text, stop_words)
     if copies:
         counts = counts.join(docs.select(F.col(key).alias("id"), copies), "id")
+    # Counting is the one pass over the texts; vocabulary and weights both start from its result.
+    counts = cut_lineage(counts)
     n = docs.agg(F.sum(copies) if copies else F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1
-    weighted = (
-        counts.join(vocabulary(counts, copies, limit), "term")
-        .select("id", F.col("term").alias("dim"), (F.col("tf") * idf).alias("x"))
-    )
+    chosen = vocabulary(counts, copies, limit)
+    if limit <= MAX_BROADCAST_TERMS:
+        chosen = F.broadcast(chosen)
+    weighted = counts.join(chosen, "term").select("id", F.col("term").alias("dim"), (F.col("tf") * idf).alias("x"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weighted.join(norms, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("w"))
 
