@@ -26,35 +26,34 @@ def query_terms(df: DataFrame, text: str) -> list[str]:
     return row["t"]
 
 
-def bm25(df: DataFrame, fields: Mapping[str, float], terms: Sequence[str]) -> Column:
-    """Best boosted field score of each row; 0 where no field holds a term.
+def bm25_statistics(df: DataFrame, fields: Mapping[str, float], terms: Sequence[str]) -> Column:
+    """Documents, summed lengths and term frequencies per field, as one scalar struct.
 
-    Document counts and mean lengths come from one aggregate over the whole table,
-    used as a scalar: there is no join and nothing is exploded.
+    They come from one aggregate over the whole table: nothing is joined or exploded.
     """
-    measures = []
+    cut = df.select(*[tokens(name).alias(name) for name in fields])
+    parts = []
     for name in fields:
-        size = F.size(tokens(name))
-        measures += [F.count_if(size > 0).alias(f"{name}_n"), F.sum(size).alias(f"{name}_len")]
-        measures += [
-            F.count_if(F.array_contains(tokens(name), term)).alias(f"{name}_df{i}") for i, term in enumerate(terms)
-        ]
-    stats = df.agg(*measures).agg(
-        F.first(F.struct(*[F.col(c) for name in fields for c in _stat_names(name, terms)]))
-    ).scalar()
+        size = F.size(name)
+        parts += [F.count_if(size > 0).alias(f"{name}_n"), F.sum(size).alias(f"{name}_len")]
+        parts += [F.count_if(F.array_contains(name, t)).alias(f"{name}_df{i}") for i, t in enumerate(terms)]
+    totals = cut.agg(*parts)
+    return totals.select(F.struct(*totals.columns)).scalar()
 
+
+def bm25(words: Mapping[str, Column], fields: Mapping[str, float], terms: Sequence[str], stats: Column) -> Column:
+    """Best boosted field score of a row from the token arrays of its fields."""
     def field_score(name: str) -> Column:
-        words = tokens(name)
         docs = stats.getField(f"{name}_n")
         mean = stats.getField(f"{name}_len") / docs
-        length = 1 - B + B * F.size(words) / mean
+        length = 1 - B + B * F.size(words[name]) / mean
         total = F.lit(0.0)
         for i, term in enumerate(terms):
-            tf = F.size(F.filter(words, _equals(term)))
+            tf = F.size(F.filter(words[name], _equals(term)))
             df_t = stats.getField(f"{name}_df{i}")
             idf = F.log(1 + (docs - df_t + 0.5) / (df_t + 0.5))
-            total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * length)).otherwise(0.0)
-        return total
+            total = total + idf * tf * (K1 + 1) / (tf + K1 * length)
+        return F.when(F.size(words[name]) > 0, total).otherwise(0.0)
 
     scores = [F.lit(boost) * field_score(name) for name, boost in fields.items()]
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
@@ -64,21 +63,17 @@ def _equals(term: str):
     return lambda word: word == term
 
 
-def _stat_names(name: str, terms: Sequence[str]) -> list[str]:
-    return [f"{name}_n", f"{name}_len", *[f"{name}_df{i}" for i in range(len(terms))]]
-
-
-def matches(fields: Sequence[str], terms: Sequence[str]) -> Column:
-    hits = [F.arrays_overlap(tokens(f), F.array(*[F.lit(t) for t in terms])) for f in fields]
-    return reduce(lambda a, b: a | b, hits)
-
-
 def scored_matches(df: DataFrame, text: str, fields: Mapping[str, float]) -> DataFrame:
     """Rows holding any query token, with their relevance."""
     terms = query_terms(df, text)
     if not terms:
         return df.limit(0).withColumn("relevance", F.lit(0.0))
-    return df.where(matches(list(fields), terms)).withColumn("relevance", bm25(df, fields, terms))
+    words = {name: F.col(f"_{name}_words") for name in fields}
+    cut = df.withColumns({f"_{name}_words": tokens(name) for name in fields})
+    wanted = F.array(*[F.lit(t) for t in terms])
+    hit = reduce(lambda a, b: a | b, [F.arrays_overlap(w, wanted) for w in words.values()])
+    scored = cut.where(hit).withColumn("relevance", bm25(words, fields, terms, bm25_statistics(df, fields, terms)))
+    return scored.select(*df.columns, "relevance")
 
 
 def search_products(products: DataFrame, text: str, size: int = 10) -> DataFrame:

@@ -12,7 +12,8 @@ few vectors is cheap to expand; one shared by a third of them is not. So
   blocks and emits at most k rows per query, so hot dimensions cost arithmetic, not
   shuffled pairs.
 
-Every setting of ``short_list`` gives the same result; it only moves work.
+While comparing everything in blocks is cheaper than shuffling the joined pairs, that
+is done at once. Every choice gives the same result; it only moves work.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from shelfwise.functions.columns import ranking_key
 from shelfwise.session import cut_lineage
 
 SHORT_LIST = 64
+# A block cell is that much cheaper than a pair that a join has to shuffle.
+CELLS_PER_PAIR = 64
 BLOCK_ENTRIES = 200_000
 # Ids per side of a tile, dimensions per dense slab, products expanded at once.
 TILE, SLAB, EXPANSION = 1024, 2048, 4_000_000
@@ -60,17 +63,23 @@ def profile_classes(vectors: DataFrame) -> DataFrame:
     return prints.join(smallest, keys).select("id", "class")
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_LIST) -> DataFrame:
+def top_k(
+    queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_LIST,
+    cells_per_pair: float = CELLS_PER_PAIR,
+) -> DataFrame:
     """``(qid, vid, sim)``: the k best index vectors per query, its own id left out.
 
     Weights must be non-negative. Order is similarity at nine decimals, then id;
     vectors without common dimensions are no match. Pass checkpointed tables: both
     are read several times.
     """
-    lengths = cut_lineage(index.groupBy("dim").agg(F.count(F.lit(1)).alias("length")))
+    lengths = cut_lineage(_list_lengths(queries, index))
     is_hot = F.col("length") > short_list
-    dims, hot_dims = lengths.agg(F.count(F.lit(1)), F.count_if(is_hot)).first()
-    if hot_dims == dims:
+    expanded = F.sum(F.when(~is_hot, F.col("length") * F.col("asked")).otherwise(0.0))
+    dims, hot_dims, joined_pairs = lengths.agg(F.count(F.lit(1)), F.count_if(is_hot), expanded).first()
+    sides = [side.agg(F.approx_count_distinct("id").alias("n")) for side in (queries, index)]
+    cells = sides[0].unionByName(sides[1]).agg(F.product("n")).first()[0]
+    if hot_dims == dims or cells <= cells_per_pair * joined_pairs:
         return block_top_k(queries, index, k)
     q = queries.select(F.col("id").alias("qid"), "dim", F.col("w").alias("wq"))
     v = index.select(F.col("id").alias("vid"), "dim", F.col("w").alias("wv"))
@@ -83,6 +92,15 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, short_list: int = SHORT_
     return _finish(queries, index, q, v, cut_lineage(near), lengths.where(is_hot).select("dim"), k)
 
 
+def _list_lengths(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """``(dim, length, asked)``: index and query entries per dimension."""
+    def side(vectors: DataFrame, length: int, asked: int) -> DataFrame:
+        return vectors.select("dim", F.lit(length).alias("length"), F.lit(asked).alias("asked"))
+
+    both = side(index, 1, 0).unionByName(side(queries, 0, 1))
+    return both.groupBy("dim").agg(F.sum("length").alias("length"), F.sum("asked").alias("asked"))
+
+
 def _finish(queries, index, q, v, near: DataFrame, hot: DataFrame, k: int) -> DataFrame:
     """Add what hot dimensions contribute to the candidates met through short ones."""
     q_hot = q.join(hot, "dim", "left_semi")
