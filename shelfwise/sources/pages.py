@@ -33,7 +33,7 @@ class PageSpec:
 
 
 LISTING = PageSpec(
-    block=r'<div class="product-card">(.*?)</div>',
+    block=r'(?s)<div class="product-card">(.*?)</div>',
     fields={name: text_of(f"product-{name}") for name in ("name", "price", "sold", "location")},
     link=r'<a [^>]*href="([^"]*)"',
     star=r'class="(star-active)"',
@@ -47,7 +47,7 @@ DETAIL = PageSpec(
     lists={"categories": r'<a class="breadcrumb"[^>]*>([^<]*)</a>'},
 )
 REVIEWS = PageSpec(
-    block=r'<li class="review">(.*?)</li>',
+    block=r'(?s)<li class="review">(.*?)</li>',
     fields={name: text_of(f"review-{name}") for name in ("author", "content", "time")},
     star=r'class="(star-active)"',
 )
@@ -99,7 +99,7 @@ def extract_product_detail(pages: DataFrame, spec: PageSpec = DETAIL) -> DataFra
     return pages.select(
         "page_id", "url",
         *[(_field(html, spec.fields[n]) if n in spec.fields else F.lit(MISSING)).alias(n) for n in wanted],
-        *[F.transform(_all(html, p), F.trim).alias(n) for n, p in spec.lists.items()],
+        *[F.transform(_all(html, p), lambda text: F.trim(text)).alias(n) for n, p in spec.lists.items()],
     )
 
 
