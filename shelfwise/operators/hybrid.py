@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as C
@@ -13,6 +12,7 @@ from shelfwise.operators.content import content_candidates, similar_products
 from shelfwise.operators.interactions import PAIR, enrich, exclude_seen
 from shelfwise.operators.neighbours import knn_recommend
 from shelfwise.operators.ranking import top_n
+from shelfwise.session import cut_lineage
 
 # Weights of the two sources in the blend.
 CF_WEIGHT, CB_WEIGHT = 0.7, 0.3
@@ -27,8 +27,9 @@ SWEEP_WEIGHTS = (
 
 def max_normalise(scores: DataFrame, score: str) -> DataFrame:
     """Divide by the user's largest score; 0 where that is not positive."""
-    largest = F.max(score).over(W.partitionBy("user_id"))
-    return scores.withColumn(score, F.when(largest > 0, F.col(score) / largest).otherwise(0.0))
+    largest = scores.groupBy("user_id").agg(F.max(score).alias("_largest"))
+    share = F.when(F.col("_largest") > 0, F.col(score) / F.col("_largest")).otherwise(0.0)
+    return scores.join(largest, "user_id").withColumn(score, share).select(*scores.columns)
 
 
 def merge_candidates(cb: DataFrame, cf: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def hybrid_blend(
 def hybrid_all_users(
     behavior: DataFrame, products: DataFrame, catalog: DataFrame | None = None, n: int = 10
 ) -> DataFrame:
-    """The whole chain for every user as one plan: neighbours, similar products, blend."""
+    """The whole chain for every user at once: neighbours, similar products, blend."""
+    behavior = cut_lineage(behavior)
     cf = knn_recommend(behavior, n=n).select(*PAIR, "cf_score")
     touched = behavior.select("product_id").distinct()
     similar = similar_products(products if catalog is None else catalog, touched, n)

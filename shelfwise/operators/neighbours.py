@@ -58,7 +58,10 @@ def predicted_scores(behavior: DataFrame, neighbours: DataFrame) -> DataFrame:
 def knn_recommend(
     behavior: DataFrame, k: int = NEIGHBOURS, n: int = 10, short_list: int = SHORT_LIST
 ) -> DataFrame:
-    """Top n products per user from the k nearest users; scored products are left out."""
+    """Top n products per user from the k nearest users; scored products are left out.
+
+    The behaviour is read several times: pass a checkpointed or stored table.
+    """
     scores = predicted_scores(behavior, user_similarity(behavior, k, short_list))
     return top_n(scores, "user_id", "cf_score", "product_id", n)
 

@@ -91,8 +91,12 @@ def term_lookup(df: DataFrame, field: str, value, sort: Sequence[Column], size:
 
 
 def build_inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(term, id, tf, first_position)``; a hot term stays many rows, never one list."""
-    positions = docs.select(F.col(key).alias("id"), F.posexplode(tokens(text)).alias("position", "term"))
+    """``(term, id, tf, first_position)``; a hot term stays many rows, never one list.
+
+    Whole texts are spread by id first, so that counting per term and id stays in place.
+    """
+    spread = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    positions = spread.select("id", F.posexplode(tokens("text")).alias("position", "term"))
     return positions.groupBy("term", "id").agg(
         F.count(F.lit(1)).alias("tf"), F.min("position").alias("first_position")
     )

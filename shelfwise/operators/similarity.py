@@ -73,7 +73,7 @@ def top_k(
     vectors without common dimensions are no match. Pass checkpointed tables: both
     are read several times.
     """
-    lengths = cut_lineage(_list_lengths(queries, index))
+    lengths = _list_lengths(queries, index)
     is_hot = F.col("length") > short_list
     expanded = F.sum(F.when(~is_hot, F.col("length") * F.col("asked")).otherwise(0.0))
     dims, hot_dims, joined_pairs = lengths.agg(F.count(F.lit(1)), F.count_if(is_hot), expanded).first()
@@ -81,6 +81,7 @@ def top_k(
     cells = sides[0].unionByName(sides[1]).agg(F.product("n")).first()[0]
     if hot_dims == dims or cells <= cells_per_pair * joined_pairs:
         return block_top_k(queries, index, k)
+    lengths = cut_lineage(lengths)
     q = queries.select(F.col("id").alias("qid"), "dim", F.col("w").alias("wq"))
     v = index.select(F.col("id").alias("vid"), "dim", F.col("w").alias("wv"))
     short = v.join(lengths.where(~is_hot).select("dim"), "dim", "left_semi") if hot_dims else v

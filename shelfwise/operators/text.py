@@ -22,9 +22,14 @@ def words(text: Column, stop_words: list[str]) -> Column:
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
-    """``(id, term, tf)`` with single words and adjacent pairs."""
+    """``(id, term, tf)`` with single words and adjacent pairs.
+
+    Whole texts are spread by id before they are cut: a text is smaller than its
+    terms, and counting per id and term then needs no second shuffle.
+    """
     stop = ENGLISH if stop_words is None else stop_words
-    tokens = docs.select(F.col(key).alias("id"), words(F.col(text), stop).alias("t"))
+    spread = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    tokens = spread.select("id", words(F.col("text"), stop).alias("t"))
     size = F.size("t")
     pairs = F.zip_with(
         F.slice("t", 1, F.greatest(size - 1, F.lit(0))), F.slice("t", 2, F.greatest(size - 1, F.lit(0))),

@@ -12,6 +12,7 @@ from shelfwise.operators.content import content_candidates, similar_products
 from shelfwise.operators.ranking import top_n
 from shelfwise.registry.core import define, query
 from shelfwise.registry.tables import CUT_DAY, behavior
+from shelfwise.session import cut_lineage
 
 
 def neighbour_sql(prefix: str, source: str, needs: tuple[str, ...]) -> None:
@@ -63,14 +64,14 @@ FROM all_ranked n JOIN all_pos a ON a.user_id = n.user_id
 JOIN all_pos b ON b.user_id = n.neighbour_id AND b.product_id = a.product_id
 WHERE rank <= 10 GROUP BY 1, 2""", ("all_ranked",))
 def _(spark, sf):
-    b = behavior(spark, sf)
+    b = cut_lineage(behavior(spark, sf))
     return N.co_interaction(b, N.user_similarity(b))
 
 
 @query("knn_recommend", """
 SELECT user_id, product_id, round(cf_score, 6) AS cf_score, CAST(rank AS INTEGER) AS rank FROM all_cf""", ("all_cf",))
 def _(spark, sf):
-    return N.knn_recommend(behavior(spark, sf)).withColumn("cf_score", F.round("cf_score", 6))
+    return N.knn_recommend(cut_lineage(behavior(spark, sf))).withColumn("cf_score", F.round("cf_score", 6))
 
 
 GRID = [(k, t) for k in N.SWEEP_K for t in N.SWEEP_THRESHOLD]
@@ -88,7 +89,7 @@ SELECT CAST(k AS INTEGER) AS k, threshold,
         / (SELECT count(DISTINCT user_id) FROM behavior), 6) AS avg_recommendations
 FROM ks, thresholds""".replace("WITH_GRID", ", ks"), ("all_ranked", "behavior"))
 def _(spark, sf):
-    swept = N.knn_sweep(behavior(spark, sf))
+    swept = N.knn_sweep(cut_lineage(behavior(spark, sf)))
     return swept.withColumn("avg_recommendations", F.round("avg_recommendations", 6))
 
 
@@ -115,13 +116,10 @@ def _similar(spark, sf):
     return similar_products(D.catalog_text(spark, sf), touched)
 
 
-def _cb(spark, sf):
-    return content_candidates(behavior(spark, sf), _similar(spark, sf))
-
-
 @query("content_candidates", "SELECT user_id, product_id, round(cb_score, 6) AS cb_score FROM cb", ("cb",))
 def _(spark, sf):
-    return _cb(spark, sf).withColumn("cb_score", F.round("cb_score", 6))
+    found = content_candidates(behavior(spark, sf), _similar(spark, sf))
+    return found.withColumn("cb_score", F.round("cb_score", 6))
 
 
 @query("max_normalise", """
@@ -138,8 +136,11 @@ def _(spark, sf):
 @query("merge_candidates", """
 SELECT user_id, product_id, round(cb_score, 6) AS cb_score, round(cf_score, 6) AS cf_score FROM merged""", ("merged",))
 def _(spark, sf):
-    cf = N.knn_recommend(behavior(spark, sf))
-    merged = H.merge_candidates(H.max_normalise(_cb(spark, sf), "cb_score"), H.max_normalise(cf, "cf_score"))
+    b = cut_lineage(behavior(spark, sf))
+    cb = content_candidates(b, _similar(spark, sf))
+    merged = H.merge_candidates(
+        H.max_normalise(cb, "cb_score"), H.max_normalise(N.knn_recommend(b), "cf_score")
+    )
     return merged.withColumns({c: F.round(c, 6) for c in ("cb_score", "cf_score")})
 
 
@@ -150,8 +151,9 @@ HYBRID_SQL = "SELECT user_id, product_id, name, price, " + ", ".join(
 
 @query("hybrid_blend", HYBRID_SQL, ("hybrid",))
 def _(spark, sf):
-    b = behavior(spark, sf)
-    blended = H.hybrid_blend(b, D.products(spark, sf), _cb(spark, sf), N.knn_recommend(b))
+    b = cut_lineage(behavior(spark, sf))
+    cb = content_candidates(b, _similar(spark, sf))
+    blended = H.hybrid_blend(b, D.products(spark, sf), cb, N.knn_recommend(b))
     return blended.withColumns({c: F.round(c, 6) for c in HYBRID_COLUMNS})
 
 
@@ -174,10 +176,11 @@ SWEEP = [{"cf_score": a, "pop_score": b, "cb_score": c} for a, b, c in H.SWEEP_W
            f" + {s['pop_score']}::DOUBLE * pop_score + {s['cb_score']}::DOUBLE * cb_score AS blend FROM three_scores"
            for i, s in enumerate(SWEEP)) + ")) WHERE rank <= 10", ("three_scores",))
 def _(spark, sf):
-    b = behavior(spark, sf)
-    merged = H.merge_candidates(
-        H.max_normalise(_cb(spark, sf), "cb_score"), H.max_normalise(N.knn_recommend(b), "cf_score")
-    )
+    b = cut_lineage(behavior(spark, sf))
+    cb = content_candidates(b, _similar(spark, sf))
+    merged = cut_lineage(H.merge_candidates(
+        H.max_normalise(cb, "cb_score"), H.max_normalise(N.knn_recommend(b), "cf_score")
+    ))
     popularity = D.products(spark, sf).select("product_id", F.col("popularity_score").alias("pop_score"))
     scores = H.max_normalise(I.exclude_seen(merged, b).join(popularity, "product_id"), "pop_score")
     return H.blend_sweep(scores, SWEEP).withColumn("blend", F.round("blend", 6))
@@ -195,8 +198,9 @@ JOIN products USING (product_id)""", ("all_cf", "cb", "hybrid"))
 
 def lists(spark, sf):
     """Recommendations of three algorithms in long form."""
-    b, products = behavior(spark, sf), D.products(spark, sf)
-    cf, cb = N.knn_recommend(b), _cb(spark, sf)
+    b, products = cut_lineage(behavior(spark, sf)), cut_lineage(D.products(spark, sf))
+    cf = cut_lineage(N.knn_recommend(b))
+    cb = cut_lineage(content_candidates(b, _similar(spark, sf)))
     hybrid = H.hybrid_blend(b, products, cb, cf)
     best_cb = top_n(cb, "user_id", "cb_score", "product_id", 10)
     named = [
@@ -274,7 +278,7 @@ SELECT algorithm, round(p, 6) AS precision, round(r, 6) AS recall,
 def _(spark, sf):
     events = D.events(spark, sf)
     cut = F.to_timestamp_ntz(F.lit(f"{CUT_DAY} 00:00:00"))
-    train = I.interactions(events.where(F.col("ts") < cut))
+    train = cut_lineage(I.interactions(events.where(F.col("ts") < cut)))
     baseline = top_n(
         I.popularity_baseline(train, D.products(spark, sf)), "user_id", "recommendation_score", "product_id", 10
     )
