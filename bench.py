@@ -11,13 +11,11 @@ from shelfwise.registry import QUERIES
 from shelfwise.session import build_session
 
 HEADLINE = (
-    "price_numeric", "sold_numeric", "popularity_score", "review_weight", "frequency_score_join",
-    "behavior_product_join", "products_by_category", "sentiment_analysis", "rating_distribution",
-    "user_behavior_analysis", "popular_products", "kpi_totals", "latency_summary", "top_products",
-    "product_reviews", "top_n_per_user", "popularity_baseline", "latest_snapshot", "merged_view",
-    "search_products", "build_inverted_index", "tfidf", "similar_products", "user_similarity",
-    "customer_similarity", "knn_recommend", "hybrid_all_users", "ranking_metrics", "als_recommend_all",
-    "live_interactions",
+    "popularity_score", "review_weight", "frequency_score_join", "behavior_product_join",
+    "products_by_category", "rating_distribution", "user_behavior_analysis", "kpi_totals", "latency_summary",
+    "top_products", "product_reviews", "top_n_per_user", "latest_snapshot", "search_products",
+    "build_inverted_index", "tfidf", "similar_products", "user_similarity", "customer_similarity",
+    "hybrid_all_users", "als_recommend_all", "live_interactions",
 )
 
 

@@ -58,7 +58,7 @@ def _(spark, sf):
     return N.user_similarity(D.purchases(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("co_interaction", """
+@query("co_interaction_self_join", """
 SELECT n.user_id, n.neighbour_id, count(*) AS shared_products
 FROM all_ranked n JOIN all_pos a ON a.user_id = n.user_id
 JOIN all_pos b ON b.user_id = n.neighbour_id AND b.product_id = a.product_id

@@ -158,5 +158,8 @@ def test_als_lists_and_error(spark):
     lists = L.als_recommend_all(model, users, items, products, 5).collect()
     assert len(lists) == 5 * model.userFactors.count()
     assert {r.product_id for r in lists} <= {f"p{j}" for j in range(20)}
+    own = model.recommendForAllUsers(5).select("user_index", F.inline("recommendations"))
+    expected = {(r.user_id, r.product_id): r.rating for r in L.deindex(own, users, items).collect()}
+    assert {(r.user_id, r.product_id): r.cf_score for r in lists} == pytest.approx(expected, abs=1e-5)
     swept = L.sweep_table(L.mf_sweep(ratings, ranks=(2, 3), iterations=(2,)), ratings).collect()
     assert sorted(r["rank"] for r in swept) == [2, 3] and all(r.rmse > 0 for r in swept)
