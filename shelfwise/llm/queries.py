@@ -11,6 +11,7 @@ from shelfwise.llm.common import load
 from shelfwise.llm.decontamination import contamination
 from shelfwise.llm.language import identify
 from shelfwise.llm.packing import packed
+from shelfwise.llm.quality import quality
 from shelfwise.llm.sharding import shard_rows
 from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.toxicity import toxicity
@@ -86,3 +87,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(load(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(load(spark, sf_dir, "documents")).drop("p_good")
