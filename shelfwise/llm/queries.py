@@ -11,6 +11,7 @@ from shelfwise.llm.common import load
 from shelfwise.llm.decontamination import contamination
 from shelfwise.llm.language import identify
 from shelfwise.llm.packing import packed
+from shelfwise.llm.pii import KINDS, counted, find, joined
 from shelfwise.llm.quality import quality
 from shelfwise.llm.sharding import shard_rows
 from shelfwise.llm.simhash import near_duplicates
@@ -92,3 +93,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(load(spark, sf_dir, "documents")).drop("p_good")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(load(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *(counted(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
