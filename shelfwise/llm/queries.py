@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import load
 from shelfwise.llm.decontamination import contamination
+from shelfwise.llm.html_extraction import main_text
 from shelfwise.llm.language import identify
+from shelfwise.llm.lm_scoring import cross_entropy_difference
 from shelfwise.llm.packing import packed
 from shelfwise.llm.pii import KINDS, counted, find, joined
 from shelfwise.llm.quality import quality
@@ -100,3 +102,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(load(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", *(counted(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good and not toxic; background: all documents."""
+    documents = load(spark, sf_dir, "documents")
+    good = load(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return cross_entropy_difference(documents, documents.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+
+
+@query("op4_html")
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(load(spark, sf_dir, "pages"))
