@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.llm.common import stored
 
@@ -66,15 +67,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, keep_row: bool = False) -> DataFrame:
+    """doc_id, the fingerprint ``fp`` as a signed long, and the input row if asked for."""
+    kept = ["doc_id", *(["row"] if keep_row else [])]
+    whole = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if keep_row else []
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *whole)
+
     def compute(batches):
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found.view(np.int64))], [*kept, "fp"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, fp long")
+    return rows.mapInArrow(compute, T.StructType([*rows.select(kept).schema, T.StructField("fp", T.LongType())]))
 
 
 def masks(n: int, distance: int = DISTANCE, node: int = NODE) -> list[int]:
@@ -217,15 +222,32 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
             .unionByName(small.select("u", F.col("low").alias("v"))).where("u != v").distinct(), name)
 
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component)."""
-    prints = stored(fingerprints(documents, shingle), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "classes")
-    roots = components(near_edges(classes, distance))
+def _named(prints: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Of stored fingerprints with row numbers: (fp, root) of every class, and the first row of every root."""
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "number")
+    classes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    roots = components(near_edges(classes.select("fp"), distance))
     rooted = stored(
         classes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp")), "rooted")
-    smallest = stored(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "components")
-    named = stored(rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    return rooted.select("fp", "root"), stored(rooted.groupBy("root").agg(F.min("first").alias("first")), "components")
+
+
+def _printed(documents: DataFrame, shingle: int, keep_row: bool) -> DataFrame:
+    return stored(fingerprints(documents, shingle, keep_row).withColumn("number", F.monotonically_increasing_id()), "fingerprints")
+
+
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component)."""
+    prints = _printed(documents, shingle, False)
+    rooted, first = _named(prints, distance)
+    named = stored(rooted.join(first, "root").select("fp", F.col("first.doc_id").alias("component_id")), "named")
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The row of the smallest doc_id of every component, with all its columns."""
+    prints = _printed(documents, shingle, True)
+    _, first = _named(prints.drop("row"), distance)
+    return prints.join(first.select(F.col("first.number").alias("number")), "number", "left_semi").select("row.*")
