@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ ORDER = 5
 WINDOWS = (1, 4, 16)
 #: Bound of the labelled sample: documents of each class, for counting and again for calibration.
 SAMPLE = 3000
-#: Bound of what is collected from that sample: word types, the most frequent first.
-MAX_TYPES = 400_000
+#: Bound of what is collected from that sample: n-grams of either class, the most frequent first.
+MAX_GRAMS = 1_000_000
 #: Words whose score a task remembers before it starts afresh.
 MEMORY = 200_000
 THRESHOLD = 0.3
@@ -90,6 +90,27 @@ def _grams(word: str, order: int) -> Iterator[str]:
         yield marked[i : i + order]
 
 
+def gram_counts(texts: DataFrame, order: int) -> DataFrame:
+    """How often each class writes each n-gram; ``texts`` has toxic and text."""
+    def count(batches):
+        for batch in batches:
+            seen: list[Counter] = [Counter(), Counter()]
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seen[toxic].update((text or "").lower().split())
+            for toxic, words in enumerate(seen):
+                grams: Counter = Counter()
+                for word, n in words.items():
+                    for run in _LETTERS.findall(word):
+                        for gram in _grams(run, order):
+                            grams[gram] += n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([toxic] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())],
+                    ["toxic", "gram", "n"])
+
+    rows = texts.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+
+
 class ClassModels:
     """What scoring needs of the two models.
 
@@ -98,12 +119,10 @@ class ClassModels:
     ratio of each seen n-gram and of the backoff weights of each seen context suffice.
     """
 
-    def __init__(self, types: list[tuple[int, str, int]], order: int = ORDER):
+    def __init__(self, counts: Iterable[tuple[int, str, int]], order: int = ORDER):
         seen: list[Counter] = [Counter(), Counter()]
-        for toxic, word, count in types:
-            for run in _LETTERS.findall(word):
-                for gram in _grams(run, order):
-                    seen[toxic][gram] += count
+        for toxic, gram, count in counts:
+            seen[toxic][gram] = count
         shared = SharedBackoff(set(seen[0]) | set(seen[1]), order)
         totals, kinds, discounts = [Counter(), Counter()], [Counter(), Counter()], []
         for c in (0, 1):
@@ -212,12 +231,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: in
         return None, np.array([share])
     chosen = F.broadcast(first_by_hash(known, ["toxic", "calibrates"], sample))  # 4 * sample rows at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    types = (
-        texts.where("calibrates = 0")
-        .select("toxic", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''")
-        .groupBy("toxic", "word").count().orderBy(F.desc("count"), "word", "toxic").limit(MAX_TYPES)
-    )
-    models = ClassModels([tuple(r) for r in types.collect()], order)
+    table = gram_counts(texts.where("calibrates = 0"), order).orderBy(F.desc("n"), "gram", "toxic").limit(MAX_GRAMS).toArrow()
+    models = ClassModels(zip(*(table.column(c).to_pylist() for c in ("toxic", "gram", "n")), strict=True), order)
+    del table
     shared = spark.sparkContext.broadcast(models)
     # Where the calibration fold lacks a class, the counted documents stand in.
     part = 1 if all(sizes.get((t, 1)) for t in (0, 1)) else 0
