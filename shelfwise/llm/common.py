@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.session import scratch_path
@@ -35,11 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def first_by_hash(df: DataFrame, per: Iterable[str], n: int) -> DataFrame:
-    """At most n rows of each group, in the order of a hash of doc_id: the same rows however the table is dealt."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(*per).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
+    """A sample of at most n rows of each group, in the order of a hash of doc_id: the same rows however the table is dealt.
+
+    From the groups' sizes, rows whose hash can hardly be among the first n are dropped
+    before the shuffle, so that a group's ranking gets some 4 * n rows whatever its size.
+    """
+    sizes = df.groupBy(*per).agg(F.count(F.lit(1)).alias("_size"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    near = df.join(sizes, list(per)).where(place * F.col("_size") < 4 * n)
+    window = Window.partitionBy(*per).orderBy(place, "doc_id")
+    return near.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank", "_size")
 
 
 def sha256_hex(text: str) -> str:

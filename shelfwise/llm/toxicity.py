@@ -13,7 +13,7 @@ them and the length into a probability.
 Defined results: a null or empty text, or one without letters, has no evidence either
 way and gets the calibrated score of zero evidence; repeated rows get equal scores; other
 columns of the input are carried in ``row``; an empty table gives an empty result, and where a class
-has no labelled document every score is the share of toxic labels (0 without labels).
+has no labelled document in the table every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -240,7 +240,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: in
     rows = with_evidence(texts.where(F.col("calibrates") == part), shared).drop("text").collect()
     x = np.array([[*(r[c] for c in RATIOS), math.log1p(r["n_words"])] for r in rows]).reshape(len(rows), len(EVIDENCE))
     y = np.array([float(r["toxic"]) for r in rows])
-    taken = {t: max(1, int((y == t).sum())) for t in (0, 1)}
+    if not y.any() or y.all():  # labels of documents that the table does not hold
+        return None, np.array([share])
+    taken = {t: int((y == t).sum()) for t in (0, 1)}
     weight = np.array([sizes[(int(t), part)] / taken[int(t)] for t in y])
     weight *= len(weight) / weight.sum()
     return shared, fit_logistic(x, y, weight)
