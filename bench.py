@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from shelfwise.registry import QUERIES
@@ -15,7 +16,7 @@ HEADLINE = (
     "products_by_category", "rating_distribution", "user_behavior_analysis", "kpi_totals", "latency_summary",
     "top_products", "product_reviews", "top_n_per_user", "latest_snapshot", "search_products",
     "build_inverted_index", "tfidf", "similar_products", "user_similarity", "customer_similarity",
-    "hybrid_all_users", "als_recommend_all", "live_interactions",
+    "hybrid_all_users", "als_recommend_all", "live_interactions", "svd_recommend", "knn_sweep", "ranking_metrics",
 )
 
 
@@ -26,7 +27,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+           "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINTS") or tempfile.mkdtemp(prefix="bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
 

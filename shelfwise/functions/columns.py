@@ -23,11 +23,11 @@ def price_numeric(price: Column | str) -> Column:
 
 
 def sold_numeric(sold: Column | str) -> Column:
-    """Compact counts: ``1k2`` -> 1200, ``12k`` -> 12000, ``1,5k`` -> 1500, ``950`` -> 950."""
+    """Compact counts: ``1k2`` -> 1200, ``12k`` -> 12000, ``1,5k`` -> 1500, ``950`` -> 950; words may follow."""
     text = F.lower(F.trim(_c(sold)))
-    split_k = r"([0-9]+)k([0-9]+)$"
-    decimal_k = r"([0-9]+)[.,]([0-9]+)k$"
-    whole_k = r"([0-9]+)k$"
+    split_k = r"([0-9]+)k([0-9]+)"
+    decimal_k = r"([0-9]+)[.,]([0-9]+)k\b"
+    whole_k = r"([0-9]+)k\b"
 
     def thousands(pattern: str) -> Column:
         number = F.concat(F.regexp_extract(text, pattern, 1), F.lit("."), F.regexp_extract(text, pattern, 2))

@@ -53,6 +53,14 @@ def algorithm_comparison(recommendations: DataFrame, algorithms: Sequence[str])
     )
 
 
+def matrix_columns(behavior: DataFrame, limit: int = 2000) -> list:
+    """All product ids in order, as columns of a wide matrix; fails where they are more than ``limit``."""
+    found = [r[0] for r in behavior.select("product_id").distinct().orderBy("product_id").limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} products: use the long form")
+    return found
+
+
 def interaction_matrix(behavior: DataFrame, product_ids: Sequence, average: bool = True) -> DataFrame:
     """User by product table for a bounded product list; missing cells are 0.
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from shelfwise.functions.stop_words import ENGLISH
 from shelfwise.session import cut_lineage
 
-# Fixed value: size of the vocabulary.
-MAX_TERMS = 5000
-# A vocabulary is broadcast up to this many rows; its size is bounded by the limit, not by the data.
-MAX_BROADCAST_TERMS = 100_000
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -39,8 +35,8 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] | No
     return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, copies: str | None = None, limit: int = MAX_TERMS) -> DataFrame:
-    """``(term, df)`` of the most frequent terms in the corpus; ties broken by term.
+def vocabulary(counts: DataFrame, copies: str | None = None, limit: int | None = None) -> DataFrame:
+    """``(term, df)`` of all terms, or of the ``limit`` most frequent in the corpus; ties broken by term.
 
     ``copies`` names a column saying for how many equal documents a row stands.
     """
@@ -48,12 +44,14 @@ def vocabulary(counts: DataFrame, copies: str | None = None, limit: int = MAX_TE
     totals = counts.groupBy("term").agg(
         F.sum(F.col("tf") * weight).alias("total"), F.sum(weight).alias("df")
     )
-    return totals.orderBy(F.desc("total"), "term").limit(limit).select("term", "df")
+    if limit is not None:
+        totals = totals.orderBy(F.desc("total"), "term").limit(limit)
+    return totals.select("term", "df")
 
 
 def tfidf(
     docs: DataFrame, key: str, text: str, copies: str | None = None,
-    stop_words: list[str] | None = None, limit: int = MAX_TERMS,
+    stop_words: list[str] | None = None, limit: int | None = None,
 ) -> DataFrame:
     """``(id, dim, w)`` unit vectors with idf = ln((1 + n) / (1 + df)) + 1."""
     counts = term_counts(docs, key, text, stop_words)
@@ -63,10 +61,7 @@ def tfidf(
     counts = cut_lineage(counts)
     n = docs.agg(F.sum(copies) if copies else F.count(F.lit(1))).scalar()
     idf = F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1
-    chosen = vocabulary(counts, copies, limit)
-    if limit <= MAX_BROADCAST_TERMS:
-        chosen = F.broadcast(chosen)
-    weighted = counts.join(chosen, "term").select("id", F.col("term").alias("dim"), (F.col("tf") * idf).alias("x"))
+    weighted = counts.join(vocabulary(counts, copies, limit), "term").select("id", F.col("term").alias("dim"), (F.col("tf") * idf).alias("x"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weighted.join(norms, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("w"))
 

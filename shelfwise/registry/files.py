@@ -209,7 +209,9 @@ def _(spark, sf):
 SELECT 'user_behavior' AS topic, CAST(user_id AS VARCHAR) AS key, CAST(product_id AS VARCHAR) AS product_id, action
 FROM ev""", ("ev",))
 def _(spark, sf):
-    bus, source = published(spark, sf, "user_behavior")
+    bus = messages.Bus.files(scratch_path(spark, "bus"))
+    source = json_arrays(raw_json(spark, sf, "user_behavior"), scratch_path(spark, "arrays"))
+    messages.publish_file(spark, bus, source, schemas.RAW_EVENT, topic="user_behavior", key="user_id")
     sent = bus.batch(spark, ("user_behavior",))
     body = F.from_json("value", schemas.RAW_EVENT)
     return sent.select("topic", "key", body["product_id"].alias("product_id"), body["action"].alias("action"))

@@ -82,7 +82,7 @@ def _(spark, sf):
     rows.where(F.col("ts") >= cut).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
     R.start_speed_layer(stream, path, scratch_path(spark, "speed-checkpoint"), availableNow=True).awaitTermination()
-    merged = R.realtime_table(spark, rows.where(F.col("ts") < cut), path, ("user_id", "product_id"), "ts")
+    merged = R.realtime_table(spark, rows.where(F.col("ts") < cut), path, ("user_id", "product_id"), ("ts", "event_id"))
     return merged.drop("ts")
 
 

@@ -174,7 +174,8 @@ def _(spark, sf):
     f"coalesce(avg(CASE WHEN product_id = {i} THEN interaction_score END), 0.0) AS product_{i}" for i in range(100)
 ) + " FROM behavior GROUP BY user_id", ("behavior",))
 def _(spark, sf):
-    return A.interaction_matrix(behavior(spark, sf), range(100))
+    rows = behavior(spark, sf)
+    return A.interaction_matrix(rows, A.matrix_columns(rows))
 
 
 @query("kpi_totals", """

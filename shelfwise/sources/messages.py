@@ -95,7 +95,7 @@ def publish_file(
         (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
         body.alias("value"), target.alias("topic"),
     )
-    messages = messages.observe(observed, F.count(F.lit(1)).alias("read"), F.count("value").alias("sent"))
+    messages = messages.observe(observed, F.count(F.lit(1)).alias("read"), F.count("topic").alias("sent"))
     bus.publish(messages)
     return observed.get["sent"], observed.get["read"]
 

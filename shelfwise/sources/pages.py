@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "N/A"
-REVIEWS_PER_PAGE = 50
 
 
 def text_of(css_class: str) -> str:
@@ -103,11 +102,13 @@ def extract_product_detail(pages: DataFrame, spec: PageSpec = DETAIL) -> DataFra
     )
 
 
-def extract_reviews(pages: DataFrame, spec: PageSpec = REVIEWS, per_page: int = REVIEWS_PER_PAGE) -> DataFrame:
-    """Review blocks of each page, the first ``per_page`` as the collector takes them."""
+def extract_reviews(pages: DataFrame, spec: PageSpec = REVIEWS, per_page: int | None = None) -> DataFrame:
+    """Review blocks of each page: all, or the first ``per_page``."""
     block = F.col("block")
     wanted = {"username": "author", "comment": "content", "time": "time"}
-    blocks = F.slice(_all(F.col("html"), spec.block), 1, per_page)
+    blocks = _all(F.col("html"), spec.block)
+    if per_page is not None:
+        blocks = F.slice(blocks, 1, per_page)
     return _blocks(pages, blocks).select(
         "page_id", "position",
         *[(_field(block, spec.fields[s]) if s in spec.fields else F.lit(MISSING)).alias(n) for n, s in wanted.items()],

@@ -44,15 +44,32 @@ def live_interactions(
     )
 
 
-def read_live(spark: SparkSession, path: str, keys: Sequence[str] = ("user_id", "product_id")) -> DataFrame:
-    """Newest value per key of a table written batch by batch."""
-    return latest_per_key(spark.read.parquet(path), keys, [F.col("batch_id")]).drop("batch_id")
+def read_live(
+    spark: SparkSession, path: str, keys: Sequence[str] = ("user_id", "product_id"), compacted: str | None = None
+) -> DataFrame:
+    """Newest value per key of a table written batch by batch.
+
+    With ``compacted``, the folder that ``compact_live`` wrote, only the batches after its
+    newest one are read from ``path``.
+    """
+    rows = spark.read.parquet(path)
+    if compacted:
+        folded = spark.read.parquet(compacted)
+        newest = folded.agg(F.max("batch_id")).scalar()
+        rows = folded.where(F.col("batch_id") == newest).unionByName(rows.where(F.col("batch_id") > newest))
+    return latest_per_key(rows, keys, [F.col("batch_id")]).drop("batch_id")
 
 
-def compact_live(spark: SparkSession, path: str, target: str, keys: Sequence[str] = ("user_id", "product_id")) -> None:
-    """Fold the batches into one, so that reads stay cheap; the stream goes on with later batch ids."""
+def compact_live(
+    spark: SparkSession, path: str, target: str, keys: Sequence[str] = ("user_id", "product_id"), compacted: str | None = None
+) -> None:
+    """Fold the batches so far into one below ``target``, from an earlier compaction on if given.
+
+    The stream goes on with later batch ids in ``path``; readers name ``target``. Batches up to
+    the folded one are no longer read and can be removed.
+    """
     newest = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    read_live(spark, path, keys).write.mode("overwrite").parquet(f"{target}/batch_id={newest}")
+    read_live(spark, path, keys, compacted).write.mode("overwrite").parquet(f"{target}/batch_id={newest}")
 
 
 def start_speed_layer(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -64,8 +81,9 @@ def start_speed_layer(stream: DataFrame, path: str, checkpoint: str, **trigger)
 
 
 def realtime_table(
-    spark: SparkSession, batch: DataFrame | None, path: str, keys: Sequence[str], version: str
+    spark: SparkSession, batch: DataFrame | None, path: str, keys: Sequence[str], version: str | Sequence[str]
 ) -> DataFrame:
-    """Batch rows overlaid with the newest streamed row per key."""
+    """Batch rows overlaid with the newest streamed row per key; more version columns decide between equal first ones."""
     streamed = spark.read.parquet(path).drop("batch_id")
-    return merged_view(batch, streamed, keys, [F.col(version)])
+    versions = [version] if isinstance(version, str) else version
+    return merged_view(batch, streamed, keys, [F.col(v) for v in versions])

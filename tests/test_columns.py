@@ -19,9 +19,9 @@ def test_price_numeric(spark):
 
 
 def test_sold_numeric(spark):
-    texts = ["1k2", "2k5", "1k8", "950", "12k", "1,5k", "2.5K", "N/A", None]
+    texts = ["1k2", "2k5", "1k8", "950", "12k", "1,5k", "2.5K", "N/A", None, "1k2 sold", "12k sold"]
     got = values(spark, texts, "s string", C.sold_numeric("s"))
-    assert got == [1200.0, 2500.0, 1800.0, 950.0, 12000.0, 1500.0, 2500.0, None, None]
+    assert got == [1200.0, 2500.0, 1800.0, 950.0, 12000.0, 1500.0, 2500.0, None, None, 1200.0, 12000.0]
 
 
 def test_popularity_score(spark):

@@ -134,8 +134,14 @@ def test_live_interactions_equal_the_batch(spark, tmp_path):
     again = [first[0], (3, "u", "p", "add_to_cart", "2024-01-01T00:00:02Z")]
     expected = [("u", "p", 2, 4.0), ("u", "q", 1, 5.0)]
     assert run("b.json", again) == expected
-    R.compact_live(spark, live, str(tmp_path / "compact"))
-    assert rows(R.read_live(spark, str(tmp_path / "compact"))) == expected
+    target = str(tmp_path / "compact")
+    R.compact_live(spark, live, target)
+    assert rows(R.read_live(spark, live, compacted=target)) == expected
+    later = [("u", "p", 3, 5.0), ("u", "q", 1, 5.0), ("v", "p", 1, 5.0)]
+    assert run("c.json", [(4, "u", "p", "view", "2024-01-01T00:00:03Z"), (5, "v", "p", "purchase", "2024-01-01T00:00:04Z")]) == later
+    assert rows(R.read_live(spark, live, compacted=target)) == later
+    R.compact_live(spark, live, target, compacted=target)
+    assert rows(R.read_live(spark, live, compacted=target)) == later
 
 
 def test_realtime_table_overlays_batch(spark, tmp_path):
@@ -191,5 +197,5 @@ def test_page_extraction(spark):
     assert (detail.name, detail.rating, detail.rating_count, detail.description) == ("Lamp", "4.5", "N/A", "N/A")
     assert detail.categories == ["Home", "Lamps"]
     found = pages.extract_reviews(page).collect()
-    assert len(found) == 50
+    assert len(found) == 60 and pages.extract_reviews(page, per_page=50).count() == 50
     assert (found[0].username, found[0].comment, found[0].time, found[0].rating) == ("ann", "fine", "N/A", 1)
