@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shelfwise.session import scratch_path
 
 
 def index_ids(df: DataFrame, column: str, index: str, buckets: int = 512) -> DataFrame:
@@ -42,6 +45,17 @@ def deindex(recommendations: DataFrame, users: DataFrame, items: DataFrame) -> D
 
 
 def ordinal_ids(df: DataFrame, order: list[str], doc_id: str = "doc_id") -> DataFrame:
-    """Number rows 0..n-1 in the given order, through the per-partition counts of a range sort."""
-    schema = df.schema.add(doc_id, "long")
-    return df.orderBy(*order).rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(schema)
+    """Number rows 0..n-1 in the given order.
+
+    The rows are range-sorted once and stored with their partition and place in it; a
+    partition starts where the counts of those before it end, one row per partition.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ordered")
+    df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*df.schema, T.StructField("_at", T.LongType())])).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return placed.join(starts, "_part").withColumn(doc_id, number).select(*df.columns, doc_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,7 @@ def bulk_load_index(
         keyed = df.withColumn("doc_id", F.col(id_field).cast("string"))
     else:
         keyed = ordinal_ids(df, order or df.columns).withColumn("doc_id", F.col("doc_id").cast("string"))
-    given = df.count()
-    keyed.where("doc_id is not null").write.mode("overwrite").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name).count(), given
+    observed = Observation("loaded")
+    given, loaded = F.count(F.lit(1)).alias("given"), F.count("doc_id").alias("loaded")
+    keyed.observe(observed, given, loaded).where("doc_id is not null").write.mode("overwrite").format("parquet").saveAsTable(name)
+    return observed.get["loaded"], observed.get["given"]
