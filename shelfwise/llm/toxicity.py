@@ -6,7 +6,7 @@ lower orders are Kneser-Ney continuation counts of both classes together, so a r
 expression is smoothed towards what both share and only what the classes really write
 differently moves the score. A document's evidence is the difference of the two
 log-likelihoods, normalised by length: per word over the whole text, and per word over its
-most toxic stretches of ``WINDOWS`` words, since abuse may be a few words in a long text.
+``BEST`` most toxic words, since abuse may be a few words scattered over a long text.
 A logistic calibration, fitted on labelled documents that the models have not seen, turns
 them and the length into a probability.
 
@@ -31,12 +31,13 @@ from pyspark.sql import types as T
 
 from shelfwise.llm.common import HELD_OUT, first_by_hash, fold, held_out
 
-ORDER = 5
-WINDOWS = (1, 4, 16)
+#: Long enough that a word's start and its stem fit into one n-gram.
+ORDER = 9
+BEST = (3, 8)
 #: Bound of the labelled sample: documents of each class, for counting and again for calibration.
 SAMPLE = 3000
 #: Bound of what is collected from that sample: n-grams of either class, the most frequent first.
-MAX_GRAMS = 1_000_000
+MAX_GRAMS = 400_000
 #: Words whose score a task remembers before it starts afresh.
 MEMORY = 200_000
 THRESHOLD = 0.3
@@ -170,16 +171,16 @@ class WordScores(dict):
 
 
 def evidence(text: str | None, scores: WordScores) -> list[float]:
-    """Log-likelihood difference per word: of the whole text, of its most toxic windows; then its words."""
+    """Log-likelihood difference per word: of the whole text, of its most toxic words; then its words."""
     words = (text or "").lower().split()
     if not words:
-        return [0.0] * (len(WINDOWS) + 2)
-    sums = np.concatenate(([0.0], np.cumsum(np.fromiter(map(scores.__getitem__, words), float, len(words)))))
-    best = [((sums[w:] - sums[:-w]).max() if len(words) > w else sums[-1]) / w for w in WINDOWS]
-    return [float(sums[-1] / len(words)), *map(float, best), float(len(words))]
+        return [0.0] * (len(BEST) + 2)
+    found = np.fromiter(map(scores.__getitem__, words), float, len(words))
+    highest = -np.sort(np.partition(-found, max(BEST))[: max(BEST)] if len(found) > max(BEST) else -found)
+    return [float(found.mean()), *(float(highest[:k].sum() / k) for k in BEST), float(len(words))]
 
 
-RATIOS = ["mean_ratio", *(f"window_{w}_ratio" for w in WINDOWS)]
+RATIOS = ["mean_ratio", *(f"best_{k}_ratio" for k in BEST)]
 EVIDENCE = [*RATIOS, "n_words"]
 
 
