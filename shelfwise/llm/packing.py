@@ -37,6 +37,8 @@ GROUP = 250_000
 #: Chunks whose ids a task remembers before it starts afresh.
 MEMORY = 300_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The vocabulary's one added token. Where a text spells it out, the tokenizer file gives its id; so is it here.
+ADDED = {"<|endoftext|>": 50256}
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 
@@ -55,7 +57,7 @@ class Encoder(dict):
         super().__init__()
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokens = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MEMORY:
@@ -64,7 +66,10 @@ class Encoder(dict):
         return value
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        encode = self.tokens.encode_ordinary
+        if any(token in text for token in ADDED):
+            encode = lambda t: self.tokens.encode(t, allowed_special="all")
+        return np.array(encode(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         if _SPACE_AFTER_SPACE.search(text):

@@ -62,6 +62,23 @@ def test_toxicity(spark, odd, none, labels, marked):
     assert toxicity(none, labels).count() == 0
 
 
+def test_toxicity_of_scattered_words(spark):
+    """A few words on one stem, scattered over clean text, are found in documents that the models have not seen."""
+    rng = np.random.default_rng(5)
+    parts = np.array(["ba", "che", "dor", "en", "fi", "gral", "ho", "in"])
+    word = lambda: "".join(rng.choice(parts, rng.integers(1, 4)))
+    rows = []
+    for k in range(600):
+        text = [word() for _ in range(60)]
+        if k % 4 == 0:
+            for at in rng.choice(60, 4, replace=False):
+                text[at] = "grachen" + word()
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in found) > 0.95 * len(found) > 100
+
+
 def test_language(spark, odd, none):
     rows = [(k, ("der die und nicht ein " if k % 2 else "the and of with that ") * 3 + str(k), "de" if k % 2 else "en") for k in range(60)]
     found = identify(spark.createDataFrame([*rows, (61, None, "de"), (62, "12 345 !", "en")], "doc_id long, text string, lang string"))
@@ -196,9 +213,8 @@ def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     ours = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for text in ("a b", " lead", "two  spaces", "tab\t and\n new  line \n", "it's we'll 12 34", "trail ", "ümlaut  x", "\n \n", ""):
+    for text in ("a b", " lead", "two  spaces", "tab\t and\n new  line \n", "it's we'll 12 34", "trail ", "ümlaut  x", "\n \n", "", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>  y"):
         assert list(np.frombuffer(ours.ids(text), "<u4")) == exact.encode(text, add_special_tokens=False).ids
     assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
     rows = packed(odd).toPandas().sort_values(["sequence_id", "offset"])
