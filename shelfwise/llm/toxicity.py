@@ -40,6 +40,8 @@ SAMPLE = 3000
 MAX_GRAMS = 400_000
 #: Words whose score a task remembers before it starts afresh.
 MEMORY = 200_000
+#: Shared probabilities of n-grams up to this order are remembered; there are few of them.
+REMEMBERED = 4
 THRESHOLD = 0.3
 CALIBRATION_FOLD = 3
 
@@ -81,7 +83,8 @@ class SharedBackoff:
         if total:
             d = self.discounts[n]
             lower = max(self.counts[n].get(gram, 0) - d, 0) / total + d * self.kinds[n][gram[:-1]] / total * lower
-        self.known[gram] = lower
+        if n <= REMEMBERED:
+            self.known[gram] = lower
         return lower
 
 
