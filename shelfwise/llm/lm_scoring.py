@@ -1,14 +1,16 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models share one vocabulary, the ``VOCABULARY - 2`` most frequent words of all
-documents, a start mark and one symbol for every other word, and the same interpolated
-Kneser-Ney smoothing; only their counts differ. Counts cover every document: tasks count
-bigrams into an array of fixed size and send each non-zero cell once, and the sums have at
-most VOCABULARY ** 2 cells, whatever the corpus. That bounds what the driver holds and what
-is broadcast: two tables of losses, 17 MB each.
+Both models know every word of the documents and of the target, have a start mark, and use
+the same interpolated Kneser-Ney smoothing; only their counts differ. A word is known by a
+64-bit hash of its spelling. Tasks count bigrams before they send them, the counts and what
+smoothing needs of each context and each word are stored tables, and each document's counted
+bigrams are joined to their losses. All of these grow with the input; the driver gets a few
+totals and nothing is broadcast by hand. A hot bigram is one row per task of the counts and
+one row per document of the last join, whose hot partitions Spark deals anew.
 
 A document's score is the mean over its tokens of target loss minus background loss, in
-nats: the lower, the more it reads like the target.
+nats: the lower, the more it reads like the target. Losses are summed as whole multiples of
+1 / SCALE nats, so that the order of the sum changes nothing.
 
 Defined results: a null or empty text has no tokens, losses of 0 and score 0; repeated rows
 count as often as they occur and get equal scores; where the target is empty, the target
@@ -17,81 +19,115 @@ model is uniform; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import stored
+
+#: Side of the square of counts that tests hold against the closed form of ``kneser_ney``; the models have no such bound.
 VOCABULARY = 2048
-OTHER, START = 0, 1
-#: Words a task counts before it sends what it has.
+START = 0
+#: Tokens a task counts before it sends what it has, and spellings whose hash it remembers.
 MEMORY = 500_000
+SCALE = 2**32
+MODELS = ("target", "background")
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _texts(df: DataFrame, *more: str) -> DataFrame:
+def _texts(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(*more, F.col("text").cast("string").alias("text"))
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """How often each word occurs in all documents."""
+class Hashes(dict):
+    """Signed 64-bit hashes of words, never START; forgotten when too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True) or 1
+        return value
+
+    def of(self, text: str | None) -> np.ndarray:
+        """START and the hashes of the text's words."""
+        found = words(text)
+        return np.fromiter((START, *map(self.__getitem__, found)), np.int64, len(found) + 1)
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    return first[new], second[new], np.diff(np.append(new, len(first)))
+
+
+def bigram_counts(texts: DataFrame) -> DataFrame:
+    """h, w, n: how often the word w follows h, several rows per task and bigram."""
     def count(batches):
-        seen: Counter = Counter()
+        hashes, gathered, size = Hashes(), [], 0
 
         def sent():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            pairs = _distinct(np.concatenate([x[:-1] for x in gathered]), np.concatenate([x[1:] for x in gathered]))
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in pairs], ["h", "w", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(words(text))
-                if len(seen) > MEMORY:
+                found = hashes.of(text)
+                if len(found) > 1:
+                    gathered.append(found)
+                    size += len(found)
+                if size > MEMORY:
                     yield sent()
-                    seen.clear()
-        if seen:
+                    gathered, size = [], 0
+        if gathered:
             yield sent()
 
-    return _texts(documents).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+    return _texts(texts).mapInArrow(count, "h long, w long, n long")
 
-class Vocabulary(dict):
-    """Numbers of the known words; any other word is OTHER."""
-
-    def __missing__(self, word: str) -> int:
-        return OTHER
 
-    def bigrams(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        ids = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return np.append(START, ids)[:-1] * VOCABULARY + ids
+def document_bigrams(documents: DataFrame) -> DataFrame:
+    """key, h, w, n: each row's distinct bigrams; ``heads`` is 1 in one of them and 0 in the others."""
+    def count(batches):
+        hashes, rows, size = Hashes(), [], 0
 
+        def sent():
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "w", "n", "heads"])
 
-def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    top = word_counts(documents).orderBy(F.desc("n"), "word").limit(size - 2).collect()
-    return Vocabulary({r["word"]: k + 2 for k, r in enumerate(top)})
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = hashes.of(text)
+                if len(found) > 1:
+                    h, w, n = _distinct(found[:-1], found[1:])
+                    heads = np.zeros(len(h), np.int32)
+                    heads[0] = 1
+                    rows.append((np.full(len(h), key, np.int64), h, w, n.astype(np.int64), heads))
+                    size += len(h)
+                if size > MEMORY:
+                    yield sent()
+                    rows, size = [], 0
+        if rows:
+            yield sent()
 
+    return _texts(documents, _key()).mapInArrow(count, "key long, h long, w long, n long, heads int")
 
-def bigram_counts(documents: DataFrame, known) -> DataFrame:
-    """Non-zero cells of the documents' bigram counts, one row per task and cell."""
-    def count(batches):
-        cells = np.zeros(VOCABULARY**2, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(cells, known.value.bigrams(text), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
-    return _texts(documents).mapInArrow(count, "cell int, n long")
+def _key() -> Column:
+    """Rows of one key are copies of each other."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key")
 
 
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Losses in nats of each word after each word, from a square of counts."""
+    """Losses in nats of each word after each word, from a square of counts: the model of ``bigram_losses`` in closed form."""
     once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+    discount = _discount(once, twice)
     size = len(counts)
     kinds = (counts > 0).sum(axis=0)
     total_kinds = kinds.sum()
@@ -110,34 +146,51 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return losses.ravel()
 
 
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def bigram_losses(documents: DataFrame, target: DataFrame) -> DataFrame:
+    """h, w and the losses of both models, in 1 / SCALE nats, of every bigram of the documents and the target."""
+    parts = bigram_counts(target).withColumn("aimed", F.lit(True)).unionByName(
+        bigram_counts(documents).withColumn("aimed", F.lit(False)))
+    counts = stored(parts.groupBy("h", "w").agg(
+        *(F.sum(F.when(F.col("aimed") == (m == "target"), F.col("n")).otherwise(0)).alias(m) for m in MODELS)), "bigrams")
+    sure = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    contexts = stored(counts.groupBy("h").agg(
+        *(F.sum(m).alias(f"{m}_total") for m in MODELS), *(sure(F.col(m) > 0).alias(f"{m}_kinds") for m in MODELS)), "contexts")
+    followers = stored(counts.groupBy("w").agg(*(sure(F.col(m) > 0).alias(f"{m}_before") for m in MODELS)), "followers")
+    seen = counts.agg(*(sure(F.col(m) == k).alias(f"{m}_{k}") for m in MODELS for k in (1, 2))).first()
+    sizes = followers.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(f"{m}_before"), F.lit(0)).alias(f"{m}_pairs") for m in MODELS),
+                          *(sure(F.col(f"{m}_before") > 0).alias(f"{m}_words") for m in MODELS)).first()
+    size = sizes["words"] + 1
+    discount = {m: _discount(seen[f"{m}_1"], seen[f"{m}_2"]) for m in MODELS}
+
+    def own(m: str) -> Column:
+        return F.when(F.col(m) > 0, (F.col(m) - discount[m]) / F.col(f"{m}_total")).otherwise(0.0).alias(f"{m}_own")
+
+    def weight(m: str) -> Column:
+        return F.when(F.col(f"{m}_total") > 0, discount[m] * F.col(f"{m}_kinds") / F.col(f"{m}_total")).otherwise(1.0).alias(f"{m}_weight")
+
+    def lower(m: str) -> Column:
+        pairs = sizes[f"{m}_pairs"]
+        if not pairs:
+            return F.lit(1.0 / size)
+        return F.greatest(F.col(f"{m}_before") - discount[m], F.lit(0.0)) / pairs + discount[m] * sizes[f"{m}_words"] / pairs / size
+
+    def loss(m: str) -> Column:
+        return F.round(-F.log(F.col(f"{m}_own") + F.col(f"{m}_weight") * lower(m)) * SCALE).cast("long").alias(f"{m}_loss")
+
+    weighed = counts.join(contexts, "h").select("h", "w", *map(own, MODELS), *map(weight, MODELS))
+    return weighed.join(followers, "w").select("h", "w", *map(loss, MODELS))
+
+
 def cross_entropy_difference(documents: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every whole text; ``target`` has a column ``text``."""
-    spark = documents.sparkSession
-    known = spark.sparkContext.broadcast(vocabulary(documents))
-    parts = bigram_counts(documents, known).withColumn("aimed", F.lit(False)).unionByName(
-        bigram_counts(target, known).withColumn("aimed", F.lit(True)))
-    amount = lambda aimed: F.sum(F.when(F.col("aimed") == aimed, F.col("n")).otherwise(0))
-    counts = parts.groupBy("cell").agg(amount(True).alias("target"), amount(False).alias("background")).toArrow()
-    tables = []
-    for model in ("target", "background"):
-        square = np.zeros(VOCABULARY**2, np.int64)
-        square[counts.column("cell").to_numpy()] = counts.column(model).to_numpy()
-        tables.append(kneser_ney(square.reshape(VOCABULARY, VOCABULARY)))
-    del counts
-    losses = spark.sparkContext.broadcast(tables)
-
-    def score(batches):
-        target_losses, background_losses = losses.value
-        for batch in batches:
-            sizes, means = [], []
-            for text in batch.column("text").to_pylist():
-                at = known.value.bigrams(text)
-                sizes.append(len(at))
-                means.append((float(target_losses[at].mean(dtype=float)), float(background_losses[at].mean(dtype=float))) if len(at) else (0.0, 0.0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array([m[k] for m in means], pa.float64()) for k in (0, 1))],
-                ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    return _texts(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        score, "doc_id long, n_tokens long, target_loss double, background_loss double"
+    losses = bigram_losses(documents, target)
+    sums = document_bigrams(documents).join(losses, ["h", "w"]).groupBy("key").agg(
+        F.sum("heads").alias("copies"), F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"{m}_loss")).alias(f"{m}_sum") for m in MODELS))
+    mean = lambda m: F.coalesce(F.col(f"{m}_sum") / F.col("n") / SCALE, F.lit(0.0)).alias(f"{m}_loss")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key()).join(sums, "key", "left").select(
+        "doc_id", F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0)).alias("n_tokens"), *map(mean, MODELS)
     ).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -97,6 +97,28 @@ def test_lm_scoring(spark, odd, none, marked):
     assert cross_entropy_difference(none, none).count() == 0
 
 
+def test_lm_scoring_knows_every_word(spark):
+    """Words far beyond any list of frequent ones move the scores, as the closed form over all words says."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["common", "words", *(f"r{i}" for i in rng.integers(0, 4000, 30)), "common"]) for _ in range(300)]
+    rows = [*enumerate(texts), (0, texts[0]), (1000, texts[1]), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    number = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    assert len(number) > VOCABULARY
+    pairs = [[(a, b) for a, b in zip([0, *ids], ids)] for ids in ([number[w] for w in (t or "").split()] for _, t in rows)]
+    losses = []
+    for kept in (lambda k: k is not None and k % 3 == 0, lambda k: True):
+        counts = np.zeros((len(number) + 1,) * 2, np.int64)
+        for (k, _), found in zip(rows, pairs):
+            if kept(k):
+                np.add.at(counts, tuple(zip(*found)) if found else ([], []), 1)
+        losses.append(kneser_ney(counts).reshape(counts.shape))
+    want = sorted((k, len(p), *(float(np.mean([m[x] for x in p])) if p else 0.0 for m in losses)) for (k, _), p in zip(rows, pairs))
+    got = sorted(tuple(r)[:4] for r in cross_entropy_difference(docs, docs.where("doc_id % 3 = 0")).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     counts = np.random.default_rng(0).poisson(0.05, (VOCABULARY, VOCABULARY))
     counts[7] = 0
