@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,58 +35,47 @@ from shelfwise.llm.common import HELD_OUT, first_by_hash, fold, held_out
 #: Long enough that a word's start and its stem fit into one n-gram.
 ORDER = 9
 BEST = (3, 8)
-#: Bound of the labelled sample: documents of each class, for counting and again for calibration.
+#: Bound of the labelled sample: documents of each class, for counting and again for calibration. All its n-grams are kept.
 SAMPLE = 3000
-#: Bound of what is collected from that sample: n-grams of either class, the most frequent first.
-MAX_GRAMS = 400_000
 #: Words whose score a task remembers before it starts afresh.
 MEMORY = 200_000
-#: Shared probabilities of n-grams up to this order are remembered; there are few of them.
-REMEMBERED = 4
 THRESHOLD = 0.3
 CALIBRATION_FOLD = 3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _discount(counts) -> float:
+def _discount(counts: np.ndarray) -> float:
     """Absolute discount from the numbers of events seen once and twice."""
-    once, twice = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-class SharedBackoff:
-    """Interpolated Kneser-Ney continuation probabilities of both classes together."""
-
-    def __init__(self, grams: set[str], order: int):
-        self.counts: list[Counter] = [Counter() for _ in range(order)]
-        for n in range(order - 1, 0, -1):
-            longer = grams if n == order - 1 else self.counts[n + 1]
-            self.counts[n].update(g[1:] for g in longer if len(g) == n + 1)
-        self.totals = [Counter() for _ in range(order)]
-        self.kinds = [Counter() for _ in range(order)]
-        self.discounts = [0.5] * order
-        for n in range(1, order):
-            for g, c in self.counts[n].items():
-                self.totals[n][g[:-1]] += c
-                self.kinds[n][g[:-1]] += 1
-            self.discounts[n] = _discount(self.counts[n].values())
-        self.symbols = max(1, len(self.counts[1])) + 1
-        self.known: dict[str, float] = {}
-
-    def probability(self, gram: str) -> float:
-        if not gram:
-            return 1.0 / self.symbols
-        if gram in self.known:
-            return self.known[gram]
-        n, lower = len(gram), self.probability(gram[1:]) if len(gram) > 1 else 1.0 / self.symbols
-        total = self.totals[n].get(gram[:-1], 0)
-        if total:
-            d = self.discounts[n]
-            lower = max(self.counts[n].get(gram, 0) - d, 0) / total + d * self.kinds[n][gram[:-1]] / total * lower
-        if n <= REMEMBERED:
-            self.known[gram] = lower
-        return lower
+def _cut(grams: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The characters from ``first`` to ``last`` of n-grams of one length."""
+    letters = grams.view(np.uint32).reshape(len(grams), grams.itemsize // 4)[:, first:last]
+    return np.ascontiguousarray(letters).view(f"<U{last - first}").ravel()
+
+
+def shared_probabilities(grams: np.ndarray, order: int) -> np.ndarray:
+    """Interpolated Kneser-Ney continuation probability of each n-gram without its first character.
+
+    ``grams`` are the distinct n-grams of both classes together.
+    """
+    levels = []  # from the longest suffixes to single characters: (distinct, in how many longer ones, their place)
+    longer = grams
+    for n in range(order - 1, 0, -1):
+        kept, place, counts = np.unique(_cut(longer, 1, n + 1), return_inverse=True, return_counts=True)
+        levels.append((kept, place, counts))
+        longer = kept
+    lower = np.array([1.0 / (max(1, len(longer)) + 1)])
+    place = np.zeros(len(longer), np.int64)
+    for n, (kept, shorter, counts) in enumerate(reversed(levels), 1):
+        context = np.unique(_cut(kept, 0, n - 1), return_inverse=True)[1] if n > 1 else np.zeros(len(kept), np.int64)
+        total, kinds, d = np.bincount(context, counts), np.bincount(context), _discount(counts)
+        lower = np.maximum(counts - d, 0) / total[context] + d * kinds[context] / total[context] * lower[place]
+        place = shorter
+    return lower[place]
 
 
 def _grams(word: str, order: int) -> Iterator[str]:
@@ -121,34 +111,32 @@ class ClassModels:
     Where neither class has seen a letter after its context, both fall back on the same
     shared probability, which cancels out: only the backoff weights remain. So the log
     ratio of each seen n-gram and of the backoff weights of each seen context suffice.
+    They are sent as sorted arrays; a task that reads words makes them dictionaries.
     """
 
-    def __init__(self, counts: Iterable[tuple[int, str, int]], order: int = ORDER):
-        seen: list[Counter] = [Counter(), Counter()]
-        for toxic, gram, count in counts:
-            seen[toxic][gram] = count
-        shared = SharedBackoff(set(seen[0]) | set(seen[1]), order)
-        totals, kinds, discounts = [Counter(), Counter()], [Counter(), Counter()], []
-        for c in (0, 1):
-            for gram, count in seen[c].items():
-                totals[c][gram[:-1]] += count
-                kinds[c][gram[:-1]] += 1
-            discounts.append(_discount(seen[c].values()))
-
-        def weight(c: int, context: str) -> float:
-            total = totals[c].get(context, 0)
-            return discounts[c] * kinds[c][context] / total if total else 1.0
-
+    def __init__(self, toxic: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int = ORDER):
         self.order = order
-        self.backoff = {h: math.log(weight(1, h) / weight(0, h)) for h in totals[0].keys() | totals[1].keys()}
-        self.ratio = {}
-        for gram in seen[0].keys() | seen[1].keys():
-            lower, p = shared.probability(gram[1:]), []
-            for c in (0, 1):
-                total = totals[c].get(gram[:-1], 0)
-                own = max(seen[c].get(gram, 0) - discounts[c], 0) / total if total else 0.0
-                p.append(own + weight(c, gram[:-1]) * lower)
-            self.ratio[gram] = math.log(p[1] / p[0])
+        self.grams, place = np.unique(grams.astype(f"<U{order}"), return_inverse=True)
+        self.contexts, context = np.unique(_cut(self.grams, 0, order - 1), return_inverse=True)
+        lower = shared_probabilities(self.grams, order)
+        logs, weights = [], []
+        for c in (0, 1):
+            seen = np.bincount(place[toxic == c], counts[toxic == c], len(self.grams))
+            total = np.bincount(context, seen, len(self.contexts))
+            kinds = np.bincount(context, seen > 0, len(self.contexts))
+            d, safe = _discount(seen), np.maximum(total, 1)
+            weight = np.where(total > 0, d * kinds / safe, 1.0)
+            logs.append(np.log(np.maximum(seen - d, 0) / safe[context] + weight[context] * lower))
+            weights.append(np.log(weight))
+        self.ratios, self.backoffs = logs[1] - logs[0], weights[1] - weights[0]
+
+    @cached_property
+    def ratio(self) -> dict[str, float]:
+        return dict(zip(self.grams.tolist(), self.ratios.tolist(), strict=True))
+
+    @cached_property
+    def backoff(self) -> dict[str, float]:
+        return dict(zip(self.contexts.tolist(), self.backoffs.tolist(), strict=True))
 
     def word(self, word: str) -> float:
         """Toxic minus ordinary log-likelihood of a word."""
@@ -235,9 +223,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, order: in
         return None, np.array([share])
     chosen = F.broadcast(first_by_hash(known, ["toxic", "calibrates"], sample))  # 4 * sample rows at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    table = gram_counts(texts.where("calibrates = 0"), order).orderBy(F.desc("n"), "gram", "toxic").limit(MAX_GRAMS).toArrow()
-    models = ClassModels(zip(*(table.column(c).to_pylist() for c in ("toxic", "gram", "n")), strict=True), order)
+    table = gram_counts(texts.where("calibrates = 0"), order).toArrow()
+    toxic, counts = table.column("toxic").to_numpy(), table.column("n").to_numpy()
+    grams = np.fromiter((g for part in table.column("gram").chunks for g in part.to_pylist()), f"<U{order}", len(table))
     del table
+    models = ClassModels(toxic, grams, counts, order)
+    del toxic, grams, counts
     shared = spark.sparkContext.broadcast(models)
     # Where the calibration fold lacks a class, the counted documents stand in.
     part = 1 if all(sizes.get((t, 1)) for t in (0, 1)) else 0

@@ -22,7 +22,7 @@ from shelfwise.llm.pii import find, redact
 from shelfwise.llm.quality import VoteModel, measures, quality
 from shelfwise.llm.sharding import allot, capacities, shard_rows
 from shelfwise.llm.simhash import components, deduplicated, fingerprint, masks, near_duplicates, near_edges
-from shelfwise.llm.toxicity import toxicity
+from shelfwise.llm.toxicity import fit, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, fp long, t string"
@@ -79,6 +79,19 @@ def test_toxicity_of_scattered_words(spark):
     assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in found) > 0.95 * len(found) > 100
 
 
+def test_toxicity_keeps_every_ngram_of_its_sample(spark):
+    """Rare spellings late in the alphabet are in the models however many n-grams the sample has."""
+    rng = np.random.default_rng(6)
+    spelled = ["".join(map(chr, w)) for w in rng.integers(97, 123, (150_000, 9))]
+    rows = [(k, " ".join(spelled[k::40]) + (f" zz{'yxwvutsrqp'[k // 4]}zzyzy" if k % 4 == 0 else "")) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models, _ = fit(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, toxic int"))
+    counted = [t for k, t in rows if zlib.crc32(str(k).encode()) % 4 not in (2, 3)]
+    grams = {"\x02" * 8 + w + "\x03" for t in counted for w in t.split()}
+    grams = {g[i : i + 9] for g in grams for i in range(len(g) - 8)}
+    assert len(grams) > 450_000 and models.value.ratio.keys() == grams
+
+
 def test_language(spark, odd, none):
     rows = [(k, ("der die und nicht ein " if k % 2 else "the and of with that ") * 3 + str(k), "de" if k % 2 else "en") for k in range(60)]
     found = identify(spark.createDataFrame([*rows, (61, None, "de"), (62, "12 345 !", "en")], "doc_id long, text string, lang string"))
