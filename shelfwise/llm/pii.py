@@ -3,12 +3,14 @@
 The base rules (e-mail, address, card and phone patterns with their checks) always hold.
 Beside them looser generators propose spans that may overlap each other. Each proposal is
 described by a few whole numbers: its kind, digits, separators, the characters around it
-and the cue words before it. Whether the base rules confirm a proposal is its training
-label; the checks themselves are no features, so the trees learn how confirmed data looks
-and where it stands, and find it again where a base pattern ran into its neighbours.
-Proposals are counted by description over all documents, a map-side aggregate with a
-bounded number of rows, and the trees are boosted on these counts. For each kind the lowest
-score that keeps ``PRECISION`` on the held-out fold is the threshold.
+and the cue words before it. Its training label is whether the proposal itself passes the
+checks of its kind and no base span of another kind lies across it; neither the checks nor
+the marks that only a base pattern asks for are features. So the trees learn where data
+that passes stands, and find it where a base pattern ran into its neighbours or asks for
+another form. Proposals are counted by description over all documents, a map-side aggregate
+with a bounded number of rows, and the trees are boosted on these counts. For each kind the
+threshold is the lowest score whose own level keeps ``PRECISION`` on the held-out fold,
+levels that contradict the order of the scores being judged together.
 
 Everything is DataFrame code. A span's place is the sum of the lengths before it, which the
 same pattern's matches and the gaps between them give within the row.
@@ -48,7 +50,7 @@ CUES = {
     4: r"(?i)(?:\bip|host|address|server)\W*$",
     5: r"(?i)(?:id|no|order|version|token|key|password|isbn)\W*$",
 }
-FEATURES = ("kind", "digits", "separators", "plus", "bracket", "before", "after", "cue")
+FEATURES = ("kind", "digits", "separators", "before", "after", "cue")
 CONTEXT = 24
 PRECISION = 0.8
 ROUNDS = 30
@@ -77,7 +79,7 @@ def located(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
         run = F.floor(i / RUN).cast("int")
         start = F.get("_b", run) + total(F.slice("_l", run * RUN + 1, i % RUN)) + F.length(F.get("_g", i))
         return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"),
-                        F.right(F.get("_g", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("_g", i + 1), F.lit(1)).alias("after"))
+                        F.right(F.get("_g", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("_g", i + 1), F.lit(6)).alias("after"))
 
     return held(df, name, F.transform("_m", span).cast(_SPAN)).drop("_m", "_g", "_l", "_b")
 
@@ -105,6 +107,20 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _stands(kind: str, x: Column, cue: Column) -> Column:
+    """Whether a proposal passes the checks of its kind, whatever its form; a part of a longer row of short groups is no phone."""
+    match = x["match"]
+    if kind == "email":
+        named = match.rlike(r"[A-Za-z]{2,}$")
+        return ~match.rlike(r"[ (\[]") | (named & (match.rlike(r"[(\[]at[)\]]") | (cue == 1)))
+    if kind == "card":
+        d = _digits(match)
+        return F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(False)
+    if kind == "phone":
+        return _passes(kind, match) & ~x["before"].rlike(r"(?<![0-9.])[0-9]{1,4}[ .-]$") & ~x["after"].rlike(r"^[ .-][0-9]{1,4}(?![0-9.])")
+    return _passes(kind, match)
+
+
 def _described(kind: str, x: Column) -> Column:
     """A proposal with its features."""
     m, before, after = x["match"], x["before"], x["after"]
@@ -116,8 +132,8 @@ def _described(kind: str, x: Column) -> Column:
         x["start"].alias("start"), x["end"].alias("end"),
         F.lit(KINDS.index(kind)).alias("kind"), F.least(F.length(_digits(m)), F.lit(20)).alias("digits"),
         F.least(F.length(F.regexp_replace(m, r"[^ .-]", "")), F.lit(4)).alias("separators"),
-        m.startswith("+").cast("int").alias("plus"), m.rlike(r"[(\[]").cast("int").alias("bracket"),
-        edge(F.right(before, F.lit(1))).alias("before"), edge(after).alias("after"), cue.alias("cue"))
+        edge(F.right(before, F.lit(1))).alias("before"), edge(F.left(after, F.lit(1))).alias("after"), cue.alias("cue"),
+        _stands(kind, x, cue).alias("stands"))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -145,7 +161,7 @@ def proposals(documents: DataFrame, keep_row: bool = False) -> DataFrame:
         return F.transform(f"loose_{kind}", lambda x: _described(kind, x))
 
     rows = held(rows, "base", F.concat(*map(sure, KINDS)))
-    confirmed = lambda x: F.exists("base", lambda b: (b["kind"] == x["kind"]) & _overlap(b, x))
+    confirmed = lambda x: x["stands"] & ~F.exists("base", lambda b: (b["kind"] != x["kind"]) & _overlap(b, x))
     rows = rows.withColumn("proposed", F.transform(F.concat(*map(likely, KINDS)), lambda x: x.withField("confirmed", confirmed(x).cast("int"))))
     return rows.select("doc_id", *(["row"] if keep_row else []), "base", "proposed")
 
@@ -211,13 +227,19 @@ class BoostedTrees:
         for kind in range(len(KINDS)):
             seen = [(self.score(row), confirmed, n) for row, confirmed, held_out, n in counts if held_out and row[0] == kind]
             seen = seen or [(self.score(row), confirmed, n) for row, confirmed, _, n in counts if row[0] == kind]
-            self.threshold[kind] = math.inf
-            right = made = 0
-            for value in sorted({s for s, _, _ in seen}, reverse=True):
-                right += sum(n for s, c, n in seen if s == value and c)
-                made += sum(n for s, _, n in seen if s == value)
-                if right >= precision * made:
-                    self.threshold[kind] = value
+            by: dict[float, list[int]] = {}
+            for value, confirmed, n in seen:
+                level = by.setdefault(value, [0, 0])
+                level[0] += n * bool(confirmed)
+                level[1] += n
+            levels: list[tuple[float, int, int]] = []  # lowest score, confirmed, all: shares rise with the score
+            for value in sorted(by):
+                right, made = by[value]
+                while levels and levels[-1][1] * made >= right * levels[-1][2]:
+                    value, more_right, more_made = levels.pop()
+                    right, made = right + more_right, made + more_made
+                levels.append((value, right, made))
+            self.threshold[kind] = min((value for value, right, made in levels if right >= precision * made), default=math.inf)
 
     def score(self, row: tuple[int, ...]) -> float:
         return self.start + sum(t.of(row) for t in self.trees)

@@ -18,7 +18,7 @@ from shelfwise.llm.html_pages import labelled_pages
 from shelfwise.llm.language import UNKNOWN, identify
 from shelfwise.llm.lm_scoring import VOCABULARY, cross_entropy_difference, kneser_ney
 from shelfwise.llm.packing import Bins, Encoder, cut, packed
-from shelfwise.llm.pii import find, redact
+from shelfwise.llm.pii import BoostedTrees, find, redact
 from shelfwise.llm.quality import VoteModel, measures, quality
 from shelfwise.llm.sharding import allot, capacities, shard_rows
 from shelfwise.llm.simhash import components, deduplicated, fingerprint, masks, near_duplicates, near_edges
@@ -299,6 +299,26 @@ def test_pii(spark, odd, none):
     assert find(digits).select(F.size("base")).first()[0] == 3000
 
 
+def test_pii_adds_loose_forms_however_many(spark):
+    """Forms that no base pattern matches are added also where they are frequent; what only looks alike is not."""
+    loose = ["write to ann (at) example.org soon", "call 555-123-4567 today", "card 4222222222222 ."]
+    firm = "write to bob@example.org or call +1 555 123 4567 with card 4111 1111 1111 1111 ."
+    rows = [*enumerate([firm] * 100), *enumerate(loose * 60, 100), *enumerate(["part 1234 5678 9012 3456 fits"] * 20, 300)]
+    by = {r["doc_id"]: r for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in rows[100:280]:
+        want = {"w": (9, 29, 0), "c": (5, 17, 3) if text[2] == "l" else (5, 18, 2)}[text[0]]
+        assert [(s["start"], s["end"], s["kind"]) for s in by[k]["spans"]] == [want] and not by[k]["base"]
+    assert not any(by[k]["spans"] for k in range(300, 320)) and all(len(by[k]["spans"]) == 3 for k in range(100))
+
+
+def test_pii_threshold_judges_each_level():
+    """A low level of few right spans is not carried by the many right ones above it."""
+    row = lambda cue: (0, 10, 1, *[cue] * 5)
+    counts = [(row(1), True, h, 1000) for h in (False, True)] + [(row(5), c, h, n) for h in (False, True) for c, n in ((True, 10), (False, 90))]
+    model = BoostedTrees([(r, int(c), h, n) for r, c, h, n in counts])
+    assert model.score(row(5)) < model.threshold[0] <= model.score(row(1))
+
+
 def test_queries_and_pipeline(spark):
     assert sorted(queries.QUERIES) == sorted(f"op{k}_{n}" for k, n in enumerate(
         "lm_scoring toxicity quality html decontamination language simhash packing sharding pii".split(), 1))
