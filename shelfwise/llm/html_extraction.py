@@ -39,10 +39,12 @@ _INLINE = frozenset("a b i em strong span u s small sub sup code mark abbr cite
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|title|textarea|select|noscript|template|svg|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea)(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.DOTALL | re.IGNORECASE,
 )
+#: Elements whose text is left out until they close; they are walked like any other.
+_SILENT = frozenset("select noscript template svg iframe".split())
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _MAIN = re.compile(r"\bdata-main\b")
@@ -79,6 +81,7 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
     parts: list[str] = []
     linked = links = 0
+    silent = 0  # place in the stack of the outermost open element whose text is left out
 
     def close() -> None:
         nonlocal linked
@@ -88,7 +91,7 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
                 text = references.unescape(text)
             text = " ".join(text.split())
             if text:
-                at = len(stack) - 1
+                at = (silent or len(stack)) - 1
                 while at and stack[at][0] in _INLINE:
                     at -= 1
                 out.append((stack[at][1], stack[at][0], text, min(1.0, linked / len(text))))
@@ -97,7 +100,7 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
 
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at:
+        if token.start() > at and not silent:
             parts.append(page[at : token.start()])
             if links:
                 linked += token.start() - at
@@ -107,14 +110,21 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
             continue
         tag = tag.lower()
         if tag == "br":
-            parts.append(" ")
+            if not silent:
+                parts.append(" ")
             continue
         inline = tag in _INLINE
-        if not inline:
+        if not inline and not silent and tag not in _SILENT:
             close()
         if token[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if k < silent:
+                        if not inline:
+                            close()
+                        silent = 0
+                    elif k == silent:
+                        silent = 0
                     links -= sum(t == "a" for t, _ in stack[k:])
                     del stack[k:]
                     break
@@ -123,6 +133,12 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
             continue
         if tag in _VOID:
             continue
+        if silent or tag in _SILENT:
+            if not token[4].endswith("/"):
+                silent = silent or len(stack)
+                stack.append((tag, stack[-1][1]))
+                links += tag == "a"
+            continue
         if not inline:  # an open paragraph ends here, an open item ends at the next one
             k = len(stack) - 1
             while k and (stack[k][0] in _INLINE or stack[k][0] in ("p", tag if tag in ("li", "td", "tr", "dt", "dd", "option") else "p")):
@@ -133,7 +149,7 @@ def blocks(page: str | None, paths: Paths) -> list[tuple[frozenset, str, str, fl
         if not token[4].endswith("/"):
             stack.append((tag, paths.child(stack[-1][1], tag, token[4]) if not inline else stack[-1][1]))
             links += tag == "a"
-    if at < len(page):
+    if at < len(page) and not silent:
         parts.append(page[at:])
     close()
     return out

@@ -180,6 +180,21 @@ def test_extraction(spark, none):
     assert all(r["n_chars"] == len(r["text"]) for r in found) and {r["page_id"] for r in found if not r["text"]} >= {2, 3}
 
 
+def test_blocks_after_left_out_elements():
+    """Self-closed and unclosed elements, and longer names, leave the rest of the page in place."""
+    for page, want in {
+        '<p>One <svg class="i"/> two.</p><p>Three.</p>': ["One two.", "Three."],
+        "<p>One <svg><g><title>x</title><text>no</text></g></svg> two.</p><p>Three.</p>": ["One two.", "Three."],
+        "<div><p>One <svg><path d='a'> no</p><p>Three.</p></div>": ["One", "Three."],
+        "<select-menu x=1></select-menu><p>Three.</p>": ["Three."],
+        "<template-card><p>One</p></template-card><title-bar>Two</title-bar><style-guide/><p>Three.</p>": ["One", "Two", "Three."],
+        "<noscript><div><a href=x>no</a></div></noscript><select><option>no<option>no</select><p>Three.</p>": ["Three."],
+        "<title>no</title><script>if (a<b) no('<p>')</script><p>Three.</p><style>no": ["Three."],
+    }.items():
+        found = blocks(page, Paths())
+        assert [b[2] for b in found] == want and not any(b[3] for b in found)
+
+
 def test_contamination(spark, odd, none):
     item = " ".join(f"b{i}" for i in range(20))
     tests = spark.createDataFrame([(1, item), (2, "tiny Item"), (3, None), (None, item), (2, "tiny Item")], "item_id long, text string")
