@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.common import load
 from shelfwise.llm.decontamination import contamination
+from shelfwise.llm.exact_dedup import exact_duplicates
 from shelfwise.llm.html_extraction import main_text
 from shelfwise.llm.language import identify
 from shelfwise.llm.lm_scoring import cross_entropy_difference
@@ -118,3 +119,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html")
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(load(spark, sf_dir, "pages"))
+
+
+@query("op13_exact_dedup", """
+    WITH d AS (
+      SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t
+      FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id ASC NULLS LAST)
+""")
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(load(spark, sf_dir, "documents"))
