@@ -14,6 +14,7 @@ from shelfwise.llm.html_extraction import main_text
 from shelfwise.llm.language import identify
 from shelfwise.llm.lm_scoring import cross_entropy_difference
 from shelfwise.llm.packing import packed
+from shelfwise.llm.prefix_trie import conversation_trie
 from shelfwise.llm.pii import KINDS, counted, find, joined
 from shelfwise.llm.quality import quality
 from shelfwise.llm.sharding import shard_rows
@@ -131,3 +132,40 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", """
+    WITH t AS (
+      SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+             dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS id,
+             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(id ORDER BY turn NULLS FIRST, digest) AS ids, list(words ORDER BY turn NULLS FIRST, digest) AS words,
+             -- crc32 of the decimal conv_id, bit by bit
+             xor(list_reduce(
+               list_prepend(4294967295::BIGINT, [CASE WHEN k % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, (k // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT
+                                                 FOR k IN range(8 * length(conv_id::VARCHAR))]),
+               lambda crc, bit: xor(xor(crc, bit) >> 1, (xor(crc, bit) & 1) * 3988292384)), 4294967295) % 4 AS h
+      FROM t GROUP BY conv_id),
+    r AS (
+      SELECT c.conv_id, list_concat(coalesce(b.ids[1:c.h], []), c.ids[c.h + 1:]) AS ids,
+             list_concat(coalesce(b.words[1:c.h], []), c.words[c.h + 1:]) AS words
+      FROM own AS c LEFT JOIN own AS b ON b.conv_id = c.conv_id - c.conv_id % 20),
+    p AS (SELECT conv_id, ids, words, unnest(range(len(ids) + 1)) AS depth FROM r),
+    n AS (
+      SELECT ids[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(words[depth]), 0) AS w,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ids) = depth), '')) AS ends_sha256
+      FROM p GROUP BY ALL),
+    kids AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (prefix, depth)),
+    up AS (SELECT prefix, n_convs, w, n_children, unnest(range(depth + 1)) AS depth FROM k),
+    subtree AS (
+      SELECT prefix[1:depth] AS prefix, depth, sum((n_convs - 1) * w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM up GROUP BY ALL)
+    SELECT k.conv_id, k.depth, above.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+    FROM k JOIN subtree USING (prefix, depth)
+    LEFT JOIN k AS above ON k.depth > 0 AND above.depth = k.depth - 1 AND above.prefix = k.prefix[1:k.depth - 1]
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(load(spark, sf_dir, "conversations"))
