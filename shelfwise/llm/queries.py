@@ -20,6 +20,7 @@ from shelfwise.llm.quality import quality
 from shelfwise.llm.sharding import shard_rows
 from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.toxicity import toxicity
+from shelfwise.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, part_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +170,43 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
+def codes_sql(rounds: int = ROUNDS, parts: int = PARTS, entries: int = ENTRIES) -> str:
+    """Each round of the codebooks as two common table expressions."""
+    sql = f"""
+    WITH kept AS (
+      SELECT row_number() OVER (ORDER BY vec_id, v) AS r, vec_id, label, v FROM (
+        SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+    p AS MATERIALIZED (
+      SELECT r, vec_id, label, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(part)),
+    c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries}),"""
+    for k in range(rounds + 1):
+        sql += f"""
+    a{k} AS MATERIALIZED (
+      SELECT r, part, min(d * {entries} + entry) AS best FROM (
+        SELECT r, p.part, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM p JOIN c{k} AS c ON p.part = c.part)
+      GROUP BY ALL),"""
+        if k < rounds:
+            sql += f"""
+    s{k} AS (
+      SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+        SELECT part, best % {entries} AS entry, i, sum(x[i]) AS s, count(*) AS n
+        FROM a{k} JOIN p USING (r, part), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL)
+      GROUP BY ALL),
+    c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s.c, c.c) AS c FROM c{k} AS c LEFT JOIN s{k} AS s USING (part, entry)),"""
+    return sql + f"""
+    book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+    e AS (
+      SELECT r, string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error
+      FROM a{rounds} GROUP BY r)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+    FROM e JOIN kept USING (r), book
+    """
+
+
+@query("op11_vector_codes", codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes(load(spark, sf_dir, "embeddings"))
