@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import columns as C
 from shelfwise.operators.ids import attach_indexes, deindex, index_ids
 from shelfwise.operators.interactions import enrich
-from shelfwise.operators.similarity import block_top_k
+from shelfwise.operators.similarity import dense_top_k
 from shelfwise.session import cut_lineage
 
 # Model settings.
@@ -60,21 +60,15 @@ def als_rmse(model: ALSModel, test: DataFrame) -> DataFrame:
     return predicted.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
-def _entries(factors: DataFrame) -> DataFrame:
-    entries = factors.select("id", F.posexplode("features").alias("dim", "w"))
-    return entries.withColumn("w", F.col("w").cast("double"))
-
-
 def als_recommend_all(
     model: ALSModel, users: DataFrame, items: DataFrame, products: DataFrame, n: int = 10
 ) -> DataFrame:
     """Top n per user, original ids and product columns attached; seen products stay in.
 
-    Factors are multiplied block against block, so no cross join is planned.
+    Factors are multiplied block against block under norm bounds, so no cross join is planned.
     """
-    best = block_top_k(
-        _entries(model.userFactors), _entries(model.itemFactors), n, positive_only=False, exclude_same=False
-    )
+    factors = [side.select("id", F.col("features").alias("ws")) for side in (model.userFactors, model.itemFactors)]
+    best = dense_top_k(*factors, n)
     lists = best.select(
         F.col("qid").alias("user_index"), F.col("vid").alias("item_index"), F.col("sim").alias("cf_score")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import columns as C
 from shelfwise.operators.interactions import enrich_with_defaults
 from shelfwise.operators.ranking import top_n
-from shelfwise.operators.similarity import block_top_k
+from shelfwise.operators.similarity import dense_top_k
 from shelfwise.session import cut_lineage
 
 RANK = 10
@@ -182,19 +182,15 @@ def _update(factors: DataFrame, numerator: DataFrame, other: np.ndarray, k: int)
 
 
 def unit_rows(factors: DataFrame) -> DataFrame:
-    """Long form ``(id, dim, w)`` of unit rows; a row of (rounding) zeros stays zero."""
+    """``(id, ws)``: unit rows as arrays; a row of (rounding) zeros stays zero."""
     fs = [c for c in factors.columns if c != "id"]
     norm = F.sqrt(sum((F.col(f) * F.col(f) for f in fs), F.lit(0.0)))
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("dim"), F.when(norm > EPSILON, F.col(f) / norm).otherwise(0.0).alias("w"))
-        for i, f in enumerate(fs)
-    ])
-    return factors.select("id", F.inline(entries))
+    return factors.select("id", F.array(*[F.when(norm > EPSILON, F.col(f) / norm).otherwise(0.0) for f in fs]).alias("ws"))
 
 
 def factor_cosine_top(users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Top n products per user by the cosine of their factors, products already seen included."""
-    best = block_top_k(unit_rows(users), unit_rows(items), n, positive_only=False, exclude_same=False)
+    best = dense_top_k(unit_rows(users), unit_rows(items), n)
     return best.select(
         F.col("qid").alias("user_id"), F.col("vid").alias("product_id"), F.col("sim").alias("mf_score")
     )

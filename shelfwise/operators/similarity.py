@@ -8,9 +8,8 @@ few vectors is cheap to expand; one shared by a third of them is not. So
 * a query whose remaining (hot) dimensions together weigh less than its k-th best
   match so far is finished by adding the hot part to its few live candidates: nobody
   met through hot dimensions alone can reach it;
-* every other query is compared block against block. A task multiplies two bounded
-  blocks and emits at most k rows per query, so hot dimensions cost arithmetic, not
-  shuffled pairs.
+* every other query is compared block against block under bounds (``blocks``), so hot
+  dimensions cost arithmetic, not shuffled pairs.
 
 While comparing everything in blocks is cheaper than shuffling the joined pairs, that
 is done at once. Every choice gives the same result; it only moves work.
@@ -18,24 +17,19 @@ is done at once. Every choice gives the same result; it only moves work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ranking_key
+from shelfwise.operators.blocks import DECIMALS, SEEDS, dense_rows, packed, rows_of, search
 from shelfwise.session import cut_lineage
 
 SHORT_LIST = 64
 # A block cell is that much cheaper than a pair that a join has to shuffle.
 CELLS_PER_PAIR = 64
-BLOCK_ENTRIES = 200_000
-# Ids per side of a tile, dimensions per dense slab, products expanded at once.
-TILE, SLAB, EXPANSION = 1024, 2048, 4_000_000
-DECIMALS = 9
+# An id with more entries is not put into a block.
+HEAVY = 50_000
 
 
 def unit_vectors(entries: DataFrame, key: str, dim: str, weight: str) -> DataFrame:
@@ -142,135 +136,49 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return best.select("qid", "vid", F.round("sim", DECIMALS).alias("sim"))
 
 
-def _blocks(vectors: DataFrame, entries: int) -> Column:
-    """Number of blocks so that one holds about ``entries`` entries."""
-    total = vectors.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return F.ceil(total / F.lit(entries)).cast("int")
-
-
 def block_top_k(
     queries: DataFrame,
     index: DataFrame,
     k: int,
-    positive_only: bool = True,
-    exclude_same: bool = True,
-    entries: int = BLOCK_ENTRIES,
+    heavy: int = HEAVY,
+    seeds: int = SEEDS,
+    **packing,
 ) -> DataFrame:
-    """The k best dot products per query, block against block.
+    """The k best positive dot products per query, block against block under bounds.
 
-    Ids are hashed to blocks of bounded size; each pair of blocks is one group. What
-    leaves a group is at most k rows per query, re-ranked once at the end.
+    Ids with more than ``heavy`` entries fit no block. Their products with all others are
+    joined entry by entry and added up, combined map-side, so such an id is never one group;
+    there are at most entries / heavy of them. Pass checkpointed tables.
     """
-    q_blocks, v_blocks = _blocks(queries, entries), _blocks(index, entries)
-
-    def placed(vectors: DataFrame, side: str, own_n: Column, other_n: Column) -> DataFrame:
-        own = F.pmod(F.xxhash64("id"), F.greatest(own_n, F.lit(1))).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.greatest(other_n, F.lit(1)) - 1))
-        qb, vb = (own, every) if side == "q" else (every, own)
-        return vectors.select(
-            qb.alias(f"{side}_qb"), vb.alias(f"{side}_vb"),
-            F.col("id").alias(f"{side}_id"), F.col("dim").alias(f"{side}_dim"), F.col("w").alias(f"{side}_w"),
-        ).groupBy(f"{side}_qb", f"{side}_vb")
-
-    left, right = placed(queries, "q", q_blocks, v_blocks), placed(index, "v", v_blocks, q_blocks)
-    q_type = queries.schema["id"].dataType.simpleString()
-    v_type = index.schema["id"].dataType.simpleString()
-
-    def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        q, v = ((side[[f"{s}_id", f"{s}_dim", f"{s}_w"]].set_axis(["id", "dim", "w"], axis=1))
-                for s, side in (("q", q), ("v", v)))
-        parts = list(_multiply(q, v, k, positive_only, exclude_same))
-        return pd.concat(parts) if parts else pd.DataFrame({"qid": [], "vid": [], "sim": []})
-
-    pairs = left.cogroup(right).applyInPandas(compare, f"qid {q_type}, vid {v_type}, sim double")
-    return _best(pairs, k)
-
-
-def _multiply(
-    q: pd.DataFrame, v: pd.DataFrame, k: int, positive_only: bool, exclude_same: bool
-) -> Iterator[pd.DataFrame]:
-    """Tile by tile product of two blocks, ``TILE`` ids on either side."""
-    if positive_only:
-        shared = np.intersect1d(q["dim"].unique(), v["dim"].unique())
-        q, v = q[q["dim"].isin(shared)], v[v["dim"].isin(shared)]
-    if q.empty or v.empty:
-        return
-    dims = pd.Index(np.union1d(q["dim"].unique(), v["dim"].unique()))
-    v_tiles = list(_tiles(v, dims))
-    for q_ids, q_tile in _tiles(q, dims):
-        best = None
-        for v_ids, v_tile in v_tiles:
-            sims = np.round(_product(q_tile, v_tile, (len(q_ids), len(v_ids)), len(dims)), DECIMALS)
-            if exclude_same:
-                sims[q_ids[:, None] == v_ids[None, :]] = -np.inf
-            best = _keep(best, sims, q_ids, v_ids, k, positive_only)
-        yield best
-
-
-def _tiles(block: pd.DataFrame, dims: pd.Index):
-    """Runs of ``TILE`` ids with their entries as (row, column, weight), ordered by column."""
-    ids, rows = np.unique(block["id"].to_numpy(), return_inverse=True)
-    cols, values = dims.get_indexer(block["dim"]), block["w"].to_numpy()
-    order = np.lexsort((cols, rows // TILE))
-    rows, cols, values = rows[order], cols[order], values[order]
-    for start in range(0, len(ids), TILE):
-        a, b = np.searchsorted(rows // TILE, [start // TILE, start // TILE + 1])
-        yield ids[start:start + TILE], (rows[a:b] - start, cols[a:b], values[a:b])
-
-
-def _product(q_tile, v_tile, shape: tuple[int, int], n_dims: int) -> np.ndarray:
-    """Dense product over dimensions common in both tiles, entry by entry over the rare ones."""
-    q_count = np.bincount(q_tile[1], minlength=n_dims)
-    v_count = np.bincount(v_tile[1], minlength=n_dims)
-    common = q_count * v_count > shape[0] * shape[1] / 64
-    sims = np.zeros(shape)
-    hot = np.flatnonzero(common)
-    for start in range(0, len(hot), SLAB):
-        slab = hot[start:start + SLAB]
-        sims += _dense(q_tile, slab, shape[0], n_dims) @ _dense(v_tile, slab, shape[1], n_dims).T
-    rare = ~common[q_tile[1]] & (v_count[q_tile[1]] > 0)
-    rows, cols, values = (part[rare] for part in q_tile)
-    v_start = np.cumsum(v_count) - v_count
-    matches = v_count[cols]
-    flat = sims.ravel()
-    for part in np.split(np.arange(len(rows)), _cuts(matches)):
-        n = matches[part]
-        entry = np.repeat(part, n)
-        other = np.repeat(v_start[cols[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        cell = rows[entry] * shape[1] + v_tile[0][other]
-        flat += np.bincount(cell, values[entry] * v_tile[2][other], minlength=flat.size)
-    return sims
-
-
-def _cuts(sizes: np.ndarray) -> np.ndarray:
-    """Where to split so that a part expands to about ``EXPANSION`` products."""
-    return np.flatnonzero(np.diff(np.cumsum(sizes) // EXPANSION)) + 1
-
-
-def _dense(tile, slab: np.ndarray, n: int, n_dims: int) -> np.ndarray:
-    place = np.full(n_dims, -1)
-    place[slab] = np.arange(len(slab))
-    rows, cols, values = tile
-    inside = place[cols] >= 0
-    matrix = np.zeros((n, len(slab)))
-    matrix[rows[inside], place[cols[inside]]] = values[inside]
-    return matrix
-
-
-def _keep(best, sims, q_ids, v_ids, k, positive_only) -> pd.DataFrame:
-    """Merge a tile into the k best per query; ids ascend, so stable order settles ties."""
-    width = sims.shape[1]
-    if width > k:
-        cut = np.partition(sims, width - k, axis=1)[:, width - k][:, None]
-        keep = sims >= cut
-    else:
-        keep = np.ones_like(sims, dtype=bool)
-    keep &= sims > (0 if positive_only else -np.inf)
-    r, c = np.nonzero(keep)
-    found = pd.DataFrame({"qid": q_ids[r], "vid": v_ids[c], "sim": sims[r, c]})
-    both = found if best is None else pd.concat([best, found])
-    both = both.sort_values(["qid", "sim", "vid"], ascending=[True, False, True], kind="stable")
-    return both.groupby("qid", sort=False).head(k)
+    sides = [queries] if queries is index else [queries, index]
+    sizes = [side.groupBy("id").agg(F.count(F.lit(1)).alias("n")) for side in sides]
+    large = [n.where(F.col("n") > heavy).select("id") for n in sizes]
+    greatest = [n.agg(F.max("n")).first()[0] or 0 for n in sizes]
+    if max(greatest) <= heavy:
+        return _searched(queries, index, k, seeds, packing)
+    q_large, v_large = (large * 2)[:2]
+    q = queries.select(F.col("id").alias("qid"), "dim", F.col("w").alias("wq"))
+    v = index.select(F.col("id").alias("vid"), "dim", F.col("w").alias("wv"))
+    q_heavy = q.join(q_large.withColumnRenamed("id", "qid"), "qid", "left_semi")
+    v_heavy = v.join(v_large.withColumnRenamed("id", "vid"), "vid", "left_semi")
+    q_light = queries.join(q_large, "id", "left_anti")
+    light = q_light.select(F.col("id").alias("qid"), "dim", F.col("w").alias("wq"))
+    joined = q_heavy.join(v, "dim").unionByName(light.join(v_heavy, "dim")).where("qid != vid")
+    products = joined.groupBy("qid", "vid").agg(F.sum(F.col("wq") * F.col("wv")).alias("sim"))
+    searched = _searched(cut_lineage(q_light), cut_lineage(index.join(v_large, "id", "left_anti")), k, seeds, packing)
+    return _best(products.unionByName(searched), k)
+
+
+def _searched(queries: DataFrame, index: DataFrame, k: int, seeds: int, packing: dict) -> DataFrame:
+    v = packed(rows_of(index), **packing)
+    q = v if queries is index else packed(rows_of(queries), **packing)
+    return search(q, v, k, seeds=seeds)
+
+
+def dense_top_k(queries: DataFrame, index: DataFrame, k: int, seeds: int = SEEDS, **packing) -> DataFrame:
+    """The k best dot products per query of two tables ``(id, ws array<double>)``, zero and negative ones included."""
+    q, v = (packed(dense_rows(side, F.col("ws")), **packing) for side in (queries, index))
+    return search(q, v, k, positive_only=False, exclude_same=False, seeds=seeds)
 
 
 def top_k_of_classes(
@@ -283,9 +191,13 @@ def top_k_of_classes(
     third of all ids being copies of one vector costs one comparison and k + 1 rows.
     Pass checkpointed tables.
     """
-    wanted = queries.select("id").join(classes, "id")
-    asked = wanted.select(F.col("class").alias("id")).distinct()
-    query_vectors = class_vectors.join(asked, "id", "left_semi")
+    wanted, query_vectors = classes, class_vectors
+    if queries is not classes:
+        wanted = queries.select("id").join(classes, "id")
+        asked = wanted.select(F.col("class").alias("id")).distinct()
+        query_vectors = cut_lineage(class_vectors.join(asked, "id", "left_semi"))
+    if classes.where("id != class").isEmpty():  # no copies
+        return top_k(query_vectors, class_vectors, k, short_list)
     between = top_k(query_vectors, class_vectors, k + 1, short_list)
     within = query_vectors.select("id").distinct().select(
         F.col("id").alias("qid"), F.col("id").alias("vid"), F.lit(1.0).alias("sim")

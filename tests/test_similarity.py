@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from shelfwise.operators import blocks as B
 from shelfwise.operators import similarity as S
 
 
@@ -50,15 +52,86 @@ def test_every_way_gives_the_exact_neighbours(spark, seed, options):
     assert got == pytest.approx(brute_force(matrix, 5), abs=2e-9)
 
 
-def test_small_blocks_and_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("options", [
+    {"ids": 7}, {"entries": 40}, {"ids": 5, "seeds": 1}, {"ids": 3, "seeds": 2, "heavy": 12}, {"heavy": 1},
+    {"ids": 4, "most": 5, "seeds": 1},
+])
+def test_small_blocks_and_heavy_ids(spark, options):
+    """Bounds, seeds, larger blocks where there are too many, and ids that fit no block change nothing."""
     matrix = skewed(3)
+    matrix[50, 1:] = 1.0
+    vectors = S.cut_lineage(S.unit_vectors(long_form(spark, matrix), "id", "dim", "x"))
+    for queries in (vectors, S.cut_lineage(vectors.where("id % 2 = 0"))):
+        wanted = range(0, 90, 1 if queries is vectors else 2)
+        got = S.block_top_k(queries, vectors, 7, **options).collect()
+        assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 7, wanted), abs=2e-9)
+
+
+def test_one_id_with_a_third_of_all_entries(spark):
+    """A heavy id is in no block; its products are sums over a join."""
+    rng = np.random.default_rng(8)
+    matrix = np.where(rng.random((60, 900)) < 0.02, rng.integers(1, 6, (60, 900)), 0).astype(float)
+    matrix[17] = 1.0
     vectors = S.cut_lineage(S.unit_vectors(long_form(spark, matrix), "id", "dim", "x"))
-    got = S.block_top_k(vectors, vectors, 7, entries=60).collect()
-    assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 7), abs=2e-9)
-    for name, value in (("TILE", 7), ("SLAB", 3), ("EXPANSION", 11)):
-        monkeypatch.setattr(S, name, value)
-    tiled = S.block_top_k(vectors, vectors, 7, entries=200).collect()
-    assert {(r.qid, r.vid): r.sim for r in tiled} == pytest.approx(brute_force(matrix, 7), abs=2e-9)
+    light = vectors.where("id != 17")
+    assert light.count() < 2 * 900
+    got = S.block_top_k(vectors, vectors, 5, heavy=200).collect()
+    assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
+    sizes = B.packed(B.rows_of(light), entries=100).select(F.max(F.size("ws"))).first()[0]
+    assert sizes < 200  # a block and the entries of one more id
+
+
+def test_small_slabs(spark, monkeypatch):
+    matrix = skewed(6)
+    rows, cols = np.nonzero(matrix)
+    order = np.argsort(cols, kind="stable")
+    tile = rows[order], cols[order], matrix[rows, cols][order]
+    for name, value in (("SLAB", 3), ("EXPANSION", 11)):
+        monkeypatch.setattr(B, name, value)
+    assert np.allclose(B.product(tile, tile, (90, 90), 60), matrix @ matrix.T)
+
+
+def groups(seed, signed):
+    """Vectors in groups with dimensions of their own, or around a few directions and of many lengths."""
+    rng = np.random.default_rng(seed)
+    if signed:
+        return rng.normal(size=(8, 8))[np.arange(240) % 8] * np.exp(rng.normal(size=(240, 1)) * 2)
+    out = np.zeros((240, 80))
+    for i in range(240):
+        out[i, i % 8 * 10:i % 8 * 10 + 10] = rng.random(10)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def test_bounds_skip_most_blocks(spark):
+    """Of alike blocks only those are sent that can still change a list, and fewer yet are multiplied."""
+    matrix = groups(1, False)
+    blocks = B.packed(B.rows_of(S.cut_lineage(long_form(spark, matrix).withColumnRenamed("x", "w"))), ids=10)
+    numbers, envelopes = B._envelopes(blocks)
+    first = B._compare(blocks, blocks, B._pairs(blocks, numbers, envelopes, 4), 8, 5, True, True)
+    later = B._pairs(blocks.join(first, "block"), numbers, envelopes, 4)
+    assert len(numbers) >= 24 and later.count() < 0.2 * len(numbers) * (len(numbers) - 4)
+    got = B.search(blocks, blocks, 5, seeds=4).collect()
+    assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bounds_never_cut_a_better_match(seed):
+    """One query block against many index blocks: skipped ones hold nothing, whatever the signs."""
+    for signed in (False, True):
+        matrix = groups(seed, signed)
+        dims = np.tile(np.arange(matrix.shape[1]), 10)
+        asked = matrix[:80:8]
+        query = B.QueryBlock(np.arange(10), np.full(10, matrix.shape[1]), dims, asked.ravel(), 3, not signed, False)
+        near = np.argsort(-(asked @ matrix.T).max(0))
+        for part in np.split(near, 24):
+            ws = matrix[part].ravel()
+            envelope = B.bucket_norms(np.repeat(np.arange(10), matrix.shape[1]), dims, ws, 10).max(0)
+            query.meet(part, np.full(10, matrix.shape[1]), dims, ws, envelope)
+        sims = np.round(asked @ matrix.T, 9)
+        assert query.skipped > (20 if signed else 0)
+        for i in range(10):
+            best = sorted(range(240), key=lambda j: (-sims[i, j], j))[:3]
+            assert list(query.vid[query.row == i]) == [j for j in best if signed or sims[i, j] > 0]
 
 
 def test_copies_are_compared_once(spark):
@@ -74,16 +147,26 @@ def test_copies_are_compared_once(spark):
         assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
 
 
-def test_signed_dense_vectors_keep_every_candidate(spark):
+@pytest.mark.parametrize("options", [{}, {"ids": 6, "seeds": 1}])
+def test_signed_dense_vectors_keep_every_candidate(spark, options):
     rng = np.random.default_rng(5)
     users, items = rng.normal(size=(20, 4)), rng.normal(size=(30, 4))
     users[3] = 0
 
     def table(m):
-        return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(len(m)) for j in range(4)],
-                                     "id int, dim int, w double")
+        return spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(len(m))], "id int, ws array<double>")
 
-    got = S.block_top_k(table(users), table(items), 6, positive_only=False, exclude_same=False, entries=25).collect()
+    got = S.dense_top_k(table(users), table(items), 6, **options).collect()
     sims = np.round(users @ items.T, 9)
     expected = {(i, j): sims[i, j] for i in range(20) for j in sorted(range(30), key=lambda j: (-sims[i, j], j))[:6]}
     assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(expected, abs=2e-9)
+    assert S.dense_top_k(table(users), table(items).limit(0), 6).count() == 0
+
+
+def test_text_ids_and_dimensions(spark):
+    matrix = skewed(9, n=40)
+    long = long_form(spark, matrix)
+    named = long.select(F.format_string("v%03d", "id").alias("id"), F.format_string("d%d", "dim").alias("dim"), "x")
+    vectors = S.cut_lineage(S.unit_vectors(named, "id", "dim", "x"))
+    got = S.block_top_k(vectors, vectors, 5, ids=6, seeds=2).collect()
+    assert {(int(r.qid[1:]), int(r.vid[1:])): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
