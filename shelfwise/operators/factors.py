@@ -1,8 +1,10 @@
 """Truncated SVD and non-negative factorisation of the interaction matrix.
 
 The matrix stays in long form ``(row, col, value)``; factors are narrow tables with
-columns f0..f{k-1}. A product with the matrix is one join and one aggregate whose
-sums combine map-side. Only k by k Gram matrices reach the driver.
+columns f0..f{k-1}. While the factors of its smaller side fit a checked size, they travel
+with the tasks and a step is one scan (``small_side``). Beyond it both sides are tables: a
+product is one join and one aggregate whose sums combine map-side, and only k by k Gram
+matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from shelfwise.functions import columns as C
 from shelfwise.operators.interactions import enrich_with_defaults
 from shelfwise.operators.ranking import top_n
 from shelfwise.operators.similarity import dense_top_k
+from shelfwise.operators.small_side import SMALL_VALUES, SmallSide
 from shelfwise.session import cut_lineage
 
 RANK = 10
 OVERSAMPLES = 10
 POWER_STEPS = 10
-NMF_STEPS = 20
-NMF_TOLERANCE = 1e-4
+# Steps at most, and the share of the first loss below which one stops.
+NMF_STEPS, NMF_TOLERANCE = 200, 1e-5
+# Sweeps of coordinate descent a step, while the changes are larger than this share of the first sweep's.
+SWEEPS, SWEEP_TOLERANCE = 100, 1e-3
 EPSILON = 1e-12
 
 
@@ -105,8 +110,23 @@ def _uniform(id_column: str, position: int, seed: int) -> Column:
     return (F.pmod(F.xxhash64(F.col(id_column), F.lit(position), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
 
 
+def _sides(cells: DataFrame, width: int, limit: int) -> tuple[SmallSide, bool] | None:
+    """The smaller side and whether it is that of the columns; None where neither fits."""
+    counts = cells.agg(F.approx_count_distinct("col"), F.approx_count_distinct("row")).first()
+    by_col = counts[0] <= counts[1]
+    small = SmallSide.of(cells, *(("col", "row") if by_col else ("row", "col")), width, limit)
+    return (small, by_col) if small else None
+
+
+def _start(ids: list, like: DataFrame, column: str, k: int, seed: int) -> np.ndarray:
+    """Start values of a small side, the same as a table of these ids gets."""
+    kind = like.schema[column].dataType.simpleString()
+    rows = like.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"id {kind}, n int")
+    return np.array(rows.select("n", *[_uniform("id", j, seed) for j in range(k)]).orderBy("n").collect())[:, 1:]
+
+
 def svd_factors(
-    cells: DataFrame, k: int = RANK, steps: int = POWER_STEPS, seed: int = 42
+    cells: DataFrame, k: int = RANK, steps: int = POWER_STEPS, seed: int = 42, small_values: int = SMALL_VALUES
 ) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """``(user factors U*S, item factors V, singular values)`` by subspace iteration.
 
@@ -114,6 +134,8 @@ def svd_factors(
     """
     cells = cut_lineage(cells)
     width = k + OVERSAMPLES
+    if sides := _sides(cells, width, small_values):
+        return _small_svd(cells, *sides, k, width, steps, seed)
     items = cells.select(F.col("col").alias("id")).distinct()
     basis = items.select("id", *[(_uniform("id", j, seed) - 0.5).alias(f"f{j}") for j in range(width)])
     for _ in range(steps):
@@ -121,64 +143,129 @@ def svd_factors(
         image = cut_lineage(multiply(cells, scores, "row", "col", width))
         basis, width = _orthonormal(image, width)
     users = cut_lineage(multiply(cells, basis, "col", "row", width))
-    values, vectors = np.linalg.eigh(gram(users, width))
+    vectors, singular = _leading(gram(users, width), k)
+    return rotate(users, vectors), rotate(basis, vectors), singular
+
+
+def _leading(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(products)
     order = np.argsort(values)[::-1][:k]
     order = order[values[order] > max(values.max(), 0.0) * 1e-13]
-    singular = np.sqrt(values[order])
-    return rotate(users, vectors[:, order]), rotate(basis, vectors[:, order]), singular
+    return vectors[:, order], np.sqrt(values[order])
+
+
+def _small_svd(cells, small: SmallSide, by_col: bool, k: int, width: int, steps: int, seed: int):
+    """The same iteration with the basis on the small side; one scan a step."""
+    basis = _start(small.ids, cells, "col" if by_col else "row", width, seed) - 0.5
+    for _ in range(steps):
+        image, _ = small.sums(basis, _as_it_is)
+        values, vectors = np.linalg.eigh(image.T @ image)
+        kept = values > max(values.max(), 0.0) * 1e-13
+        basis = image @ vectors[:, kept] / np.sqrt(values[kept])
+    vectors, singular = _leading(small.sums(basis, _as_it_is)[1], k)
+    basis = basis @ vectors
+    if by_col:
+        return small.large_factors(basis, _as_it_is), small.small_factors(basis, cells, "col"), singular
+    # The items are the large side: their factors have unit length, and the users' the singular values.
+    return small.small_factors(basis * singular, cells, "row"), small.large_factors(basis / singular, _as_it_is), singular
+
+
+def _as_it_is(rows: np.ndarray) -> np.ndarray:
+    return rows
+
+
+def descend(numerator: np.ndarray, other: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Non-negative rows w with the least |x - w H|, by coordinate descent.
+
+    ``numerator`` is x times the transposed H, ``other`` H times itself. A column is set to
+    its best value given the others, for all rows at once, until sweeps change little.
+    """
+    w = np.zeros_like(numerator) if start is None else start.copy()
+    first = None
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for j in range(w.shape[1]):
+            if other[j, j] > EPSILON:
+                new = np.maximum(0.0, w[:, j] + (numerator[:, j] - w @ other[:, j]) / other[j, j])
+                moved += float(np.abs(new - w[:, j]).sum())
+                w[:, j] = new
+        first = moved if first is None else first
+        if moved <= SWEEP_TOLERANCE * first:
+            break
+    return w
 
 
 def nmf_factors(
-    cells: DataFrame, k: int = RANK, steps: int = NMF_STEPS, tolerance: float = NMF_TOLERANCE, seed: int = 42
+    cells: DataFrame, k: int = RANK, steps: int = NMF_STEPS, tolerance: float = NMF_TOLERANCE, seed: int = 42,
+    small_values: int = SMALL_VALUES,
 ) -> tuple[DataFrame, DataFrame, list[float]]:
-    """``(user factors W, item factors H, loss per step)`` by multiplicative updates.
+    """``(user factors W, item factors H, loss per step)`` by alternating non-negative least squares.
 
     Missing cells count as zero. The loss needs no pass over empty cells: it follows
     from the matrix norm, one product and the two Gram matrices.
     """
     cells = cut_lineage(cells.withColumn("value", C.nonnegative_clamp("value")).where("value > 0"))
-    norm, count = cells.agg(F.sum(F.col("value") * F.col("value")), F.sum("value")).first()
+    norm, total, count = cells.agg(F.sum(F.col("value") * F.col("value")), F.sum("value"), F.count(F.lit(1))).first()
     if not norm:
         raise ValueError("the matrix has no positive cell")
-    scale = float(np.sqrt(count / cells.count() / k))
-
-    def start(column: str, salt: int) -> DataFrame:
-        ids = cells.select(F.col(column).alias("id")).distinct()
-        return ids.select("id", *[(_uniform("id", j, seed + salt) * 2 * scale).alias(f"f{j}") for j in range(k)])
+    scale = float(np.sqrt(total / count / k))
+    if sides := _sides(cells, k, small_values):
+        return _small_nmf(cells, *sides, k, steps, tolerance, seed, norm, scale)
 
-    users, items = cut_lineage(start("row", 0)), cut_lineage(start("col", 1))
+    items = cut_lineage(cells.select(F.col("col").alias("id")).distinct().select(
+        "id", *[(_uniform("id", j, seed) * 2 * scale).alias(f"f{j}") for j in range(k)]))
     item_gram = gram(items, k)
     losses: list[float] = []
-    for _ in range(steps):
-        users = cut_lineage(_update(users, multiply(cells, items, "col", "row", k), item_gram, k))
+    while len(losses) < steps:
+        users = cut_lineage(_solved(multiply(cells, items, "col", "row", k), item_gram, k))
         user_gram = gram(users, k)
-        items = cut_lineage(_update(items, multiply(cells, users, "row", "col", k), user_gram, k))
+        items = cut_lineage(_solved(multiply(cells, users, "row", "col", k), user_gram, k))
         products = gram(items, k, numerators(k))
         item_gram, shared = products[:, :k], float(np.trace(products[:, k:]))
         losses.append(norm - 2 * shared + float(np.sum(user_gram * item_gram)))
-        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[0]:
+        if _settled(losses, tolerance):
             break
     return users.select("id", *names(k)), items.select("id", *names(k)), losses
 
 
+def _settled(losses: list[float], tolerance: float) -> bool:
+    return len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * losses[0]
+
+
+def _small_nmf(cells, small: SmallSide, by_col: bool, k: int, steps: int, tolerance: float, seed: int, norm: float, scale: float):
+    """The same with the small side's factors on the driver; one scan a step."""
+    column = "col" if by_col else "row"
+    factors = _start(small.ids, cells, column, k, seed) * 2 * scale
+    losses: list[float] = []
+    while len(losses) < steps:
+        other = factors.T @ factors
+        numerator, large_gram = small.sums(factors, lambda rows, other=other: descend(rows, other))
+        factors = descend(numerator, large_gram, factors)
+        losses.append(norm - 2 * float(np.sum(factors * numerator)) + float(np.sum(large_gram * (factors.T @ factors))))
+        if _settled(losses, tolerance):
+            break
+    other = factors.T @ factors
+    sides = small.large_factors(factors, lambda rows: descend(rows, other)), small.small_factors(factors, cells, column)
+    return (*(sides if by_col else sides[::-1]), losses)
+
+
 def numerators(k: int) -> list[str]:
     return [f"n{i}" for i in range(k)]
 
 
-def _update(factors: DataFrame, numerator: DataFrame, other: np.ndarray, k: int) -> DataFrame:
-    """One multiplicative step; the numerators stay beside the new factors for the loss."""
+def _solved(numerator: DataFrame, other: np.ndarray, k: int) -> DataFrame:
+    """Rows with the least error; the numerators stay beside the new factors for the loss."""
     fs, ns = names(k), numerators(k)
-    top = numerator.select("id", *[F.col(f).alias(n) for f, n in zip(fs, ns)])
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            old, above = batch[fs].to_numpy(), batch[ns].to_numpy()
-            out = pd.DataFrame(old * above / (old @ other + EPSILON), columns=fs)
+            above = batch[fs].to_numpy()
+            out = pd.DataFrame(descend(above, other), columns=fs)
             out.insert(0, "id", batch["id"].to_numpy())
             out[ns] = above
             yield out
 
-    return factors.select("id", *fs).join(top, "id").mapInPandas(step, _schema(factors, [*fs, *ns]))
+    return numerator.mapInPandas(step, _schema(numerator, [*fs, *ns]))
 
 
 def unit_rows(factors: DataFrame) -> DataFrame:

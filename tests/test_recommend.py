@@ -106,12 +106,13 @@ def test_svd_on_the_demo_matrix(demo):
             assert got[(user, item)] == pytest.approx(expected[i][j], abs=1e-5)
 
 
-def test_svd_agrees_with_a_dense_solver(spark):
+@pytest.mark.parametrize("small_values", [0, 600, M.SMALL_VALUES])
+def test_svd_agrees_with_a_dense_solver(spark, small_values):
     rng = np.random.default_rng(1)
     dense = np.outer(rng.random(40), rng.random(25)) * 9 + np.outer(rng.random(40), rng.random(25)) * 4
     cells = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(40) for j in range(25)],
                                   "row int, col int, value double")
-    users, items, singular = M.svd_factors(cells, 2)
+    users, items, singular = M.svd_factors(cells, 2, steps=3, small_values=small_values)
     exact = np.linalg.svd(dense)
     assert singular == pytest.approx(exact[1][:2], rel=1e-8)
     u = np.array([r[1:] for r in users.orderBy("id").collect()])
@@ -120,14 +121,50 @@ def test_svd_agrees_with_a_dense_solver(spark):
     assert np.allclose(v.T @ v, np.eye(2), atol=1e-8)
 
 
-def test_nmf_matches_numpy_updates(demo, spark):
-    users, items, losses = M.nmf_factors(M.matrix(demo), 3, steps=6, tolerance=-1)
-    w = {r.id: np.array(r[1:]) for r in users.collect()}
-    h = {r.id: np.array(r[1:]) for r in items.collect()}
-    assert min(x.min() for x in [*w.values(), *h.values()]) >= 0
-    assert len(losses) == 6 and all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
-    product = np.array([[w[u] @ h[i] for i in ITEMS] for u in USERS])
-    assert losses[-1] == pytest.approx(float(np.sum((DEMO - product) ** 2)), rel=1e-6)
+def multiplicative(dense, k, steps):
+    """Loss of multiplicative updates, the usual way."""
+    rng = np.random.default_rng(42)
+    w, h = (rng.random((n, k)) * 2 * np.sqrt(dense.mean() / k) for n in dense.shape)
+    for _ in range(steps):
+        w *= dense @ h / (w @ (h.T @ h) + 1e-12)
+        h *= dense.T @ w / (h @ (w.T @ w) + 1e-12)
+    return ((dense - w @ h.T) ** 2).sum()
+
+
+def dense_loss(users, items, dense):
+    w, h = (np.array([r[1:] for r in side.orderBy("id").collect()]) for side in (users, items))
+    assert min(w.min(), h.min()) >= 0
+    return float(((dense - w @ h.T) ** 2).sum())
+
+
+@pytest.mark.parametrize("shape", [(40, 25), (25, 40)])
+def test_nmf_beats_two_hundred_multiplicative_steps(spark, shape):
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random(shape) < 0.4, rng.integers(1, 9, shape), 0).astype(float)
+    dense[0], dense[:, 0] = np.arange(shape[1]) + 1, np.arange(shape[0]) + 1  # no empty row or column
+    cells = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "row int, col int, value double")
+    users, items, losses = M.nmf_factors(cells, 4)
+    assert all(b <= a + 1e-6 for a, b in zip(losses, losses[1:])) and len(losses) <= M.NMF_STEPS >= 200
+    assert dense_loss(users, items, dense) <= 1.01 * multiplicative(dense, 4, 200)
+
+
+def test_nmf_without_a_small_side(spark):
+    """Both sides as tables: the same steps, the same losses."""
+    rng = np.random.default_rng(4)
+    dense = rng.integers(1, 9, (20, 12)).astype(float)
+    cells = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(20) for j in range(12)], "row int, col int, value double")
+    users, items, losses = M.nmf_factors(cells, 3, steps=3, tolerance=-1)
+    tables = M.nmf_factors(cells, 3, steps=3, tolerance=-1, small_values=0)
+    assert tables[2] == pytest.approx(losses, rel=1e-3)
+    assert dense_loss(*tables[:2], dense) == pytest.approx(tables[2][-1], rel=1e-6)
+
+
+def test_descend_solves_each_row():
+    rng = np.random.default_rng(6)
+    h, x = rng.random((30, 4)), rng.random((50, 30))
+    w = M.descend(x @ h, h.T @ h)
+    slope = w @ (h.T @ h) - x @ h  # at the best point: no slope where positive, uphill where zero
+    assert (w >= 0).all() and np.abs(slope[w > 0]).max() < 0.02 and slope[w == 0].min() > -0.02
 
 
 def test_mf_recommend_defaults(demo, spark):
