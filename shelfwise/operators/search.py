@@ -109,11 +109,14 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def write_inverted_index(postings: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store the postings by term bucket, sorted by term, so that a lookup reads one folder."""
+    """Store the postings by term bucket, sorted by term, so that a lookup reads one folder.
+
+    The range sort cuts by size: a hot term fills as many tasks and files as it needs.
+    """
+    keys = ["bucket", "term", "id"]
     (
         postings.withColumn("bucket", term_bucket(F.col("term"), buckets))
-        .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
-        .sortWithinPartitions("bucket", "term", "id")
+        .repartitionByRange(*keys).sortWithinPartitions(*keys)
         .write.mode("overwrite").partitionBy("bucket").parquet(path)
     )
 
