@@ -9,7 +9,7 @@ matrices reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,11 +118,15 @@ def _sides(cells: DataFrame, width: int, limit: int) -> tuple[SmallSide, bool] |
     return (small, by_col) if small else None
 
 
-def _start(ids: list, like: DataFrame, column: str, k: int, seed: int) -> np.ndarray:
+def _start(ids: list, like: DataFrame, column: str, values: list[Column]) -> np.ndarray:
     """Start values of a small side, the same as a table of these ids gets."""
     kind = like.schema[column].dataType.simpleString()
     rows = like.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"id {kind}, n int")
-    return np.array(rows.select("n", *[_uniform("id", j, seed) for j in range(k)]).orderBy("n").collect())[:, 1:]
+    return np.array(rows.select("n", *values).orderBy("n").collect())[:, 1:]
+
+
+def _uniforms(k: int, seed: int) -> list[Column]:
+    return [_uniform("id", j, seed) for j in range(k)]
 
 
 def svd_factors(
@@ -156,7 +160,7 @@ def _leading(products: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _small_svd(cells, small: SmallSide, by_col: bool, k: int, width: int, steps: int, seed: int):
     """The same iteration with the basis on the small side; one scan a step."""
-    basis = _start(small.ids, cells, "col" if by_col else "row", width, seed) - 0.5
+    basis = _start(small.ids, cells, "col" if by_col else "row", _uniforms(width, seed)) - 0.5
     for _ in range(steps):
         image, _ = small.sums(basis, _as_it_is)
         values, vectors = np.linalg.eigh(image.T @ image)
@@ -170,6 +174,44 @@ def _small_svd(cells, small: SmallSide, by_col: bool, k: int, width: int, steps:
     return small.small_factors(basis * singular, cells, "row"), small.large_factors(basis / singular, _as_it_is), singular
 
 
+def power_factors(
+    cells: DataFrame, k: int, steps: int, start: Callable[[Column, int], Column], small_values: int = SMALL_VALUES
+) -> tuple[DataFrame, DataFrame]:
+    """``(user factors, item factors)`` after a fixed number of power steps from given start values.
+
+    Every step multiplies the item columns by the matrix and its transpose and makes them
+    orthonormal in order (Gram-Schmidt, worked out on their Gram matrix). Any engine
+    that does the same steps gets the same numbers.
+    """
+    cells = cut_lineage(cells)
+    values = [start(F.col("id"), j).cast("double").alias(f"f{j}") for j in range(k)]
+    if small := SmallSide.of(cells, "col", "row", k, small_values):
+        basis = _start(small.ids, cells, "col", values)
+        for _ in range(steps):
+            image, _ = small.sums(basis, _as_it_is)
+            basis = image @ _upright(image.T @ image)
+        return small.large_factors(basis, _as_it_is), small.small_factors(basis, cells, "col")
+    items = cells.select(F.col("col").alias("id")).distinct().select("id", *values)
+    for _ in range(steps):
+        image = cut_lineage(multiply(cells, multiply(cells, items, "col", "row", k), "row", "col", k))
+        turn = _upright(gram(image, k))
+        items, k = rotate(image, turn), turn.shape[1]
+    return multiply(cells, items, "col", "row", k), items
+
+
+def _upright(products: np.ndarray) -> np.ndarray:
+    """What makes columns with these products orthonormal, each from itself and those before it; dependent ones go."""
+    out: list[np.ndarray] = []
+    for j in range(len(products)):
+        column = np.eye(len(products))[j]
+        for other in out:
+            column = column - other * (other @ products[:, j])
+        length = column @ products @ column
+        if length > products.max() * 1e-13:
+            out.append(column / np.sqrt(length))
+    return np.array(out).T
+
+
 def _as_it_is(rows: np.ndarray) -> np.ndarray:
     return rows
 
@@ -235,7 +277,7 @@ def _settled(losses: list[float], tolerance: float) -> bool:
 def _small_nmf(cells, small: SmallSide, by_col: bool, k: int, steps: int, tolerance: float, seed: int, norm: float, scale: float):
     """The same with the small side's factors on the driver; one scan a step."""
     column = "col" if by_col else "row"
-    factors = _start(small.ids, cells, column, k, seed) * 2 * scale
+    factors = _start(small.ids, cells, column, _uniforms(k, seed)) * 2 * scale
     losses: list[float] = []
     while len(losses) < steps:
         other = factors.T @ factors

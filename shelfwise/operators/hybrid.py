@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def merge_candidates(cb: DataFrame, cf: DataFrame) -> DataFrame:
     )
 
 
+def merge_scores(*scores: DataFrame) -> DataFrame:
+    """Candidates of any source, each ``(user_id, product_id, <name>_score)``; missing scores are 0.
+
+    The sources are put below one another and combined by pair, in one shuffle.
+    """
+    columns = [next(c for c in df.columns if c not in PAIR) for df in scores]
+    rows = [df.select(*PAIR, *(F.col(c) if c == own else F.lit(None).cast("double").alias(c) for c in columns)) for df, own in zip(scores, columns, strict=True)]
+    merged = reduce(DataFrame.unionByName, rows).groupBy(*PAIR).agg(*(F.max(c).alias(c) for c in columns))
+    return merged.na.fill(0.0, columns)
+
+
 def hybrid_blend(
     behavior: DataFrame,
     products: DataFrame,

@@ -1,10 +1,15 @@
 """Neighbours, content candidates, blends and their evaluation."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise import datasets as D
 from shelfwise.operators import aggregates as A
+from shelfwise.operators import als as L
 from shelfwise.operators import evaluation as E
+from shelfwise.operators import factors as M
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import interactions as I
 from shelfwise.operators import neighbours as N
@@ -12,6 +17,7 @@ from shelfwise.operators.content import content_candidates, similar_products
 from shelfwise.operators.ranking import top_n
 from shelfwise.registry.core import define, query
 from shelfwise.registry.tables import CUT_DAY, behavior
+from shelfwise.registry.views import view
 from shelfwise.session import cut_lineage
 
 
@@ -93,22 +99,82 @@ def _(spark, sf):
     return swept.withColumn("avg_recommendations", F.round("avg_recommendations", 6))
 
 
-define("cb", """
+def blend_sql(prefix: str, source: str, cf: str) -> None:
+    """Definitions of content candidates and blend over a table of interactions."""
+    define(f"{prefix}cb", f"""
 SELECT user_id, similar_id AS product_id, max(similarity) AS cb_score
-FROM behavior JOIN alike USING (product_id) GROUP BY 1, 2""", ("behavior", "alike"))
-define("merged", """
+FROM {source} JOIN alike USING (product_id) GROUP BY 1, 2""", (source, "alike"))
+    define(f"{prefix}merged", f"""
 SELECT user_id, product_id, coalesce(cb_score, 0.0) AS cb_score, coalesce(cf_score, 0.0) AS cf_score
-FROM (SELECT user_id, product_id, cb_score / max(cb_score) OVER (PARTITION BY user_id) AS cb_score FROM cb)
-FULL JOIN (SELECT user_id, product_id, cf_score / max(cf_score) OVER (PARTITION BY user_id) AS cf_score FROM all_cf)
-USING (user_id, product_id)""", ("cb", "all_cf"))
-define("blended", """
-SELECT *, 0.7::DOUBLE * cf_score + 0.3::DOUBLE * cb_score AS hybrid_score FROM merged m
-WHERE NOT EXISTS (SELECT 1 FROM behavior s WHERE s.user_id = m.user_id AND s.product_id = m.product_id)""", ("merged",))
-define("hybrid", """
+FROM (SELECT user_id, product_id, cb_score / max(cb_score) OVER (PARTITION BY user_id) AS cb_score FROM {prefix}cb)
+FULL JOIN (SELECT user_id, product_id, cf_score / max(cf_score) OVER (PARTITION BY user_id) AS cf_score FROM {cf})
+USING (user_id, product_id)""", (f"{prefix}cb", cf))
+    define(f"{prefix}blended", f"""
+SELECT *, 0.7::DOUBLE * cf_score + 0.3::DOUBLE * cb_score AS hybrid_score FROM {prefix}merged m
+WHERE NOT EXISTS (SELECT 1 FROM {source} s WHERE s.user_id = m.user_id AND s.product_id = m.product_id)""", (f"{prefix}merged",))
+    define(f"{prefix}hybrid", f"""
 SELECT b.*, name, price, rating, popularity_score, hybrid_score * popularity_score AS recommendation_score
-FROM (SELECT * FROM blended QUALIFY
+FROM (SELECT * FROM {prefix}blended QUALIFY
   row_number() OVER (PARTITION BY user_id ORDER BY round(hybrid_score, 9) DESC, product_id) <= 10) b
-JOIN products USING (product_id)""", ("blended", "products"))
+JOIN products USING (product_id)""", (f"{prefix}blended", "products"))
+
+
+blend_sql("", "behavior", "all_cf")
+
+# Factors, power steps and the numbers that the start values are made of.
+MF_RANK, MF_STEPS = 4, 3
+START_FACTOR, START_MODULUS = 7368787, 1000003
+
+
+def start_value(product_id, j):
+    return ((product_id + 1) * ((j + 2) * START_FACTOR) % START_MODULUS + 0.5) / START_MODULUS - 0.5
+
+
+def mf_sql(prefix: str, source: str) -> None:
+    """Definitions ``{prefix}mf`` of the factorisation's top lists: the power steps as joins and sums."""
+    define(f"{prefix}cells", f"SELECT user_id, product_id, interaction_score AS x FROM {source} WHERE interaction_score <> 0", (source,))
+    define(f"{prefix}b0", f"""
+SELECT product_id, j, ((product_id + 1) * ((j + 2) * {START_FACTOR}) % {START_MODULUS} + 0.5::DOUBLE) / {START_MODULUS} - 0.5::DOUBLE AS w
+FROM (SELECT DISTINCT product_id FROM {prefix}cells), range({MF_RANK}) AS t(j)""", (f"{prefix}cells",))
+    for step in range(MF_STEPS):
+        now, image = f"{prefix}b{step}", f"{prefix}i{step}"
+        define(image, f"""
+SELECT product_id, j, sum(x * y) AS w FROM {prefix}cells JOIN (
+  SELECT user_id, j, sum(x * w) AS y FROM {prefix}cells JOIN {now} USING (product_id) GROUP BY user_id, j) USING (user_id)
+GROUP BY product_id, j""", (now,))
+        for j in range(MF_RANK):
+            before = [f"{prefix}o{step}_{i}" for i in range(j)]
+            less = "".join(
+                f" - coalesce((SELECT o.w FROM {o} o WHERE o.product_id = i.product_id), 0)"
+                f" * (SELECT sum(o.w * k.w) FROM {o} o JOIN {image} k USING (product_id) WHERE k.j = {j})" for o in before)
+            define(f"{prefix}o{step}_{j}", f"""
+SELECT product_id, w / sqrt(sum(w * w) OVER ()) AS w FROM (SELECT product_id, w{less} AS w FROM {image} i WHERE j = {j})""", (image, *before))
+        define(f"{prefix}b{step + 1}", " UNION ALL ".join(
+            f"SELECT product_id, CAST({j} AS BIGINT) AS j, w FROM {prefix}o{step}_{j}" for j in range(MF_RANK)),
+            tuple(f"{prefix}o{step}_{j}" for j in range(MF_RANK)))
+    last = f"{prefix}b{MF_STEPS}"
+    define(f"{prefix}mf", f"""
+SELECT user_id, product_id, mf_score FROM (
+  SELECT u.user_id, v.product_id, round(sum(u.y * v.w) / (any_value(u.n) * any_value(v.n)), 9) AS mf_score
+  FROM (SELECT *, sqrt(sum(y * y) OVER (PARTITION BY user_id)) AS n FROM (
+          SELECT user_id, j, sum(x * w) AS y FROM {prefix}cells JOIN {last} USING (product_id) GROUP BY user_id, j)) u
+  JOIN (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY product_id)) AS n FROM {last}) v USING (j)
+  GROUP BY u.user_id, v.product_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY mf_score DESC, product_id) <= 10""", (last,))
+
+
+mf_sql("", "behavior")
+
+
+def mf_lists(behavior, n=10):
+    """Top products per user by the cosine of fixed-step factors."""
+    users, items = M.power_factors(M.matrix(behavior), MF_RANK, MF_STEPS, start_value)
+    return M.factor_cosine_top(users, items, n)
+
+
+@query("mf_lists", "SELECT user_id, product_id, round(mf_score, 6) AS mf_score FROM mf", ("mf",))
+def _(spark, sf):
+    return mf_lists(behavior(spark, sf)).withColumn("mf_score", F.round("mf_score", 6))
 
 
 def _similar(spark, sf):
@@ -164,61 +230,64 @@ def _(spark, sf):
 
 
 define("three_scores", """
-SELECT user_id, product_id, cf_score, cb_score, popularity_score / max(popularity_score) OVER (PARTITION BY user_id)
-  AS pop_score FROM blended JOIN products USING (product_id)""", ("blended", "products"))
-SWEEP = [{"cf_score": a, "pop_score": b, "cb_score": c} for a, b, c in H.SWEEP_WEIGHTS]
+SELECT user_id, product_id, coalesce(cf_score, 0.0) AS cf_score, coalesce(mf_score, 0.0) AS mf_score, coalesce(cb_score, 0.0) AS cb_score
+FROM merged m FULL JOIN (
+  SELECT user_id, product_id, CASE WHEN max(mf_score) OVER (PARTITION BY user_id) > 0
+    THEN mf_score / max(mf_score) OVER (PARTITION BY user_id) ELSE 0 END AS mf_score FROM mf) USING (user_id, product_id)
+WHERE NOT EXISTS (SELECT 1 FROM behavior s WHERE s.user_id = user_id AND s.product_id = product_id)""".replace(
+    "s.user_id = user_id AND s.product_id = product_id", "(s.user_id, s.product_id) = (coalesce(m.user_id, mf.user_id), coalesce(m.product_id, mf.product_id))").replace(
+    "FROM mf) USING", "FROM mf) mf USING"), ("merged", "mf"))
+SWEEP = [{"cf_score": a, "mf_score": b, "cb_score": c} for a, b, c in H.SWEEP_WEIGHTS]
 
 
 @query("blend_sweep", "SELECT setting, user_id, product_id, round(blend, 6) AS blend, CAST(rank AS INTEGER) AS rank FROM ("
        "SELECT *, row_number() OVER (PARTITION BY setting, user_id ORDER BY round(blend, 9) DESC, product_id) AS rank "
        "FROM (" + " UNION ALL ".join(
            f"SELECT CAST({i} AS INTEGER) AS setting, user_id, product_id, {s['cf_score']}::DOUBLE * cf_score"
-           f" + {s['pop_score']}::DOUBLE * pop_score + {s['cb_score']}::DOUBLE * cb_score AS blend FROM three_scores"
+           f" + {s['mf_score']}::DOUBLE * mf_score + {s['cb_score']}::DOUBLE * cb_score AS blend FROM three_scores"
            for i, s in enumerate(SWEEP)) + ")) WHERE rank <= 10", ("three_scores",))
 def _(spark, sf):
     b = cut_lineage(behavior(spark, sf))
     cb = content_candidates(b, _similar(spark, sf))
-    merged = cut_lineage(H.merge_candidates(
-        H.max_normalise(cb, "cb_score"), H.max_normalise(N.knn_recommend(b), "cf_score")
-    ))
-    popularity = D.products(spark, sf).select("product_id", F.col("popularity_score").alias("pop_score"))
-    scores = H.max_normalise(I.exclude_seen(merged, b).join(popularity, "product_id"), "pop_score")
-    return H.blend_sweep(scores, SWEEP).withColumn("blend", F.round("blend", 6))
+    scores = H.merge_scores(
+        H.max_normalise(N.knn_recommend(b).select(*I.PAIR, "cf_score"), "cf_score"), H.max_normalise(mf_lists(b), "mf_score"),
+        H.max_normalise(cb, "cb_score"))
+    return H.blend_sweep(cut_lineage(I.exclude_seen(scores, b)), SWEEP).withColumn("blend", F.round("blend", 6))
 
 
-ALGORITHMS = ("cf", "cb", "hybrid")
+ALGORITHMS = ("cf", "mf", "hybrid")
 define("lists", """
 SELECT user_id, product_id, algorithm, score, score * popularity_score AS recommendation_score FROM (
   SELECT user_id, product_id, 'cf' AS algorithm, cf_score AS score FROM all_cf
-  UNION ALL SELECT user_id, product_id, 'cb', cb_score FROM (SELECT * FROM cb QUALIFY
-    row_number() OVER (PARTITION BY user_id ORDER BY round(cb_score, 9) DESC, product_id) <= 10)
+  UNION ALL SELECT user_id, product_id, 'mf', mf_score FROM mf
   UNION ALL SELECT user_id, product_id, 'hybrid', hybrid_score FROM hybrid)
-JOIN products USING (product_id)""", ("all_cf", "cb", "hybrid"))
+JOIN products USING (product_id)""", ("all_cf", "mf", "hybrid"))
 
 
-def lists(spark, sf):
-    """Recommendations of three algorithms in long form."""
+def _named(**scored):
+    """Lists below one another as (algorithm, user_id, product_id, score)."""
+    rows = [df.select(F.lit(name).alias("algorithm"), *I.PAIR, F.col(f"{name}_score").alias("score")) for name, df in scored.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _lists(spark, sf):
     b, products = cut_lineage(behavior(spark, sf)), cut_lineage(D.products(spark, sf))
     cf = cut_lineage(N.knn_recommend(b))
-    cb = cut_lineage(content_candidates(b, _similar(spark, sf)))
-    hybrid = H.hybrid_blend(b, products, cb, cf)
-    best_cb = top_n(cb, "user_id", "cb_score", "product_id", 10)
-    named = [
-        df.select(*I.PAIR, F.lit(name).alias("algorithm"), F.col(f"{name}_score").alias("score"))
-        for name, df in (("cf", cf), ("cb", best_cb), ("hybrid", hybrid))
-    ]
-    rows = named[0].unionByName(named[1]).unionByName(named[2])
-    popularity = products.select("product_id", "popularity_score")
-    return rows.join(popularity, "product_id").withColumn(
-        "recommendation_score", F.col("score") * F.col("popularity_score")
-    ).drop("popularity_score")
+    hybrid = H.hybrid_blend(b, products, content_candidates(b, _similar(spark, sf)), cf)
+    rows = _named(cf=cf, mf=mf_lists(b), hybrid=hybrid).join(products.select("product_id", "popularity_score"), "product_id")
+    return rows.withColumn("recommendation_score", F.col("score") * F.col("popularity_score")).drop("popularity_score")
+
+
+def lists(spark, sf):
+    """Recommendations of three algorithms in long form, stored by user."""
+    return view(spark, sf, "lists", "user_id", _lists, [F.col("algorithm"), F.desc("score")])
 
 
 @query("algorithm_comparison", "SELECT user_id, " + ", ".join(
     f"round(avg(CASE WHEN algorithm = '{a}' THEN recommendation_score END), 6) AS {a}" for a in ALGORITHMS
 ) + " FROM lists GROUP BY user_id", ("lists",))
 def _(spark, sf):
-    compared = A.algorithm_comparison(lists(spark, sf), ALGORITHMS)
+    compared = A.algorithm_comparison(lists(spark, sf).all(), ALGORITHMS)
     return compared.withColumns({a: F.round(a, 6) for a in ALGORITHMS})
 
 
@@ -226,7 +295,7 @@ def _(spark, sf):
     f"round(avg(CASE WHEN algorithm = '{a}' THEN recommendation_score END), 6) AS {a}" for a in ALGORITHMS
 ) + " FROM lists WHERE user_id = 8 GROUP BY user_id", ("lists",))
 def _(spark, sf):
-    compared = A.algorithm_comparison(lists(spark, sf).where("user_id = 8"), ALGORITHMS)
+    compared = A.algorithm_comparison(lists(spark, sf).of(8), ALGORITHMS)
     return compared.withColumns({a: F.round(a, 6) for a in ALGORITHMS})
 
 
@@ -235,18 +304,18 @@ SELECT algorithm, product_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS
   SELECT *, row_number() OVER (PARTITION BY user_id, algorithm ORDER BY round(score, 9) DESC, product_id) AS rank
   FROM lists WHERE score IS NOT NULL) WHERE rank <= 5 AND user_id = 8""", ("lists",))
 def _(spark, sf):
-    return E.compare_algorithms(lists(spark, sf), ALGORITHMS, 8).select(
+    return E.compare_algorithms(lists(spark, sf).of(8), ALGORITHMS).select(
         "algorithm", "product_id", F.round("score", 6).alias("score"), "rank"
     )
 
 
 @query("product_score_table", """
-SELECT *, CASE WHEN hybrid >= cf AND hybrid >= cb THEN 'hybrid' WHEN cf >= cb THEN 'cf' ELSE 'cb' END AS best_algorithm
+SELECT *, CASE WHEN hybrid >= cf AND hybrid >= mf THEN 'hybrid' WHEN cf >= mf THEN 'cf' ELSE 'mf' END AS best_algorithm
 FROM (SELECT user_id, product_id, """ + ", ".join(
     f"round(coalesce(max(CASE WHEN algorithm = '{a}' THEN score END), 0.0), 6) AS {a}" for a in ALGORITHMS
 ) + " FROM lists GROUP BY user_id, product_id)", ("lists",))
 def _(spark, sf):
-    rows = lists(spark, sf).withColumn("score", F.round("score", 6))
+    rows = lists(spark, sf).all().withColumn("score", F.round("score", 6))
     return E.product_score_table(rows, ALGORITHMS)
 
 
@@ -258,11 +327,15 @@ neighbour_sql("train", "train_behavior", ("train_behavior",))
 define("relevant", f"""
 SELECT DISTINCT user_id, product_id FROM weighted WHERE ts >= TIMESTAMP '{CUT_DAY}' AND action_weight > 0""",
        ("weighted",))
+blend_sql("train_", "train_behavior", "train_cf")
+mf_sql("train_", "train_behavior")
 define("train_lists", """
 SELECT 'cf' AS algorithm, user_id, product_id FROM train_cf
+UNION ALL SELECT 'mf', user_id, product_id FROM train_mf
+UNION ALL SELECT 'hybrid', user_id, product_id FROM train_hybrid
 UNION ALL SELECT 'popularity', user_id, product_id FROM (SELECT user_id, product_id, row_number() OVER (
   PARTITION BY user_id ORDER BY round(interaction_score * popularity_score, 9) DESC, product_id) AS rank
-  FROM train_behavior JOIN products USING (product_id)) WHERE rank <= 10""", ("train_cf", "products"))
+  FROM train_behavior JOIN products USING (product_id)) WHERE rank <= 10""", ("train_cf", "train_mf", "train_hybrid", "products"))
 
 
 @query("ranking_metrics", """
@@ -276,16 +349,34 @@ SELECT algorithm, round(p, 6) AS precision, round(r, 6) AS recall,
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(c, 6) AS user_coverage FROM sums""",
        ("relevant", "train_lists"))
 def _(spark, sf):
-    events = D.events(spark, sf)
+    listed, _, positive = held_out(spark, sf)
+    return rounded_metrics(E.ranking_metrics(listed, positive))
+
+
+def held_out(spark, sf):
+    """(lists drawn from the days before the cut, their interactions, positive actions after it)."""
+    events, products = D.events(spark, sf), D.products(spark, sf)
     cut = F.to_timestamp_ntz(F.lit(f"{CUT_DAY} 00:00:00"))
     train = cut_lineage(I.interactions(events.where(F.col("ts") < cut)))
-    baseline = top_n(
-        I.popularity_baseline(train, D.products(spark, sf)), "user_id", "recommendation_score", "product_id", 10
-    )
-    listed = [
-        df.select(F.lit(name).alias("algorithm"), *I.PAIR)
-        for name, df in (("cf", N.knn_recommend(train)), ("popularity", baseline))
-    ]
+    popularity = top_n(I.popularity_baseline(train, products), "user_id", "recommendation_score", "product_id", 10)
+    cf = cut_lineage(N.knn_recommend(train))
+    cb = content_candidates(train, similar_products(D.catalog_text(spark, sf), train.select("product_id").distinct()))
+    listed = _named(
+        cf=cf, mf=mf_lists(train), hybrid=H.hybrid_blend(train, products, cb, cf), popularity=popularity)
     positive = events.where((F.col("ts") >= cut) & (F.col("action") != "other")).select(*I.PAIR).distinct()
-    metrics = E.ranking_metrics(listed[0].unionByName(listed[1]), positive)
+    return listed.drop("score"), train, positive
+
+
+def rounded_metrics(metrics):
     return metrics.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "user_coverage")})
+
+
+@query("ranking_metrics_of_all")
+def _(spark, sf):
+    """The same for every recommender; the numbers of fitted ones depend on their solver."""
+    listed, train, positive = held_out(spark, sf)
+    ratings, users, items = L.indexed(train)
+    als = L.als_recommend_all(L.als_fit(ratings), users, items, D.products(spark, sf)).withColumnRenamed("cf_score", "als_score")
+    fitted = {f"{m}_score": M.mf_recommend(train, D.products(spark, sf), m).withColumnRenamed("mf_score", f"{m}_score") for m in ("svd", "nmf")}
+    more = _named(als=als, svd=fitted["svd_score"], nmf=fitted["nmf_score"]).drop("score")
+    return rounded_metrics(E.ranking_metrics(listed.unionByName(more), positive))

@@ -10,6 +10,7 @@ from shelfwise.operators.search import term_lookup
 from shelfwise.plans import views as V
 from shelfwise.registry.core import query
 from shelfwise.registry.tables import behavior
+from shelfwise.registry.views import view
 
 SHOWN = ("product_id", "name", "category", "price", "price_numeric", "sold_numeric")
 SHOWN_SQL = ", ".join(SHOWN) + ", round(rating, 6) AS rating, round(popularity_score, 6) AS popularity_score"
@@ -48,14 +49,16 @@ def _(spark, sf):
 SELECT {RECS_SQL} FROM baseline b WHERE user_id = 8
 ORDER BY round(b.recommendation_score, 9) DESC, product_id LIMIT 10""", ("baseline",))
 def _(spark, sf):
-    return rounded_recs(R.user_recommendations(baseline(spark, sf).drop("action_frequency"), 8))
+    stored = view(spark, sf, "recommendations", "user_id", baseline, [F.desc("recommendation_score")])
+    return rounded_recs(R.user_recommendations(stored.of(8).drop("action_frequency"), 8))
 
 
 @query("product_reviews", """
 SELECT review_id, username, rating, time, comment_length, review_weight FROM reviews WHERE product_id = 42
 ORDER BY review_weight DESC, time DESC, review_id, rating LIMIT 10""", ("reviews",))
 def _(spark, sf):
-    return R.product_reviews(D.reviews(spark, sf), 42).select(
+    stored = view(spark, sf, "reviews", "product_id", D.reviews, [F.desc("review_weight")])
+    return R.product_reviews(stored.of(42), 42).select(
         "review_id", "username", "rating", "time", "comment_length", "review_weight"
     )
 
@@ -63,12 +66,12 @@ def _(spark, sf):
 @query("user_behavior", """
 SELECT * FROM behavior WHERE user_id = 8 ORDER BY interaction_score DESC, product_id LIMIT 10""", ("behavior",))
 def _(spark, sf):
-    return R.user_behavior(behavior(spark, sf), 8)
+    return R.user_behavior(view(spark, sf, "behavior", "user_id", behavior).of(8), 8)
 
 
 @query("product_details", f"SELECT {SHOWN_SQL} FROM products WHERE product_id = 42", ("products",))
 def _(spark, sf):
-    return shown(R.product_details(D.products(spark, sf), 42))
+    return shown(R.product_details(view(spark, sf, "products", "product_id", D.products).of(42), 42))
 
 
 @query("list_products", f"""

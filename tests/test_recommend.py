@@ -200,3 +200,30 @@ def test_als_lists_and_error(spark):
     assert {(r.user_id, r.product_id): r.cf_score for r in lists} == pytest.approx(expected, abs=1e-5)
     swept = L.sweep_table(L.mf_sweep(ratings, ranks=(2, 3), iterations=(2,)), ratings).collect()
     assert sorted(r["rank"] for r in swept) == [2, 3] and all(r.rmse > 0 for r in swept)
+
+
+def test_power_factors_on_either_way_and_of_low_rank(spark):
+    """Fixed steps from given starts: dense arithmetic, small side and tables agree; dependent columns go."""
+    rng = np.random.default_rng(7)
+    full, low = rng.random((30, 12)), np.outer(rng.random(30), rng.random(12)) + np.outer(rng.random(30), rng.random(12))
+    for dense, rank in ((full, 3), (low, 2)):
+        cells = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(30) for j in range(12)], "row long, col long, value double")
+
+        def start(item, j):
+            return (item * (j + 2) * 7 + j) % 11 - 5
+
+        basis = np.array([[float(start(i, j)) for j in range(3)] for i in range(12)])
+        for _ in range(2):
+            basis, r = np.linalg.qr(dense.T @ (dense @ basis))
+            basis = basis * np.sign(np.diag(r))
+        expected = (dense @ basis[:, :rank]) @ basis[:, :rank].T
+        for small_values in (0, 1000):
+            users, items = M.power_factors(cells, 3, 2, start, small_values)
+            u, v = (np.array([r[1:] for r in side.orderBy("id").collect()]) for side in (users, items))
+            assert v.shape[1] == rank and np.allclose(v.T @ v, np.eye(rank), atol=1e-8) and np.allclose(u @ v.T, expected, atol=1e-6)
+
+
+def test_merge_scores(spark):
+    one = spark.createDataFrame([("u", "p", 2.0), ("u", "q", 1.0)], "user_id string, product_id string, cf_score double")
+    two = spark.createDataFrame([("u", "q", 3.0), ("v", "p", 0.5)], "user_id string, product_id string, mf_score double")
+    assert rows(H.merge_scores(one, two)) == [("u", "p", 2.0, 0.0), ("u", "q", 1.0, 3.0), ("v", "p", 0.0, 0.5)]
