@@ -117,17 +117,17 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("sentiment_score", C.sentiment_score("rating"))
 
 
-def comment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight per comment text; computed before any join so that texts are never shuffled."""
+def comment_sizes(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """Weight per comment text, computed before any join; the texts themselves only where they are asked for."""
     return (
         load(spark, sf_dir, "documents")
-        .select("doc_id", C.comment_length("text").alias("comment_length"))
+        .select("doc_id", C.comment_length("text").alias("comment_length"), *([F.col("text").alias("comment")] if texts else []))
         .withColumn("review_weight", C.review_weight("comment_length"))
     )
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews with author, time, sentiment and the weight of their comment."""
+def reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """Reviews with author, time, sentiment and the weight of their comment, or also its text."""
     total = load(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (
@@ -142,7 +142,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_orderkey") % total).alias("doc_id"),
         )
         .withColumn("sentiment_score", C.sentiment_score("rating"))
-        .join(comment_sizes(spark, sf_dir), "doc_id")
+        .join(comment_sizes(spark, sf_dir, texts), "doc_id")
         .drop("doc_id")
     )
 

@@ -118,6 +118,10 @@ SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN sizes ON sizes.doc_id = l_orderkey % (SELECT count(*) FROM documents)""", ("sizes",))
 
+define("raw_reviews", """
+SELECT reviews.*, text AS comment FROM reviews JOIN documents
+ON doc_id = CAST(split_part(review_id, '-', 1) AS BIGINT) % (SELECT count(*) FROM documents)""", ("reviews",))
+
 define("baseline", """
 SELECT user_id, product_id, name, price, rating, popularity_score, interaction_score,
        interaction_score * popularity_score AS recommendation_score

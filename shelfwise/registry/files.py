@@ -28,8 +28,8 @@ def raw_json(spark, sf, data_type: str) -> DataFrame:
     if data_type == "products":
         return D.raw_products(spark, sf).withColumn("product_id", text("product_id"))
     if data_type == "reviews":
-        return D.reviews(spark, sf).select(
-            "review_id", text("product_id"), "username", "rating",
+        return D.reviews(spark, sf, texts=True).select(
+            "review_id", text("product_id"), "username", "rating", "comment",
             F.date_format("time", "yyyy-MM-dd").alias("time"),
         )
     return D.events(spark, sf).select(
@@ -74,11 +74,13 @@ def _(spark, sf):
 
 
 @query("scan_raw_reviews", """
-SELECT review_id, CAST(product_id AS VARCHAR) AS product_id, username, rating, strftime(time, '%Y-%m-%d') AS time
-FROM reviews""", ("reviews",))
+SELECT review_id, CAST(product_id AS VARCHAR) AS product_id, username, rating, strftime(time, '%Y-%m-%d') AS time,
+       sha256(comment) AS comment_sha256, review_weight
+FROM raw_reviews""", ("raw_reviews",))
 def _(spark, sf):
-    return files.scan_raw_reviews(spark, written(spark, sf, "reviews")).select(
-        "review_id", "product_id", "username", "rating", "time")
+    scanned = D.enrich_reviews(files.scan_raw_reviews(spark, written(spark, sf, "reviews")))
+    return scanned.select(
+        "review_id", "product_id", "username", "rating", "time", F.sha2("comment", 256).alias("comment_sha256"), "review_weight")
 
 
 @query("scan_raw_behavior", EVENT_SQL, ("ev",))
@@ -171,7 +173,7 @@ def _(spark, sf):
 
 
 @query("create_index", """
-SELECT product_id AS doc_id, name, category FROM products WHERE category = 'ECONOMY'""", ("products",))
+SELECT product_id AS doc_id, name, category FROM products""", ("products",))
 def _(spark, sf):
     name, location = _database(spark)
     tables.create_database(spark, name, location)
@@ -181,7 +183,7 @@ def _(spark, sf):
     tables.create_index(spark, "catalog", rows.schema, "shop_", database=name)
     tables.delete_index(spark, "other", "shop_", database=name)
     rows.write.mode("append").insertInto(full)
-    return spark.table(full).where("category = 'ECONOMY'")
+    return spark.table(full)
 
 
 @query("bulk_load_index", """
@@ -227,13 +229,23 @@ def published(spark, sf, data_type: str) -> tuple[messages.Bus, str]:
     return bus, source
 
 
-@query("drain_topics", "SELECT 'user_behavior' AS topic, count(*) AS n, count(DISTINCT user_id) AS keys FROM ev", ("ev",))
+DRAINED_SQL = """
+SELECT 'user_behavior' AS topic, CAST(user_id AS VARCHAR) AS key, CAST(product_id AS VARCHAR) AS product_id, action,
+ strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp FROM ev"""
+
+
+def opened(drained: DataFrame) -> DataFrame:
+    """Drained messages with what their bodies say."""
+    body = F.from_json("value", schemas.RAW_EVENT)
+    return drained.select("topic", "key", *(body[c].alias(c) for c in ("product_id", "action", "timestamp")))
+
+
+@query("drain_topics", DRAINED_SQL, ("ev",))
 def _(spark, sf):
     bus, _ = published(spark, sf, "user_behavior")
     out = scratch_path(spark, "drained")
     messages.drain_topics(spark, bus, out, ("user_behavior",))
-    drained = spark.read.schema(messages.MESSAGE).json(out)
-    return drained.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    return opened(spark.read.schema(messages.MESSAGE).json(out))
 
 
 @query("read_postings", """

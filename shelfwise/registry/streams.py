@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from shelfwise import datasets as D
 from shelfwise import schemas
+from shelfwise.operators.snapshots import latest_per_key, merged_view
+from shelfwise.plans.versions import VersionedViews
 from shelfwise.registry.core import query
-from shelfwise.registry.files import EVENT_SQL, PRODUCT_COLUMNS, PRODUCT_SQL, published, written
+from shelfwise.registry.files import DRAINED_SQL, EVENT_SQL, PRODUCT_COLUMNS, PRODUCT_SQL, opened, published, written
 from shelfwise.registry.tables import CUT_DAY, EVENT_COLUMNS
 from shelfwise.session import scratch_path
 from shelfwise.sources import messages
@@ -30,13 +32,13 @@ def _(spark, sf):
 
 
 @query("review_stream", """
-SELECT review_id, CAST(product_id AS VARCHAR) AS product_id, rating,
+SELECT review_id, CAST(product_id AS VARCHAR) AS product_id, rating, sha256(comment) AS comment_sha256,
        CASE WHEN rating >= 4 THEN 1.0::DOUBLE WHEN rating = 3 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS sentiment_score
-FROM reviews""", ("reviews",))
+FROM raw_reviews""", ("raw_reviews",))
 def _(spark, sf):
     stream = S.review_stream(S.file_stream(spark, "reviews", written(spark, sf, "reviews")))
-    out = drained(spark, stream, "review_id string, product_id string, rating int, sentiment_score double")
-    return out
+    out = drained(spark, stream, "review_id string, product_id string, rating int, comment string, sentiment_score double")
+    return out.withColumn("comment_sha256", F.sha2("comment", 256)).drop("comment")
 
 
 @query("behavior_stream", """
@@ -76,24 +78,35 @@ def _(spark, sf):
 @query("realtime_views", """
 SELECT user_id, product_id, event_id, action FROM newest_event""", ("newest_event",))
 def _(spark, sf):
+    """A published version of the first days, a refresh that folds in a stream of the next, and a stream after that."""
     rows = D.events(spark, sf).select(*EVENT_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp"))
     cut = F.lit(f"{CUT_DAY} 00:00:00").cast("timestamp")
-    source, path = scratch_path(spark, "late-events"), scratch_path(spark, "speed")
-    rows.where(F.col("ts") >= cut).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    R.start_speed_layer(stream, path, scratch_path(spark, "speed-checkpoint"), availableNow=True).awaitTermination()
-    merged = R.realtime_table(spark, rows.where(F.col("ts") < cut), path, ("user_id", "product_id"), ("ts", "event_id"))
-    return merged.drop("ts")
+    source, path, checkpoint = (scratch_path(spark, n) for n in ("late-events", "speed", "speed-checkpoint"))
+    keys, newest = ("user_id", "product_id"), ("ts", "event_id")
+    views = VersionedViews(spark, scratch_path(spark, "views"))
+    views.publish({"behavior": latest_per_key(rows.where(F.col("ts") < cut), keys, [F.col(c) for c in newest])}, -1)
 
+    def stream(part):
+        rows.where(part).write.mode("append").parquet(source)
+        live = spark.readStream.schema(rows.schema).parquet(source)
+        R.start_speed_layer(live, path, checkpoint, availableNow=True).awaitTermination()
 
-@query("continuous_drain", "SELECT 'user_behavior' AS topic, count(*) AS n, count(DISTINCT user_id) AS keys FROM ev", ("ev",))
+    def build(fresh):
+        return {"behavior": merged_view(views.read("behavior"), fresh, keys, [F.col(c) for c in newest])}
+
+    stream((F.col("ts") >= cut) & (F.col("event_id") % 2 == 0))
+    R.refresh(spark, views, path, build)
+    stream((F.col("ts") >= cut) & (F.col("event_id") % 2 != 0))
+    return R.refreshed_table(spark, views, "behavior", path, keys, newest).drop("ts")
+
+
+@query("continuous_drain", DRAINED_SQL, ("ev",))
 def _(spark, sf):
     bus, _ = published(spark, sf, "user_behavior")
     out = scratch_path(spark, "drain")
     messages.continuous_drain(spark, bus, out, scratch_path(spark, "drain-checkpoint"), ("user_behavior",),
                               available_now=True).awaitTermination()
-    rows = spark.read.schema(messages.MESSAGE).json(out)
-    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"))
+    return opened(spark.read.schema(messages.MESSAGE).json(out))
 
 
 @query("on_batch", "SELECT action, count(*) AS n FROM ev GROUP BY action", ("ev",))

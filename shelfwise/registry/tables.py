@@ -92,19 +92,27 @@ def _(spark, sf):
     )
 
 
-# The catalogue is taken as the products rated 3 or more, so that defaults and drops have rows to act on.
+# Recommended ids that the catalogue partly lacks: products of the behaviour, and order numbers beside them.
+define("recommended", """
+SELECT user_id, product_id, interaction_score FROM behavior
+UNION ALL SELECT o_custkey, o_orderkey, CAST(1.0 AS DOUBLE) FROM orders""", ("behavior",))
+
+
+def recommended(spark, sf):
+    orders = D.load(spark, sf, "orders").select(
+        F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("product_id"), F.lit(1.0).alias("interaction_score"))
+    return behavior(spark, sf).drop("action_frequency").unionByName(orders)
+
+
 @query("enrich_with_defaults", """
 SELECT b.user_id, b.product_id, b.interaction_score,
        CASE WHEN p.product_id IS NULL THEN 'Product ' || CAST(b.product_id AS VARCHAR) ELSE p.name END AS name,
        CASE WHEN p.product_id IS NULL THEN 'Unknown' ELSE p.price END AS price,
        round(CASE WHEN p.product_id IS NULL THEN 0.0 ELSE p.rating END, 6) AS rating,
        round(CASE WHEN p.product_id IS NULL THEN 1.0 ELSE p.popularity_score END, 6) AS popularity_score
-FROM behavior b LEFT JOIN (SELECT * FROM products WHERE rating >= 3) p ON b.product_id = p.product_id""",
-       ("behavior", "products"))
+FROM recommended b LEFT JOIN products p ON b.product_id = p.product_id""", ("recommended", "products"))
 def _(spark, sf):
-    known = D.products(spark, sf).where("rating >= 3")
-    recs = behavior(spark, sf).drop("action_frequency")
-    return I.enrich_with_defaults(recs, known).withColumns(
+    return I.enrich_with_defaults(recommended(spark, sf), D.products(spark, sf)).withColumns(
         {c: F.round(c, 6) for c in ("rating", "popularity_score")}
     )
 
@@ -119,11 +127,9 @@ def _(spark, sf):
 
 
 @query("known_products_only", """
-SELECT user_id, product_id, interaction_score FROM behavior
-WHERE product_id IN (SELECT product_id FROM products WHERE rating >= 3)""", ("behavior", "products"))
+SELECT * FROM recommended WHERE product_id IN (SELECT product_id FROM products)""", ("recommended", "products"))
 def _(spark, sf):
-    known = D.products(spark, sf).where("rating >= 3")
-    return I.known_products_only(behavior(spark, sf).drop("action_frequency"), known)
+    return I.known_products_only(recommended(spark, sf), D.products(spark, sf))
 
 
 @query("behavior_detail_join", """

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from conftest import rows
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from shelfwise import schemas
 from shelfwise.plans.batch import run_batch
 from shelfwise.sources import files, messages, pages, tables
+from shelfwise.operators.snapshots import merged_view
+from shelfwise.plans.versions import VersionedViews, folder_names
 from shelfwise.streaming import realtime as R
 from shelfwise.streaming import streams as S
 
@@ -87,7 +90,7 @@ def test_publish_route_and_drain(spark, tmp_path):
     source = write_lines(tmp_path / "user_1.json", [json.dumps([
         dict(zip(("user_id", "product_id", "action", "timestamp"), e)) for e in EVENTS])])
     sent = messages.publish_file(spark, bus, source, schemas.RAW_EVENT, key="user_id", as_of=F.lit("now"))
-    assert sent == (3, 3)
+    assert sent == 3
     got = bus.batch(spark, ("user_behavior",)).collect()
     assert sorted(r.key for r in got) == ["u1", "u1", "u2"]
     assert json.loads(next(r.value for r in got if r.key == "u2"))["timestamp"] == "now"
@@ -134,14 +137,73 @@ def test_live_interactions_equal_the_batch(spark, tmp_path):
     again = [first[0], (3, "u", "p", "add_to_cart", "2024-01-01T00:00:02Z")]
     expected = [("u", "p", 2, 4.0), ("u", "q", 1, 5.0)]
     assert run("b.json", again) == expected
-    target = str(tmp_path / "compact")
-    R.compact_live(spark, live, target)
-    assert rows(R.read_live(spark, live, compacted=target)) == expected
+    folded = VersionedViews(spark, str(tmp_path / "folded"))
+    R.compact_live(spark, live, folded)
+    assert rows(R.read_live(spark, live, folded=folded)) == expected
     later = [("u", "p", 3, 5.0), ("u", "q", 1, 5.0), ("v", "p", 1, 5.0)]
     assert run("c.json", [(4, "u", "p", "view", "2024-01-01T00:00:03Z"), (5, "v", "p", "purchase", "2024-01-01T00:00:04Z")]) == later
-    assert rows(R.read_live(spark, live, compacted=target)) == later
-    R.compact_live(spark, live, target, compacted=target)
-    assert rows(R.read_live(spark, live, compacted=target)) == later
+    held = R.read_live(spark, live, folded=folded)
+    assert rows(held) == later
+    R.compact_live(spark, live, folded)
+    assert rows(R.read_live(spark, live, folded=folded)) == later
+    assert rows(held) == later  # a reader of the version before is not disturbed
+    assert len(folder_names(spark, live)) == 1  # what the last version but one held is gone
+
+
+def test_live_state_is_bounded(spark, tmp_path):
+    """Ids leave the state once the lateness has passed: it holds no more after ten days than after three."""
+    source, live = tmp_path / "in", str(tmp_path / "live")
+    schema = "event_id int, user_id string, product_id string, action string, ts timestamp"
+    held = []
+    for day in range(1, 6):
+        write_lines(source / f"{day}.json", [
+            {"event_id": 100 * day + k, "user_id": f"u{day}{k}", "product_id": "p", "action": "view", "ts": f"2024-01-{day * 2:02d}T00:00:{k:02d}Z"} for k in range(20)])
+        stream = spark.readStream.schema(schema).json(str(source))
+        query = R.live_interactions(stream, live, str(tmp_path / "check"), availableNow=True)
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert "rocksdb" in str(query.lastProgress["stateOperators"][0]["customMetrics"]).lower()
+    assert len(held) == 5 and max(held) <= 40 and rows(R.read_live(spark, live), F.sum("action_frequency")) == [(100,)]
+
+
+def test_refresh_while_a_reader_holds_the_old_version(spark, tmp_path):
+    source, path, checkpoint = tmp_path / "in", str(tmp_path / "speed"), str(tmp_path / "check")
+    views = VersionedViews(spark, str(tmp_path / "views"))
+    assert views.current() is None
+    with pytest.raises(LookupError):
+        views.read("table")
+    batch = spark.createDataFrame([(1, "old", 1), (2, "old", 1)], "id int, v string, ts int")
+    views.publish({"table": batch}, -1)
+
+    def arrive(name, *rows_):
+        write_lines(source / name, [dict(zip(("id", "v", "ts"), r)) for r in rows_])
+        stream = spark.readStream.schema("id int, v string, ts int").json(str(source))
+        R.start_speed_layer(stream, path, checkpoint, availableNow=True).awaitTermination()
+
+    def build(fresh):
+        return {"table": merged_view(views.read("table"), fresh, ["id"], [F.col("ts")])}
+
+    arrive("a.json", (2, "new", 2), (3, "new", 2))
+    held = views.current()
+    before = R.refreshed_table(spark, views, "table", path, ["id"], "ts", held)
+    seen = [(1, "old"), (2, "new"), (3, "new")]
+    assert rows(before, "id", "v") == seen
+    done = []
+    clock = R.schedule(spark, lambda: done.append(R.refresh(spark, views, path, build)), str(tmp_path / "clock"), "1 second")
+    for _ in range(60):
+        time.sleep(0.5)
+        if done:
+            break
+    clock.stop()
+    assert done and done[0].upto == 0 and views.current().number >= 2
+    assert rows(before, "id", "v") == seen  # still the old version
+    arrive("b.json", (1, "newest", 3))
+    after = R.refreshed_table(spark, views, "table", path, ["id"], "ts")
+    assert rows(after, "id", "v") == [(1, "newest"), (2, "new"), (3, "new")]
+    # A version that was never finished is passed over and its number not used again.
+    batch.write.parquet(f"{views.base}/data/version=90/table")
+    assert views.current().number < 90 and R.refresh(spark, views, path, build).number == 91
+    assert rows(views.read("table"), "id", "v") == [(1, "newest"), (2, "new"), (3, "new")]
 
 
 def test_realtime_table_overlays_batch(spark, tmp_path):
