@@ -73,7 +73,7 @@ def als_recommend_all(
         F.col("qid").alias("user_index"), F.col("vid").alias("item_index"), F.col("sim").alias("cf_score")
     )
     return (
-        enrich(deindex(lists, users, items), products)
+        enrich(cut_lineage(deindex(lists, users, items)), products)
         .withColumn("recommendation_score", C.recommendation_score("cf_score", "popularity_score"))
         .withColumn("algorithm", F.lit("als"))
     )

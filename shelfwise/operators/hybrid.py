@@ -13,6 +13,7 @@ from shelfwise.operators.content import content_candidates, similar_products
 from shelfwise.operators.interactions import PAIR, enrich, exclude_seen
 from shelfwise.operators.neighbours import knn_recommend
 from shelfwise.operators.ranking import top_n
+from shelfwise.operators.skew import join_counted
 from shelfwise.session import cut_lineage
 
 # Weights of the two sources in the blend.
@@ -28,9 +29,9 @@ SWEEP_WEIGHTS = (
 
 def max_normalise(scores: DataFrame, score: str) -> DataFrame:
     """Divide by the user's largest score; 0 where that is not positive."""
-    largest = scores.groupBy("user_id").agg(F.max(score).alias("_largest"))
+    largest = scores.groupBy("user_id").agg(F.max(score).alias("_largest"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_largest") > 0, F.col(score) / F.col("_largest")).otherwise(0.0)
-    return scores.join(largest, "user_id").withColumn(score, share).select(*scores.columns)
+    return join_counted(scores, largest, "user_id").withColumn(score, share).select(*scores.columns)
 
 
 def merge_candidates(cb: DataFrame, cf: DataFrame) -> DataFrame:
@@ -61,10 +62,11 @@ def hybrid_blend(
     cb_weight: float = CB_WEIGHT,
 ) -> DataFrame:
     """Normalise per source, blend, drop what the user touched, keep n, then attach products."""
+    cb, cf = cut_lineage(cb), cut_lineage(cf)  # each is read for its largest scores, too
     merged = merge_candidates(max_normalise(cb, "cb_score"), max_normalise(cf, "cf_score"))
     blended = merged.withColumn("hybrid_score", cf_weight * F.col("cf_score") + cb_weight * F.col("cb_score"))
-    best = top_n(exclude_seen(blended, behavior), "user_id", "hybrid_score", "product_id", n)
-    return enrich(best.drop("rank"), products).withColumn(
+    best = cut_lineage(top_n(exclude_seen(blended, behavior), "user_id", "hybrid_score", "product_id", n).drop("rank"))
+    return enrich(best, products).withColumn(
         "recommendation_score", C.recommendation_score("hybrid_score", "popularity_score")
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as C
+from shelfwise.operators.skew import join_unique
 
 PAIR = ["user_id", "product_id"]
 
@@ -31,14 +32,12 @@ def interaction_score(events: DataFrame, weights: dict[str, float] | None = None
 
 
 def with_products(behavior: DataFrame, products: DataFrame) -> DataFrame:
-    """Inner join with the product columns a recommendation shows.
+    """Inner join with the product columns a recommendation shows; hot products are split.
 
-    No hint: Spark broadcasts the product side when its size allows, and otherwise
-    sort-merges with AQE splitting the partitions of hot products.
+    The catalogue may itself be a join on the product, which keeps AQE from splitting.
     """
-    return behavior.join(
-        products.select("product_id", "name", "price", "rating", "popularity_score"), "product_id"
-    )
+    shown = products.select("product_id", "name", "price", "rating", "popularity_score")
+    return join_unique(behavior, shown, "product_id")
 
 
 def popularity_baseline(behavior: DataFrame, products: DataFrame) -> DataFrame:
@@ -81,6 +80,4 @@ def enrich_with_defaults(recommendations: DataFrame, products: DataFrame) -> Dat
 
 def enrich(recommendations: DataFrame, products: DataFrame) -> DataFrame:
     """Attach product columns, dropping recommendations of unknown products."""
-    return recommendations.join(
-        products.select("product_id", "name", "price", "rating", "popularity_score"), "product_id"
-    )
+    return with_products(recommendations, products)

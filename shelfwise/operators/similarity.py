@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.columns import ranking_key
 from shelfwise.operators.blocks import DECIMALS, SEEDS, dense_rows, packed, rows_of, search
+from shelfwise.operators.skew import join_counted
 from shelfwise.session import cut_lineage
 
 SHORT_LIST = 64
@@ -36,8 +37,8 @@ def unit_vectors(entries: DataFrame, key: str, dim: str, weight: str) -> DataFra
     """Long-form ``(id, dim, w)`` of unit length; zero weights carry no similarity and go."""
     rows = entries.select(F.col(key).alias("id"), F.col(dim).alias("dim"), F.col(weight).cast("double").alias("x"))
     rows = rows.where("x != 0")
-    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return rows.join(norms, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("w"))
+    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.count(F.lit(1)).alias("_n"))
+    return join_counted(rows, norms, "id").select("id", "dim", (F.col("x") / F.col("norm")).alias("w"))
 
 
 def profile_classes(vectors: DataFrame) -> DataFrame:
@@ -53,8 +54,8 @@ def profile_classes(vectors: DataFrame) -> DataFrame:
         F.sum(F.xxhash64(F.lit(17), *entry).cast("decimal(38,0)")).alias("p2"),
     )
     keys = ["n", "p1", "p2"]
-    smallest = prints.groupBy(*keys).agg(F.min("id").alias("class"))
-    return prints.join(smallest, keys).select("id", "class")
+    smallest = prints.groupBy(*keys).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("_n"))
+    return join_counted(prints, smallest, keys).select("id", "class")
 
 
 def top_k(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.stop_words import ENGLISH
+from shelfwise.operators.skew import join_counted
 from shelfwise.session import cut_lineage
 
 WORD = r"([\p{L}\p{N}_]{2,})"
@@ -72,5 +73,5 @@ def distinct_texts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     Grouping is by text, combined map-side; members maps each key to its representative.
     """
     texts = docs.groupBy(text).agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("copies"))
-    members = docs.select(F.col(key).alias("id"), text).join(texts, text).select("id", "class")
+    members = join_counted(docs.select(F.col(key).alias("id"), text), texts.withColumn("_n", F.col("copies")), text).select("id", "class")
     return texts, members

@@ -249,9 +249,9 @@ SWEEP = [{"cf_score": a, "mf_score": b, "cb_score": c} for a, b, c in H.SWEEP_WE
 def _(spark, sf):
     b = cut_lineage(behavior(spark, sf))
     cb = content_candidates(b, _similar(spark, sf))
-    scores = H.merge_scores(
-        H.max_normalise(N.knn_recommend(b).select(*I.PAIR, "cf_score"), "cf_score"), H.max_normalise(mf_lists(b), "mf_score"),
-        H.max_normalise(cb, "cb_score"))
+    cf = N.knn_recommend(b).select(*I.PAIR, "cf_score")
+    each = {"cf_score": cf, "mf_score": mf_lists(b), "cb_score": cb}
+    scores = H.merge_scores(*(H.max_normalise(cut_lineage(df), name) for name, df in each.items()))
     return H.blend_sweep(cut_lineage(I.exclude_seen(scores, b)), SWEEP).withColumn("blend", F.round("blend", 6))
 
 
