@@ -10,13 +10,15 @@ needed, the fullest closes. A group's last bins are the only other waste.
 
 Only lengths and numbers are shuffled, never texts.
 
-Defined results: a null or empty text is its end id alone; equal documents are packed each
-on their own; an empty table gives no piece.
+Defined results: a null or empty text is its end id alone; equal documents and repeated rows
+are packed each on their own; a very long text is cut like any other; an empty table gives no
+piece; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import math
 import re
 import zlib
@@ -34,20 +36,22 @@ END_ID = 2
 OPEN_BINS = 2048
 #: Pieces packed by one task.
 GROUP = 250_000
-#: Chunks whose ids a task remembers before it starts afresh.
-MEMORY = 300_000
+#: Chunks whose ids a worker remembers; beyond it the older half is forgotten.
+MEMORY = 600_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The vocabulary's one added token. Where a text spells it out, the tokenizer file gives its id; so is it here.
 ADDED = {"<|endoftext|>": 50256}
 
+#: A single space between two other characters, where the vocabulary's pattern always starts a new piece.
+_SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 
 
 class Encoder(dict):
     """Token ids, as little-endian bytes, of chunks that begin with a space; computed once per chunk.
 
-    The vocabulary's pattern starts a new piece at a single space, so a text without
-    space after white space is the concatenation of its chunks.
+    The vocabulary's pattern starts a new piece at a single space, so a text is the
+    concatenation of its chunks.
     """
 
     def __init__(self, vocabulary: str):
@@ -58,11 +62,16 @@ class Encoder(dict):
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= MEMORY // 2:
+            self.older = dict(self)
             self.clear()
-        value = self[chunk] = self.whole(" " + chunk)
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.whole(" " + chunk)
+        self[chunk] = value
         return value
 
     def whole(self, text: str) -> bytes:
@@ -72,12 +81,17 @@ class Encoder(dict):
         return np.array(encode(text), "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if _SPACE_AFTER_SPACE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
+        # Only white space before a space needs the slower way of cutting.
+        first, *rest = _SPLIT.split(text) if _SPACE_AFTER_SPACE.search(text) else text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
+@functools.cache
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder for all tasks of a worker: what one has computed the next one remembers."""
+    return Encoder(vocabulary)
+
+
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all of full length, but the first may be shorter."""
     first = (n - 1) % length + 1
@@ -89,7 +103,7 @@ def pieces(documents: DataFrame, vocabulary: str, length: int = LENGTH, end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenise(batches):
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             doc_ids, numbers, starts, lengths, crcs = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -144,9 +158,10 @@ class Bins:
 
 def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to every row with a ``doc_id``, ``piece`` and ``length``."""
-    items = stored(items, "pieces")
-    groups = max(1, math.ceil(items.count() / group))
     names = items.columns
+    # The salt is stored with the pieces: it parts repeated rows, and a repeated task finds it as it was.
+    salted = stored(items.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int")), "pieces")
+    groups = max(1, math.ceil(salted.count() / group))
 
     def best_fit(batches: Iterator[pa.RecordBatch]):
         current, bins = None, None
@@ -162,8 +177,8 @@ def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, gro
                 [*map(batch.column, names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
     # The order is that of a hash: arrivals of mixed sizes, the same however often a task is repeated.
-    order = F.xxhash64("doc_id", "piece")
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    order = F.xxhash64("doc_id", "piece", "_salt")
+    dealt = salted.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(groups)))
     return (
         dealt.repartition(groups, "_group").sortWithinPartitions("_group", order, "doc_id", "piece", "ids_crc32")
         .mapInArrow(best_fit, ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long")

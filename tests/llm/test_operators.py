@@ -17,7 +17,8 @@ from shelfwise.llm.html_extraction import Field, Paths, blocks, features, main_t
 from shelfwise.llm.html_pages import labelled_pages
 from shelfwise.llm.language import UNKNOWN, identify
 from shelfwise.llm.lm_scoring import VOCABULARY, cross_entropy_difference, kneser_ney
-from shelfwise.llm.packing import Bins, Encoder, cut, packed
+from shelfwise.llm import packing
+from shelfwise.llm.packing import Bins, Encoder, cut, pack, packed
 from shelfwise.llm.pii import BoostedTrees, find, redact
 from shelfwise.llm.quality import VoteModel, measures, quality
 from shelfwise.llm.sharding import allot, capacities, shard_rows
@@ -284,6 +285,49 @@ def test_bins_stay_bounded():
         filled[bin_id] = offset + n
 
 
+def test_bins_agree_with_a_search_of_all_bins():
+    """Best fit by looking at every open bin: the fullest that still holds the piece; the fullest closes when too many are open."""
+    rng = np.random.default_rng(1)
+    for open_bins in (1, 3, 50):
+        bins, free, fresh = Bins(64, open_bins), [], 0  # free: open bins as [space, number], in the order of opening
+        for size in map(int, rng.integers(1, 65, 1500)):
+            number, offset = bins.place(size)
+            fitting = [b for b in free if b[0] >= size]
+            if fitting:
+                space = min(b[0] for b in fitting)
+                mine = next(b for b in reversed(free) if b[0] == space and b[1] == number)  # of equally full ones any
+                free.remove(mine)
+            else:
+                space, mine, fresh = 64, [64, fresh], fresh + 1
+            assert (number, offset) == (mine[1], 64 - space)
+            if space > size:
+                if len(free) == open_bins:
+                    least = min(b[0] for b in free)
+                    closed = [b for b in free if b[0] == least]
+                    held = {n for bin_ids in bins.by_free for n in bin_ids}
+                    free.remove(next(b for b in closed if b[1] not in held))
+                free.append([space - size, number])
+        assert bins.made == fresh
+
+
+def test_repeated_rows_are_parted(spark):
+    """One row many times over is packed in several groups."""
+    items = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(700).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    rows = pack(items.repartition(4), group=500).toPandas()
+    assert len(rows) == 4000 and rows.sequence_id.nunique() == 4000 and (rows.offset == 0).all()
+    assert (rows.sequence_id // 2**40).nunique() == 8
+    assert "_salt" not in rows
+
+
+def test_encoder_forgets_the_older_half(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    text = " ".join(f"w{k % 17} x{k}" for k in range(200))
+    assert encoder.ids(text) == encoder.whole(text) and len(encoder) <= 10 and len(encoder.older) <= 10
+
+
 def test_sharding(spark, odd, none):
     many = spark.range(3000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("té").alias("text"))
     for cell in (100_000, 50):
