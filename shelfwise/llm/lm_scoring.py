@@ -1,196 +1,481 @@
-"""Cross-entropy difference between a target and a background bigram model.
-
-Both models know every word of the documents and of the target, have a start mark, and use
-the same interpolated Kneser-Ney smoothing; only their counts differ. A word is known by a
-64-bit hash of its spelling. Tasks count bigrams before they send them, the counts and what
-smoothing needs of each context and each word are stored tables, and each document's counted
-bigrams are joined to their losses. All of these grow with the input; the driver gets a few
-totals and nothing is broadcast by hand. A hot bigram is one row per task of the counts and
-one row per document of the last join, whose hot partitions Spark deals anew.
-
-A document's score is the mean over its tokens of target loss minus background loss, in
-nats: the lower, the more it reads like the target. Losses are summed as whole multiples of
-1 / SCALE nats, so that the order of the sum changes nothing.
-
-Defined results: a null or empty text has no tokens, losses of 0 and score 0; repeated rows
-count as often as they occur and get equal scores; where the target is empty, the target
-model is uniform; an empty table gives an empty result; other columns are ignored.
+"""Cross-entropy difference between matched target and background bigram models.
+
+**Matched**: the target is the documents that the caller aims at, the background is drawn from
+the others, and of both as much is taken, by a hash of the row, as the smaller one has in
+characters. **Own words left out**: texts are dealt by a hash into two folds, equal texts
+together, each with a target and a background model of its own; a text is scored by the models
+of the other fold, so it makes no difference whether it was in a sample. All four models know
+the words of both samples and one unknown word, have a start mark, and use the same
+interpolated Kneser-Ney smoothing.
+
+With ``weight`` the share of a context that backs off and ``lower`` the probability of a word
+by the number of words it follows, the loss of a bigram is
+
+    -log(own(h, w) + weight(h) * lower(w)) = context(h) + follower(w) + bonus(h, w)
+
+where context = -log weight, follower = -log lower, and the bonus is 0 unless the model saw the
+bigram. So a text's bigrams go to the place of their first word only, which knows that word as
+context and, since every word but the start mark is followed by another or by an end mark, as
+follower too. Tasks send bigrams as compressed arrays, one row per gathered ``MEMORY`` words and
+bucket; a bucket counts its part of the models from the sampled texts among them. What it needs
+besides, the numbers of words that its words follow, comes from a first round of counting.
+
+A word is known by a 64-bit hash of its spelling. The most frequent words (``HOT``, or four a
+bucket) and pairs of them are looked up where the text is read, from a list whose length is
+bounded by the number of buckets; other bigrams of such a word are dealt by both words. So no
+word or pair, however frequent, gathers in one task. The hot list is found in a sample of
+``HOT_SAMPLE`` characters; which words are in it changes the place of work, never a result.
+
+A document's score is the mean over its tokens of target loss minus background loss, in nats:
+the lower, the more it reads like the target. Losses are summed as whole multiples of 1 / SCALE
+nats, so that the order of the sum changes nothing.
+
+Defined results: a null or empty text has no tokens, losses of 0 and score 0; very long texts
+are read whole; repeated rows count as often as they occur and get equal scores; a null in
+``aimed`` counts as not aimed at; where either sample is empty all models are uniform; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import stored
-
-#: Side of the square of counts that tests hold against the closed form of ``kneser_ney``; the models have no such bound.
-VOCABULARY = 2048
-START = 0
-#: Tokens a task counts before it sends what it has, and spellings whose hash it remembers.
-MEMORY = 500_000
-SCALE = 2**32
-MODELS = ("target", "background")
+from shelfwise.operators.skew import join_counted
+
+START, END = 0, 1
+#: Words a task gathers before it sends their bigrams.
+MEMORY = 2_000_000
+#: Characters of text whose bigrams share a bucket, and the least number of buckets.
+BUCKET, BUCKETS = 24_000_000, 12
+#: Least length of the hot list, and the characters of text it is found in.
+HOT, HOT_SAMPLE = 1024, 1 << 24
+SCALE = 2**20
+FOLDS = 2
+#: Models: target and background of fold 0, target and background of fold 1.
+MODELS = 2 * FOLDS
+#: Rows of a bucket: words it needs, local sums that only pass through, bigrams.
+NEED, SUMS, BIGRAMS = 0, 1, 2
+PLACES = 1 << 30
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _texts(df: DataFrame, *more: Column) -> DataFrame:
-    return df.select(*more, F.col("text").cast("string").alias("text"))
+def _code(word: str) -> int:
+    found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return found if found not in (START, END) else found + 2
 
 
-class Hashes(dict):
-    """Signed 64-bit hashes of words, never START; forgotten when too many."""
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True) or 1
-        return value
 
-    def of(self, text: str | None) -> np.ndarray:
-        """START and the hashes of the text's words."""
-        found = words(text)
-        return np.fromiter((START, *map(self.__getitem__, found)), np.int64, len(found) + 1)
+def _place(*salt: str) -> Column:
+    """A place in [0, 1) by a hash of the row."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), *map(F.lit, salt)), F.lit(PLACES)) / float(PLACES)
 
 
-def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each occurs."""
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-    return first[new], second[new], np.diff(np.append(new, len(first)))
+def matched(documents: DataFrame, aimed: Column) -> tuple[DataFrame, int]:
+    """key, text, fold and role (1 target, 2 background, 0 neither) of each row that has a text, and the characters of all."""
+    rows = documents.select(
+        _text_key().alias("key"), F.col("text").cast("string").alias("text"), F.coalesce(aimed, F.lit(False)).alias("aimed"),
+        _place("matched").alias("place"), _place("hot").alias("hot_place")).where(F.length("text") > 0)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int"))
+    size = {(r["fold"], r["aimed"]): r["n"] for r in rows.groupBy("fold", "aimed").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()}
+    share = F.lit(0.0)
+    for (fold, side), n in sorted(size.items()):
+        share = F.when((F.col("fold") == fold) & (F.col("aimed") == side), min(1.0, size.get((fold, not side), 0) / n)).otherwise(share)
+    role = F.when(F.col("place") >= share, 0).when(F.col("aimed"), 1).otherwise(2)
+    return rows.select("key", "text", "fold", role.alias("role"), "hot_place"), sum(size.values())
 
 
-def bigram_counts(texts: DataFrame) -> DataFrame:
-    """h, w, n: how often the word w follows h, several rows per task and bigram."""
-    def count(batches):
-        hashes, gathered, size = Hashes(), [], 0
+def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit code for a pair of codes."""
+    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-        def sent():
-            pairs = _distinct(np.concatenate([x[:-1] for x in gathered]), np.concatenate([x[1:] for x in gathered]))
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in pairs], ["h", "w", "n"])
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = hashes.of(text)
-                if len(found) > 1:
-                    gathered.append(found)
-                    size += len(found)
-                if size > MEMORY:
-                    yield sent()
-                    gathered, size = [], 0
-        if gathered:
-            yield sent()
+def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of codes in a sorted list, its length where they are not in it."""
+    at = np.searchsorted(codes, wanted)
+    return np.where(codes[np.minimum(at, len(codes) - 1)] == wanted, at, len(codes)) if len(codes) else np.zeros(len(wanted), np.int64)
 
-    return _texts(texts).mapInArrow(count, "h long, w long, n long")
 
+def _packed(**arrays: np.ndarray) -> bytes:
+    """Arrays as bytes of equal weight together, compressed."""
+    return zstandard.compress(pickle.dumps(
+        {k: (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) for k, a in arrays.items()}), 3)
 
-def document_bigrams(documents: DataFrame) -> DataFrame:
-    """key, h, w, n: each row's distinct bigrams; ``heads`` is 1 in one of them and 0 in the others."""
-    def count(batches):
-        hashes, rows, size = Hashes(), [], 0
 
-        def sent():
-            columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "w", "n", "heads"])
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    found = {}
+    for name, (kind, raw) in pickle.loads(zstandard.decompress(data)).items():
+        wide = np.dtype(kind).itemsize
+        found[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+    return found
 
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = hashes.of(text)
-                if len(found) > 1:
-                    h, w, n = _distinct(found[:-1], found[1:])
-                    heads = np.zeros(len(h), np.int32)
-                    heads[0] = 1
-                    rows.append((np.full(len(h), key, np.int64), h, w, n.astype(np.int64), heads))
-                    size += len(h)
-                if size > MEMORY:
-                    yield sent()
-                    rows, size = [], 0
-        if rows:
-            yield sent()
 
-    return _texts(documents, _key()).mapInArrow(count, "key long, h long, w long, n long, heads int")
+def _listed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps between the distinct values in order, and the place of each value among them."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return np.diff(distinct, prepend=0), at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
 
 
-def _key() -> Column:
-    """Rows of one key are copies of each other."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key")
+class Vocabulary(dict):
+    """Numbers of the words met so far, after those of the start and the end mark."""
 
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self) + 2
+        return number
+
+    def codes(self) -> np.ndarray:
+        return np.fromiter((START, END, *map(_code, self)), np.int64, len(self) + 2)
+
+
+class Hot:
+    """Values of the most frequent words and pairs; one column a model and a last row of zeros for all others."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.pairs = np.zeros(0, np.int64)
+        self.context = self.follower = np.zeros((len(codes) + 1, MODELS), np.int64)
+        self.bonus = np.zeros((1, MODELS), np.int64)
+
+
+class Gathered:
+    """Bigrams of the texts of some batches, per text or, for counting, per model."""
+
+    def __init__(self, hot: Hot, buckets: int, per_text: bool):
+        self.hot, self.buckets, self.per_text = hot, buckets, per_text
+        self.clear()
+
+    def clear(self) -> None:
+        self.vocabulary, self.found, self.size = Vocabulary(), [], 0
+        self.texts: dict[int, list[int]] = {}  # key: number, fold, times target, times background, copies, words
+
+    def add(self, key: int, text: str, fold: int, role: int) -> None:
+        old = self.texts.get(key)
+        if self.per_text and old:
+            old[2], old[3], old[4] = old[2] + (role == 1), old[3] + (role == 2), old[4] + 1
+            return
+        known = [self.vocabulary[w] for w in words(text)]
+        if not known:
+            return
+        if self.per_text:
+            number = len(self.texts)
+            self.texts[key] = [number, fold, int(role == 1), int(role == 2), 1, len(known)]
+        else:
+            number = 2 * fold + role - 1
+        self.found.append((number, np.array((START, *known, END), np.int64)))
+        self.size += len(known) + 1
+
+    def rows(self):
+        """bucket, kind and data of everything gathered."""
+        if not self.found:
+            return
+        code = self.vocabulary.codes()
+        text = np.repeat(np.array([k for k, _ in self.found], np.int64), [len(x) - 1 for _, x in self.found])
+        pair = np.concatenate([x[:-1] << 32 | x[1:] for _, x in self.found])
+        if not self.per_text:  # one model after the other
+            order = np.lexsort((text, pair))
+        else:
+            order = np.argsort(pair, kind="stable")
+        pair, text = pair[order], text[order]
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])))
+        n = np.diff(np.append(first, len(pair)))
+        h, w, text = pair[first] >> 32, pair[first] & 0xFFFFFFFF, text[first]
+        hot = _find(self.hot.codes, code)
+        is_hot = hot < len(self.hot.codes)
+        if self.per_text:
+            about = np.array(list(self.texts.values()), np.int64)
+            keys = np.fromiter(self.texts, np.int64, len(self.texts))
+            model = 2 * (1 - about[text, 1])
+            bonus = np.full(len(h), len(self.hot.pairs))
+            both = np.flatnonzero(is_hot[h] & is_hot[w])
+            bonus[both] = _find(self.hot.pairs, _mix(code[h[both]], code[w[both]]))
+            sums = [np.bincount(text, n * (self.hot.context[hot[h], model + side] * (w != END) + self.hot.follower[hot[w], model + side]
+                                           + self.hot.bonus[bonus, model + side]), len(keys)).astype(np.int64) for side in (0, 1)]
+            yield int(keys[0] % self.buckets), SUMS, _packed(
+                key=keys, copies=about[:, 4].astype(np.uint32), n=about[:, 5].astype(np.uint32), target=sums[0], background=sums[1])
+            sent = np.flatnonzero((bonus == len(self.hot.pairs)) & ~(is_hot[h] & (w == END)))
+        else:
+            about = np.array([[k, k // 2, k % 2 == 0, k % 2 == 1, 1, 0] for k in range(MODELS)], np.int64)
+            keys = np.zeros(MODELS, np.int64)
+            sent = np.flatnonzero(w != END)
+        h, w, text, n = h[sent], w[sent], text[sent], n[sent]
+        place = np.mod(np.where(is_hot[h], _mix(code[h], code[w]), code[h]), self.buckets)
+        order = np.argsort(place, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            if not len(part):
+                continue
+            texts, at = np.unique(text[part], return_inverse=True)
+            h_steps, h_at = _listed(code[h[part]])
+            w_steps, w_at = _listed(code[w[part]])
+            yield int(place[part[0]]), BIGRAMS, _packed(
+                h_steps=h_steps, h_at=h_at, w_steps=w_steps, w_at=w_at, text=at.astype(h_at.dtype if len(texts) <= 1 << 16 else np.uint32),
+                n=n[part].astype(np.uint32), key=keys[texts], fold=about[texts, 1].astype(np.uint8),
+                as_target=about[texts, 2].astype(np.uint32), as_background=about[texts, 3].astype(np.uint32))
+
+
+def bigrams(rows: DataFrame, hot: Hot, buckets: int, per_text: bool) -> DataFrame:
+    """bucket, kind, data: the bigrams of the texts."""
+    def gather(batches):
+        held = Gathered(hot, buckets, per_text)
 
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Losses in nats of each word after each word, from a square of counts: the model of ``bigram_losses`` in closed form."""
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = _discount(once, twice)
-    size = len(counts)
-    kinds = (counts > 0).sum(axis=0)
-    total_kinds = kinds.sum()
-    before = (kinds > 0).sum()
-    lower = np.full(size, 1.0 / size)
-    if total_kinds:
-        lower = np.maximum(kinds - discount, 0) / total_kinds + discount * before / total_kinds / size
-    lower = lower.astype(np.float32)
-    losses = np.empty((size, size), np.float32)
-    for at in range(0, size, 256):  # in strips, to keep the driver's memory low
-        rows = counts[at : at + 256]
-        total = rows.sum(axis=1, keepdims=True)
-        safe = np.maximum(total, 1)
-        weight = np.where(total > 0, discount * (rows > 0).sum(axis=1, keepdims=True) / safe, 1.0)
-        losses[at : at + 256] = -np.log(np.where(rows > 0, rows - discount, 0) / safe + weight * lower)
-    return losses.ravel()
+        def sent():
+            found = list(held.rows())
+            held.clear()
+            if found:
+                columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                                                 ["bucket", "kind", "data"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "fold", "role")), strict=True):
+                held.add(*row)
+                if held.size > MEMORY:
+                    yield from sent()
+        yield from sent()
+
+    return rows.select("key", "text", "fold", "role").mapInArrow(gather, "bucket int, kind int, data binary")
+
+
+def _by_bucket(batches):
+    """Each bucket's rows, as slices of batches that are sorted by bucket."""
+    current, parts = None, []
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+        for low, high in zip(cuts, cuts[1:]):
+            if high == low:
+                continue
+            if parts and bucket[low] != current:
+                yield current, parts
+                parts = []
+            current = int(bucket[low])
+            parts.append(batch.slice(low, high - low))
+    if parts:
+        yield current, parts
+
+
+class Bucket:
+    """The bigrams of one bucket and what they say of the models."""
+
+    def __init__(self, sent: list[dict[str, np.ndarray]]):
+        whole = lambda name: np.concatenate([s[name] for s in sent])
+        h = np.concatenate([np.cumsum(s["h_steps"])[s["h_at"]] for s in sent])
+        w = np.concatenate([np.cumsum(s["w_steps"])[s["w_at"]] for s in sent])
+        offsets = np.cumsum([0, *(len(s["key"]) for s in sent)])
+        self.text = np.concatenate([s["text"].astype(np.int64) + o for s, o in zip(sent, offsets)])
+        self.n, self.key, self.fold = whole("n").astype(np.int64), whole("key"), whole("fold").astype(np.int64)
+        _, first, self.pair = np.unique(_mix(h, w), return_index=True, return_inverse=True)
+        self.h, self.w = h[first], w[first]
+        n = np.where(w != END, self.n, 0)
+        times = [whole("as_target").astype(np.int64), whole("as_background").astype(np.int64)]
+        self.counts = np.stack([np.bincount(self.pair, n * (times[m % 2] * (self.fold == m // 2))[self.text], len(first)).astype(np.int64)
+                                for m in range(MODELS)], axis=1)
+        self.contexts, self.context = np.unique(self.h, return_inverse=True)
+        self.totals = _summed(self.context, self.counts, len(self.contexts))
+        self.kinds = _summed(self.context, self.counts > 0, len(self.contexts))
+
+
+def _summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(at, values[:, m], size).astype(np.int64) for m in range(MODELS)], axis=1)
+
+
+#: What counting tells of a bucket: a word and how many words it follows; a hot context's totals and kinds; a hot
+#: pair's counts; how many bigrams occur once and twice.
+FOLLOWERS, CONTEXT, PAIR, SEEN = range(4)
+_COUNTED = "kind int, bucket int, code long, other long, " + ", ".join(f"a{k} long" for k in range(2 * MODELS))
+
+
+def counted(rows: DataFrame, hot: Hot, buckets: int, often: float) -> DataFrame:
+    """The first round: kind, bucket, code, other and counts; pairs of hot words from ``often`` occurrences on."""
+    def count(batches):
+        for bucket, parts in _by_bucket(batches):
+            got = Bucket([_unpacked(d) for p in parts for d in p.column("data").to_pylist()])
+            followers, at = np.unique(got.w, return_inverse=True)
+            empty = np.zeros((len(followers), MODELS), np.int64)
+            is_hot = _find(hot.codes, got.contexts) < len(hot.codes)
+            pairs = np.flatnonzero((got.counts.sum(axis=1) >= often) & is_hot[got.context] & (_find(hot.codes, got.w) < len(hot.codes)))
+            for kind, code, other, values in (
+                (FOLLOWERS, followers, followers, np.hstack([_summed(at, got.counts > 0, len(followers)), empty])),
+                (CONTEXT, got.contexts[is_hot], got.contexts[is_hot], np.hstack([got.totals, got.kinds])[is_hot]),
+                (PAIR, got.h[pairs], got.w[pairs], np.hstack([got.counts, np.zeros_like(got.counts)])[pairs]),
+                (SEEN, np.zeros(1, np.int64), np.zeros(1, np.int64), np.hstack([(got.counts == k).sum(axis=0) for k in (1, 2)])[None]),
+            ):
+                fixed = [np.full(len(code), kind, np.int32), np.full(len(code), bucket, np.int32)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (*fixed, code, other, *np.ascontiguousarray(values.T.astype(np.int64)))],
+                    [c.split()[0] for c in _COUNTED.split(", ")])
+
+    sent = bigrams(rows.where("role > 0"), hot, buckets, per_text=False)
+    return sent.repartition(4 * buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _COUNTED)
+
+
+class Smoothing:
+    """What the models need beside a bucket's own counts: a few totals."""
+
+    def __init__(self, seen: list[int], size: int, pairs: list[int], followers: list[int]):
+        self.discount = np.array([_discount(seen[m], seen[MODELS + m]) for m in range(MODELS)])
+        self.pairs, self.size = np.array(pairs, np.float64), size
+        self.floor = np.where(self.pairs > 0, self.discount * followers / np.maximum(self.pairs, 1) / size, 1 / size)
+
+    def lower(self, followed: np.ndarray) -> np.ndarray:
+        """Probability of words by the numbers of words they follow, one column a model."""
+        return np.maximum(followed - self.discount, 0) / np.maximum(self.pairs, 1) + self.floor
+
+    def weight(self, totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return np.where(totals > 0, self.discount * kinds / np.maximum(totals, 1), 1.0)
+
+    def bonus(self, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, followed: np.ndarray) -> np.ndarray:
+        back = self.weight(totals, kinds) * self.lower(followed)
+        own = np.where(counts > 0, counts - self.discount, 0) / np.maximum(totals, 1)
+        return whole(-np.log(own / back + 1))
 
 
 def _discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-def bigram_losses(documents: DataFrame, target: DataFrame) -> DataFrame:
-    """h, w and the losses of both models, in 1 / SCALE nats, of every bigram of the documents and the target."""
-    parts = bigram_counts(target).withColumn("aimed", F.lit(True)).unionByName(
-        bigram_counts(documents).withColumn("aimed", F.lit(False)))
-    counts = stored(parts.groupBy("h", "w").agg(
-        *(F.sum(F.when(F.col("aimed") == (m == "target"), F.col("n")).otherwise(0)).alias(m) for m in MODELS)), "bigrams")
-    sure = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    contexts = stored(counts.groupBy("h").agg(
-        *(F.sum(m).alias(f"{m}_total") for m in MODELS), *(sure(F.col(m) > 0).alias(f"{m}_kinds") for m in MODELS)), "contexts")
-    followers = stored(counts.groupBy("w").agg(*(sure(F.col(m) > 0).alias(f"{m}_before") for m in MODELS)), "followers")
-    seen = counts.agg(*(sure(F.col(m) == k).alias(f"{m}_{k}") for m in MODELS for k in (1, 2))).first()
-    sizes = followers.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(f"{m}_before"), F.lit(0)).alias(f"{m}_pairs") for m in MODELS),
-                          *(sure(F.col(f"{m}_before") > 0).alias(f"{m}_words") for m in MODELS)).first()
-    size = sizes["words"] + 1
-    discount = {m: _discount(seen[f"{m}_1"], seen[f"{m}_2"]) for m in MODELS}
-
-    def own(m: str) -> Column:
-        return F.when(F.col(m) > 0, (F.col(m) - discount[m]) / F.col(f"{m}_total")).otherwise(0.0).alias(f"{m}_own")
-
-    def weight(m: str) -> Column:
-        return F.when(F.col(f"{m}_total") > 0, discount[m] * F.col(f"{m}_kinds") / F.col(f"{m}_total")).otherwise(1.0).alias(f"{m}_weight")
-
-    def lower(m: str) -> Column:
-        pairs = sizes[f"{m}_pairs"]
-        if not pairs:
-            return F.lit(1.0 / size)
-        return F.greatest(F.col(f"{m}_before") - discount[m], F.lit(0.0)) / pairs + discount[m] * sizes[f"{m}_words"] / pairs / size
-
-    def loss(m: str) -> Column:
-        return F.round(-F.log(F.col(f"{m}_own") + F.col(f"{m}_weight") * lower(m)) * SCALE).cast("long").alias(f"{m}_loss")
-
-    weighed = counts.join(contexts, "h").select("h", "w", *map(own, MODELS), *map(weight, MODELS))
-    return weighed.join(followers, "w").select("h", "w", *map(loss, MODELS))
-
-
-def cross_entropy_difference(documents: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every whole text; ``target`` has a column ``text``."""
-    losses = bigram_losses(documents, target)
-    sums = document_bigrams(documents).join(losses, ["h", "w"]).groupBy("key").agg(
-        F.sum("heads").alias("copies"), F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(f"{m}_loss")).alias(f"{m}_sum") for m in MODELS))
-    mean = lambda m: F.coalesce(F.col(f"{m}_sum") / F.col("n") / SCALE, F.lit(0.0)).alias(f"{m}_loss")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _key()).join(sums, "key", "left").select(
-        "doc_id", F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0)).alias("n_tokens"), *map(mean, MODELS)
-    ).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+def whole(loss: np.ndarray) -> np.ndarray:
+    return np.rint(loss * SCALE).astype(np.int64)
+
+
+_SUMS = ("key", "copies", "rows", "n", "target", "background")
+
+
+def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing: Smoothing) -> DataFrame:
+    """key and sums of copies, rows, words and losses; several rows a key."""
+    def score(batches):
+        for _, parts in _by_bucket(batches):
+            table = pa.Table.from_batches(parts)
+            kind = table.column("kind").to_numpy()
+            data = table.column("data")
+            sent = []
+            for k in np.flatnonzero(kind != NEED).tolist():
+                found = _unpacked(data[k].as_py())
+                if kind[k] == SUMS:
+                    yield _batch(found["key"], found["copies"], np.ones(len(found["key"])), found["n"], found["target"], found["background"])
+                else:
+                    sent.append(found)
+            if sent:
+                known, first = np.unique(table.column("code").to_numpy()[kind == NEED], return_index=True)
+                followed = np.stack([table.column(f"a{m}").to_numpy()[kind == NEED][first] for m in range(MODELS)], axis=1)
+                yield _score(Bucket(sent), known, np.vstack([followed, np.zeros((1, MODELS), np.int64)]))
+
+    def _score(got: Bucket, known: np.ndarray, followed: np.ndarray):
+        place = _find(hot.codes, got.contexts)
+        is_hot = place < len(hot.codes)
+        totals = np.where(is_hot[:, None], hot.totals[place], got.totals)
+        kinds = np.where(is_hot[:, None], hot.kinds[place], got.kinds)
+        bonus = smoothing.bonus(got.counts, totals[got.context], kinds[got.context], followed[_find(known, got.w)])
+        # A hot word's own losses were added where the text was read.
+        context = np.where(is_hot[:, None], 0, whole(-np.log(smoothing.weight(totals, kinds))))
+        follower = np.where(is_hot[:, None], 0, whole(-np.log(smoothing.lower(followed[_find(known, got.contexts)]))))
+        loss = bonus + follower[got.context] + np.where((got.w != END)[:, None], context[got.context], 0)
+        model = 2 * (1 - got.fold[got.text])
+        sums = [np.bincount(got.text, got.n * loss[got.pair, model + side], len(got.key)).astype(np.int64) for side in (0, 1)]
+        zero = np.zeros(len(got.key))
+        return _batch(got.key, zero, zero, zero, *sums)
+
+    def _batch(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(_SUMS))
+
+    empty = [F.lit(None).cast("long").alias(c) for c in ("code", *(f"a{m}" for m in range(MODELS)))]
+    sent = bigrams(rows, hot, buckets, per_text=True).select("bucket", "kind", *empty, "data")
+    asked = need.select("bucket", F.lit(NEED).alias("kind"), "code", *(f"a{m}" for m in range(MODELS)), F.lit(None).cast("binary").alias("data"))
+    dealt = sent.unionByName(asked).repartition(4 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(score, ", ".join(f"{c} long" for c in _SUMS))
+
+
+def hot_words(rows: DataFrame, share: float, length: int) -> np.ndarray:
+    """Codes of the start mark and of the most frequent words of a share of the rows, in order."""
+    def count(batches):
+        found: Counter[str] = Counter()
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array([_code(w) for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["code", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found.update(words(text))
+                if len(found) > MEMORY:
+                    yield sent()
+                    found.clear()
+        if found:
+            yield sent()
+
+    read = rows.where(F.col("hot_place") < share).select("text").mapInArrow(count, "code long, n long")
+    top = read.groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(length).collect()
+    return np.unique(np.array([START, *(r["code"] for r in top)], np.int64))
+
+
+def cross_entropy_difference(documents: DataFrame, aimed: Column, least_hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every whole text; the target is where ``aimed`` holds."""
+    rows, size = matched(documents, aimed)
+    buckets = max(BUCKETS, math.ceil(size / bucket))
+    length = max(least_hot, 4 * buckets if least_hot else 0)
+    hot = Hot(hot_words(rows, HOT_SAMPLE / max(size, 1), length))
+    # A pair that makes up more than 1 / length of the characters counts as hot: 16 * length pairs at most.
+    stats = stored(counted(rows, hot, buckets, max(1.0, size / 16 / max(length, 1))), "lm-counts")
+    numbers = [f"a{k}" for k in range(2 * MODELS)]
+    total = lambda *by: stats.where(F.col("kind").isin(*by)).groupBy("kind", "code", "other")
+    seen = stats.where(F.col("kind") == SEEN).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers)).first()
+    followers = stored(total(FOLLOWERS).agg(*(F.sum(c).alias(c) for c in numbers[:MODELS])).select("code", *numbers[:MODELS]), "lm-words")
+    sizes = followers.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers[:MODELS]),
+                          *(F.count_if(F.col(c) > 0).alias(f"with_{c}") for c in numbers[:MODELS])).first()
+    smoothing = Smoothing([seen[c] for c in numbers], sizes["words"] + 1, [sizes[c] for c in numbers[:MODELS]],
+                          [sizes[f"with_{c}"] for c in numbers[:MODELS]])
+    _fill(hot, total(CONTEXT, PAIR).agg(*(F.sum(c).alias(c) for c in numbers)), followers, smoothing)
+    need = stats.where(F.col("kind") == FOLLOWERS).select("bucket", "code").join(followers, "code").unionByName(
+        followers.withColumn("bucket", F.pmod("code", F.lit(buckets)).cast("int")))
+    sums = stored(scored(rows, need, hot, buckets, smoothing).groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS[1:])), "lm-sums")
+    mean = lambda c: (F.col(c) / F.col("n") / SCALE).alias(f"{c}_loss")
+    per_text = sums.select("key", "copies", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), mean("target"), mean("background"))
+    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"))
+    joined = join_counted(named, per_text, "key", "copies", how="left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return joined.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), zero("target_loss"), zero("background_loss")).withColumn(
+        "score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _fill(hot: Hot, counts: DataFrame, followers: DataFrame, smoothing: Smoothing) -> None:
+    """Give the hot words and pairs their values; as many rows reach the driver as the list is long, and pairs as bounded there."""
+    spark = counts.sparkSession
+    size = len(hot.codes)
+    hot.totals, hot.kinds, followed = (np.zeros((size + 1, MODELS), np.int64) for _ in range(3))
+    pairs = []
+    for row in counts.collect():
+        values = np.array([row[f"a{k}"] for k in range(2 * MODELS)], np.int64)
+        if row["kind"] == CONTEXT:
+            at = int(np.searchsorted(hot.codes, row["code"]))
+            hot.totals[at], hot.kinds[at] = values[:MODELS], values[MODELS:]
+        else:
+            pairs.append((row["code"], row["other"], values[:MODELS]))
+    listed = spark.createDataFrame(pa.table({"code": hot.codes}))
+    for row in followers.join(F.broadcast(listed), "code", "left_semi").collect():
+        followed[int(np.searchsorted(hot.codes, row["code"]))] = [row[f"a{m}"] for m in range(MODELS)]
+    hot.context = whole(-np.log(smoothing.weight(hot.totals, hot.kinds)))
+    hot.follower = whole(-np.log(smoothing.lower(followed)))
+    hot.context[size] = hot.follower[size] = 0
+    hot.follower[np.searchsorted(hot.codes, START)] = 0
+    if pairs:
+        h, w = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        codes = _mix(h, w)
+        order = np.argsort(codes)
+        at = np.searchsorted(hot.codes, h)
+        bonus = smoothing.bonus(np.stack([p[2] for p in pairs]), hot.totals[at], hot.kinds[at], followed[np.searchsorted(hot.codes, w)])
+        hot.pairs, hot.bonus = codes[order], np.vstack([bonus[order], np.zeros((1, MODELS), np.int64)])

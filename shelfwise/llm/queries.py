@@ -109,13 +109,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled good and not toxic; background: all documents.
+    """Target: the documents labelled good and not toxic; background: as much of the others.
 
-    The labels grow with the documents, so they are always merged, never broadcast.
+    The labels grow with the documents: the planner broadcasts them while they are small and merges them beyond.
     """
-    documents = load(spark, sf_dir, "documents")
-    good = load(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").hint("merge")
-    return cross_entropy_difference(documents, documents.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    good = load(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("aimed", F.lit(True))
+    return cross_entropy_difference(documents.join(good, "doc_id", "left"), F.col("aimed"))
 
 
 @query("op4_html")

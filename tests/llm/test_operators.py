@@ -16,7 +16,6 @@ from shelfwise.llm.decontamination import WindowSet, contamination, words
 from shelfwise.llm.html_extraction import Field, Paths, blocks, features, main_text
 from shelfwise.llm.html_pages import labelled_pages
 from shelfwise.llm.language import UNKNOWN, identify
-from shelfwise.llm.lm_scoring import VOCABULARY, cross_entropy_difference, kneser_ney
 from shelfwise.llm import packing
 from shelfwise.llm.packing import Bins, Encoder, cut, pack, packed
 from shelfwise.llm.pii import BoostedTrees, find, redact
@@ -102,53 +101,6 @@ def test_language(spark, odd, none):
     assert identify(odd).count() == 9 and identify(none).count() == 0
 
 
-def test_lm_scoring(spark, odd, none, marked):
-    target = marked.where("doc_id % 2 = 0")
-    scores = {r["doc_id"]: r["score"] for r in cross_entropy_difference(marked, target).collect()}
-    assert max(scores[k] for k in range(0, 40, 2)) < min(scores[k] for k in range(1, 40, 2))
-    rows = cross_entropy_difference(odd, odd.limit(0)).collect()
-    assert len(rows) == 9 and all(r["score"] == 0 for r in rows if not r["n_tokens"])
-    assert cross_entropy_difference(none, none).count() == 0
-
-
-def test_lm_scoring_knows_every_word(spark):
-    """Words far beyond any list of frequent ones move the scores, as the closed form over all words says."""
-    rng = np.random.default_rng(4)
-    texts = [" ".join(["common", "words", *(f"r{i}" for i in rng.integers(0, 4000, 30)), "common"]) for _ in range(300)]
-    rows = [*enumerate(texts), (0, texts[0]), (1000, texts[1]), (1001, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    number = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t.split()}))}
-    assert len(number) > VOCABULARY
-    pairs = [[(a, b) for a, b in zip([0, *ids], ids)] for ids in ([number[w] for w in (t or "").split()] for _, t in rows)]
-    losses = []
-    for kept in (lambda k: k is not None and k % 3 == 0, lambda k: True):
-        counts = np.zeros((len(number) + 1,) * 2, np.int64)
-        for (k, _), found in zip(rows, pairs):
-            if kept(k):
-                np.add.at(counts, tuple(zip(*found)) if found else ([], []), 1)
-        losses.append(kneser_ney(counts).reshape(counts.shape))
-    want = sorted((k, len(p), *(float(np.mean([m[x] for x in p])) if p else 0.0 for m in losses)) for (k, _), p in zip(rows, pairs))
-    got = sorted(tuple(r)[:4] for r in cross_entropy_difference(docs, docs.where("doc_id % 3 = 0")).collect())
-    assert [r[:2] for r in got] == [r[:2] for r in want]
-    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-4)
-
-
-def test_kneser_ney_sums_to_one():
-    counts = np.random.default_rng(0).poisson(0.05, (VOCABULARY, VOCABULARY))
-    counts[7] = 0
-    assert np.allclose(np.exp(-kneser_ney(counts).reshape(counts.shape)).sum(axis=1), 1, atol=1e-3)
-
-
-def _measured(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    seen, covered = Counter(zip(w, w[1:], w[2:])), set()
-    for i in range(len(w) - 2):
-        if seen[tuple(w[i : i + 3])] > 1:
-            covered |= {i, i + 1, i + 2}
-    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
-
-
 def test_quality(spark, odd, none):
     texts = ["a b c a b c\nx\nx\n y", "a b a b a b", "ünïcode *** w", "one\x0btwo\x0cthree\rfour", LONG]
     rows = measures(odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string")))
