@@ -10,6 +10,8 @@ from shelfwise.operators.evaluation import latency_summary
 from shelfwise.operators.ids import attach_indexes, deindex, index_ids
 from shelfwise.registry.core import define, query
 from shelfwise.registry.scalars import BAND_SQL, CUTS
+from shelfwise.session import scratch_path
+from shelfwise.sources.keyed import KeyedTable
 from shelfwise.sources.tables import query_view, register_views, run_sql
 
 
@@ -316,7 +318,10 @@ QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY ts DESC, event_id DE
 def _(spark, sf):
     table, changes = (h.select(F.col("product_id").alias("doc_id"), "event_id", "action", "ts")
                       for h in _halves(spark, sf))
-    return S.upsert(table, changes, "doc_id", _version())
+    documents = KeyedTable(spark, scratch_path(spark, "keyed"), "doc_id", table.schema["doc_id"].dataType, _version(), buckets=8)
+    documents.create(table)
+    documents.upsert(changes)
+    return documents.read()
 
 
 @query("get_document", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 42")
@@ -329,7 +334,10 @@ def _(spark, sf):
 SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
 def _(spark, sf):
     docs = D.load(spark, sf, "documents").select("doc_id", "lang", "source")
-    return S.delete_documents(docs, D.load(spark, sf, "labels").where("toxic = 1"), "doc_id")
+    documents = KeyedTable(spark, scratch_path(spark, "keyed"), "doc_id", docs.schema["doc_id"].dataType, [F.col("source")], buckets=8)
+    documents.create(docs)
+    documents.delete(D.load(spark, sf, "labels").where("toxic = 1"))
+    return documents.read()
 
 
 @query("run_sql", """

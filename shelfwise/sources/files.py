@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.operators.snapshots import latest_run
 from shelfwise.schemas import RAW, with_corrupt
 
 PROCESSED = ("products", "reviews", "user_behavior", "recommendations")
@@ -21,6 +21,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path))
 
 
+def newest_run(spark: SparkSession, table: str) -> str | None:
+    """Folder of the newest run that holds data, found by names alone."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/run_ts=*")
+    folders = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path) or []
+    runs = sorted(((unquote(f.getPath().getName().split("=", 1)[1]), f.getPath().toString()) for f in folders), reverse=True)
+    return next((path for _, path in runs if _exists(spark, f"{path}/*.parquet")), None)
+
+
 def scan_raw(spark: SparkSession, data_type: str, *paths: str) -> DataFrame:
     """JSON lines under a declared schema, from the first of the given places that exists.
 
@@ -61,14 +69,13 @@ def write_run(df: DataFrame, base: str, table: str, run_ts: str, processed_date:
 
 
 def scan_processed(spark: SparkSession, base: str, data_type: str, newest_only: bool = True) -> DataFrame:
-    """A processed table; by default its newest run, pruned to that partition."""
+    """A processed table; by default its newest run, whose files alone are listed and read."""
     if data_type not in PROCESSED:
         raise ValueError(f"unknown table {data_type!r}, expected one of {PROCESSED}")
-    runs = (
-        spark.read.option("basePath", f"{base}/{data_type}").parquet(f"{base}/{data_type}/run_ts=*")
-        .withColumn("run_ts", F.col("run_ts").cast("string"))
-    )
-    return latest_run(runs) if newest_only else runs
+    table = f"{base}/{data_type}"
+    newest = newest_run(spark, table) if newest_only else None
+    runs = spark.read.option("basePath", table).parquet(newest or f"{table}/run_ts=*")
+    return runs.withColumn("run_ts", F.col("run_ts").cast("string"))
 
 
 def scan_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -41,6 +41,11 @@ def test_runs(spark, tmp_path):
     files.write_run(spark.range(4), base, "products", "20240102_0900", "2024-01-02")
     assert files.scan_processed(spark, base, "products").count() == 4
     assert files.scan_processed(spark, base, "products", newest_only=False).count() == 7
+    newest = files.scan_processed(spark, base, "products")
+    assert newest.columns[-1] == "run_ts" and {r.run_ts for r in newest.collect()} == {"20240102_0900"}
+    (tmp_path / "products" / "run_ts=20240103_0900" / "_temporary").mkdir(parents=True)  # a run that is being written
+    assert files.scan_processed(spark, base, "products").count() == 4
+    assert all("run_ts=20240102_0900" in f for f in newest.inputFiles())
     with pytest.raises(ValueError):
         files.scan_processed(spark, base, "orders")
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.operators import aggregates as A
 from shelfwise.operators import evaluation as E
@@ -10,6 +11,7 @@ from shelfwise.operators import ranking as R
 from shelfwise.operators import snapshots as S
 from shelfwise.operators.ids import index_ids, ordinal_ids
 from shelfwise.operators.quantiles import exact_percentile
+from shelfwise.sources.keyed import KeyedTable
 
 BEHAVIOR = "user_id string, product_id string, action_frequency int, interaction_score double"
 
@@ -121,6 +123,27 @@ def test_latest_merge_upsert_delete(spark):
     assert rows(S.latest_run(batch.unionByName(new), "ts")) == rows(new)
 
 
+def test_keyed_table_rewrites_only_changed_buckets(spark, tmp_path):
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    table = KeyedTable(spark, str(tmp_path / "t"), "id", T.LongType(), [F.col("ts")], buckets=16)
+    table.create(spark.range(200).select("id", F.lit("a").alias("v"), F.lit(1).alias("ts")))
+    before = files()
+    table.upsert(spark.createDataFrame([(3, "b", 2), (3, "c", 3), (500, "d", 1), (4, "old", 0)], "id long, v string, ts int"))
+    now = {r.id: r.v for r in table.read().collect()}
+    assert now == {k: "a" for k in range(200)} | {3: "c", 500: "d"}
+    kept = [f for f, t in files().items() if before.get(f) == t]
+    places = {f.split("_bucket=")[1].split("/")[0] for f in before}
+    assert len({f.split("_bucket=")[1].split("/")[0] for f in kept}) >= len(places) - 3
+    assert rows(table.get(3)) == [(3, "c", 3)] and table.get(201).count() == 0
+    assert "PartitionFilters: [isnotnull(_bucket" in table.get(3)._jdf.queryExecution().toString()
+    table.delete(spark.createDataFrame([(3,), (999,)], "id long"))
+    assert table.read().count() == 200 and table.get(3).count() == 0
+    one = KeyedTable(spark, str(tmp_path / "one"), "id", T.LongType(), [F.col("ts")], buckets=4)
+    one.create(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, ts int"))
+    one.delete(spark.createDataFrame([(1,)], "id long"))
+    assert rows(one.read()) == [(2, "b", 1)]
+
+
 def test_dense_ids(spark):
     df = spark.range(0, 5000).select((F.col("id") % 1700).cast("string").alias("name")).repartition(7)
     ids = index_ids(df, "name", "n", buckets=16).collect()
@@ -141,6 +164,21 @@ def test_percentile_is_exact_on_skewed_groups(spark, fraction):
     assert got == pytest.approx({g: np.percentile(v, fraction * 100) for g, v in data.items()})
 
 
+def test_latency_summary_scans_three_times(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    made = [(f"e{i % 3}", i % 7 > 0, float(t), f"2024-01-01 00:{i % 60:02d}:00") for i, t in enumerate(rng.exponential(2, 3000))]
+    made += [("down", False, 1.0, "2024-01-01 00:00:00")]
+    spark.createDataFrame(made, "endpoint string, success boolean, response_time double, ts string").write.parquet(str(tmp_path / "r"))
+    requests = spark.read.parquet(str(tmp_path / "r"))
+    summary = E.latency_summary(requests)
+    got = {r.endpoint: r for r in summary.collect()}
+    for e in ("e0", "e1", "e2"):
+        assert got[e].p95_time == pytest.approx(np.percentile([t for n, ok, t, _ in made if n == e and ok], 95))
+    assert got["down"].p95_time is None and got["down"].success_rate == 0
+    # One scan is behind the stored aggregate, the others are in the plan.
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
 def test_ranking_metrics(spark):
     listed = spark.createDataFrame(
         [("cf", "u", i) for i in range(4)] + [("mf", "u", 9), ("cf", "v", 1)],
