@@ -20,7 +20,7 @@ follower too. Tasks send bigrams as compressed arrays, one row per gathered ``ME
 bucket; a bucket counts its part of the models from the sampled texts among them. What it needs
 besides, the numbers of words that its words follow, comes from a first round of counting.
 
-A word is known by a 64-bit hash of its spelling. The most frequent words (``HOT``, or four a
+A word is known by 48 bits of a hash of its spelling (of 50 million words some four pairs share one). The most frequent words (``HOT``, or four a
 bucket) and pairs of them are looked up where the text is read, from a list whose length is
 bounded by the number of buckets; other bigrams of such a word are dealt by both words. So no
 word or pair, however frequent, gathers in one task. The hot list is found in a sample of
@@ -54,9 +54,9 @@ from shelfwise.operators.skew import join_counted
 
 START, END = 0, 1
 #: Words a task gathers before it sends their bigrams.
-MEMORY = 2_000_000
+MEMORY = 1_500_000
 #: Characters of text whose bigrams share a bucket, and the least number of buckets.
-BUCKET, BUCKETS = 24_000_000, 12
+BUCKET, BUCKETS = 20_000_000, 12
 #: Least length of the hot list, and the characters of text it is found in.
 HOT, HOT_SAMPLE = 1024, 1 << 24
 SCALE = 2**20
@@ -73,7 +73,7 @@ def words(text: str | None) -> list[str]:
 
 
 def _code(word: str) -> int:
-    found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "little")
     return found if found not in (START, END) else found + 2
 
 
@@ -178,7 +178,7 @@ class Gathered:
             self.texts[key] = [number, fold, int(role == 1), int(role == 2), 1, len(known)]
         else:
             number = 2 * fold + role - 1
-        self.found.append((number, np.array((START, *known, END), np.int64)))
+        self.found.append((number, np.array((START, *known, END), np.int32)))
         self.size += len(known) + 1
 
     def rows(self):
@@ -186,16 +186,17 @@ class Gathered:
         if not self.found:
             return
         code = self.vocabulary.codes()
-        text = np.repeat(np.array([k for k, _ in self.found], np.int64), [len(x) - 1 for _, x in self.found])
-        pair = np.concatenate([x[:-1] << 32 | x[1:] for _, x in self.found])
+        text = np.repeat(np.array([k for k, _ in self.found], np.int32), [len(x) - 1 for _, x in self.found])
+        pair = np.concatenate([x[:-1].astype(np.int64) << 32 | x[1:] for _, x in self.found])
         if not self.per_text:  # one model after the other
             order = np.lexsort((text, pair))
         else:
             order = np.argsort(pair, kind="stable")
         pair, text = pair[order], text[order]
         first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])))
-        n = np.diff(np.append(first, len(pair)))
-        h, w, text = pair[first] >> 32, pair[first] & 0xFFFFFFFF, text[first]
+        n = np.diff(np.append(first, len(pair))).astype(np.int32)
+        h, w, text = (pair[first] >> 32).astype(np.int32), (pair[first] & 0xFFFFFFFF).astype(np.int32), text[first]
+        del pair, order, first
         hot = _find(self.hot.codes, code)
         is_hot = hot < len(self.hot.codes)
         if self.per_text:
@@ -278,11 +279,18 @@ class Bucket:
         h = np.concatenate([np.cumsum(s["h_steps"])[s["h_at"]] for s in sent])
         w = np.concatenate([np.cumsum(s["w_steps"])[s["w_at"]] for s in sent])
         offsets = np.cumsum([0, *(len(s["key"]) for s in sent)])
-        self.text = np.concatenate([s["text"].astype(np.int64) + o for s, o in zip(sent, offsets)])
+        self.text = np.concatenate([(s["text"] + o).astype(np.int32) for s, o in zip(sent, offsets)])
         self.n, self.key, self.fold = whole("n").astype(np.int64), whole("key"), whole("fold").astype(np.int64)
-        _, first, self.pair = np.unique(_mix(h, w), return_index=True, return_inverse=True)
+        ended, mixed = w == END, _mix(h, w)
+        order = np.argsort(mixed)
+        new = np.append(True, np.diff(mixed[order]) != 0)
+        first = order[new]
         self.h, self.w = h[first], w[first]
-        n = np.where(w != END, self.n, 0)
+        del h, w, mixed
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
+        n = np.where(ended, 0, self.n)
         times = [whole("as_target").astype(np.int64), whole("as_background").astype(np.int64)]
         self.counts = np.stack([np.bincount(self.pair, n * (times[m % 2] * (self.fold == m // 2))[self.text], len(first)).astype(np.int64)
                                 for m in range(MODELS)], axis=1)
@@ -357,6 +365,33 @@ def whole(loss: np.ndarray) -> np.ndarray:
 _SUMS = ("key", "copies", "rows", "n", "target", "background")
 
 
+def _bundled(need: DataFrame) -> DataFrame:
+    """bucket, kind, data: the words that buckets need, with the numbers of words they follow, as arrays."""
+    def bundle(batches):
+        held, size = [], 0
+
+        def sent():
+            bucket, code, *numbers = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("bucket", "code", *(f"a{m}" for m in range(MODELS))))
+            order = np.lexsort((code, bucket))
+            rows = []
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                rows.append((int(bucket[part[0]]), NEED, _packed(steps=np.diff(code[part], prepend=0), **{f"a{m}": x[part] for m, x in enumerate(numbers)})))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "kind", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size > MEMORY:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
+
+    return need.select("bucket", "code", *(f"a{m}" for m in range(MODELS))).mapInArrow(bundle, "bucket int, kind int, data binary")
+
+
 def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing: Smoothing) -> DataFrame:
     """key and sums of copies, rows, words and losses; several rows a key."""
     def score(batches):
@@ -364,16 +399,18 @@ def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing:
             table = pa.Table.from_batches(parts)
             kind = table.column("kind").to_numpy()
             data = table.column("data")
-            sent = []
-            for k in np.flatnonzero(kind != NEED).tolist():
+            sent, need = [], []
+            for k in range(len(kind)):
                 found = _unpacked(data[k].as_py())
                 if kind[k] == SUMS:
                     yield _batch(found["key"], found["copies"], np.ones(len(found["key"])), found["n"], found["target"], found["background"])
                 else:
-                    sent.append(found)
+                    (sent if kind[k] == BIGRAMS else need).append(found)
             if sent:
-                known, first = np.unique(table.column("code").to_numpy()[kind == NEED], return_index=True)
-                followed = np.stack([table.column(f"a{m}").to_numpy()[kind == NEED][first] for m in range(MODELS)], axis=1)
+                empty = {"steps": np.zeros(0, np.int64), **{f"a{m}": np.zeros(0, np.int64) for m in range(MODELS)}}
+                need.append(empty)
+                known, first = np.unique(np.concatenate([np.cumsum(x["steps"]) for x in need]), return_index=True)
+                followed = np.stack([np.concatenate([x[f"a{m}"] for x in need])[first] for m in range(MODELS)], axis=1).astype(np.int64)
                 yield _score(Bucket(sent), known, np.vstack([followed, np.zeros((1, MODELS), np.int64)]))
 
     def _score(got: Bucket, known: np.ndarray, followed: np.ndarray):
@@ -394,10 +431,8 @@ def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing:
     def _batch(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(_SUMS))
 
-    empty = [F.lit(None).cast("long").alias(c) for c in ("code", *(f"a{m}" for m in range(MODELS)))]
-    sent = bigrams(rows, hot, buckets, per_text=True).select("bucket", "kind", *empty, "data")
-    asked = need.select("bucket", F.lit(NEED).alias("kind"), "code", *(f"a{m}" for m in range(MODELS)), F.lit(None).cast("binary").alias("data"))
-    dealt = sent.unionByName(asked).repartition(4 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    sent = bigrams(rows, hot, buckets, per_text=True)
+    dealt = sent.unionByName(_bundled(need)).repartition(4 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.mapInArrow(score, ", ".join(f"{c} long" for c in _SUMS))
 
 
@@ -432,14 +467,14 @@ def cross_entropy_difference(documents: DataFrame, aimed: Column, least_hot: int
     # A pair that makes up more than 1 / length of the characters counts as hot: 16 * length pairs at most.
     stats = stored(counted(rows, hot, buckets, max(1.0, size / 16 / max(length, 1))), "lm-counts")
     numbers = [f"a{k}" for k in range(2 * MODELS)]
-    total = lambda *by: stats.where(F.col("kind").isin(*by)).groupBy("kind", "code", "other")
     seen = stats.where(F.col("kind") == SEEN).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers)).first()
-    followers = stored(total(FOLLOWERS).agg(*(F.sum(c).alias(c) for c in numbers[:MODELS])).select("code", *numbers[:MODELS]), "lm-words")
+    followers = stored(stats.where(F.col("kind") == FOLLOWERS).groupBy("code").agg(*(F.sum(c).alias(c) for c in numbers[:MODELS])), "lm-words")
     sizes = followers.agg(F.count(F.lit(1)).alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers[:MODELS]),
                           *(F.count_if(F.col(c) > 0).alias(f"with_{c}") for c in numbers[:MODELS])).first()
     smoothing = Smoothing([seen[c] for c in numbers], sizes["words"] + 1, [sizes[c] for c in numbers[:MODELS]],
                           [sizes[f"with_{c}"] for c in numbers[:MODELS]])
-    _fill(hot, total(CONTEXT, PAIR).agg(*(F.sum(c).alias(c) for c in numbers)), followers, smoothing)
+    frequent = stats.where(F.col("kind").isin(CONTEXT, PAIR)).groupBy("kind", "code", "other").agg(*(F.sum(c).alias(c) for c in numbers))
+    _fill(hot, frequent, followers, smoothing)
     need = stats.where(F.col("kind") == FOLLOWERS).select("bucket", "code").join(followers, "code").unionByName(
         followers.withColumn("bucket", F.pmod("code", F.lit(buckets)).cast("int")))
     sums = stored(scored(rows, need, hot, buckets, smoothing).groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS[1:])), "lm-sums")

@@ -22,6 +22,9 @@ from shelfwise.llm.simhash import near_duplicates
 from shelfwise.llm.toxicity import toxicity
 from shelfwise.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, part_codes
 
+#: Label ids, 8 bytes each, that are sent along with the tasks; more are merged by a shuffle.
+LABELS_SENT = 2_000_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -111,10 +114,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good and not toxic; background: as much of the others.
 
-    The labels grow with the documents: the planner broadcasts them while they are small and merges them beyond.
+    The labels grow with the documents: their ids are broadcast up to ``LABELS_SENT`` of them and merged beyond.
     """
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     good = load(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct().withColumn("aimed", F.lit(True))
+    if good.count() <= LABELS_SENT:
+        good = F.broadcast(good)
     return cross_entropy_difference(documents.join(good, "doc_id", "left"), F.col("aimed"))
 
 
