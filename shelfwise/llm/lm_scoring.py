@@ -54,9 +54,9 @@ from shelfwise.operators.skew import join_counted
 
 START, END = 0, 1
 #: Words a task gathers before it sends their bigrams.
-MEMORY = 1_500_000
+MEMORY = 1_200_000
 #: Characters of text whose bigrams share a bucket, and the least number of buckets.
-BUCKET, BUCKETS = 20_000_000, 12
+BUCKET, BUCKETS = 16_000_000, 12
 #: Least length of the hot list, and the characters of text it is found in.
 HOT, HOT_SAMPLE = 1024, 1 << 24
 SCALE = 2**20
@@ -280,7 +280,7 @@ class Bucket:
         w = np.concatenate([np.cumsum(s["w_steps"])[s["w_at"]] for s in sent])
         offsets = np.cumsum([0, *(len(s["key"]) for s in sent)])
         self.text = np.concatenate([(s["text"] + o).astype(np.int32) for s, o in zip(sent, offsets)])
-        self.n, self.key, self.fold = whole("n").astype(np.int64), whole("key"), whole("fold").astype(np.int64)
+        self.n, self.key, self.fold = whole("n").astype(np.int32), whole("key"), whole("fold").astype(np.int64)
         ended, mixed = w == END, _mix(h, w)
         order = np.argsort(mixed)
         new = np.append(True, np.diff(mixed[order]) != 0)
@@ -292,7 +292,7 @@ class Bucket:
         del order, new
         n = np.where(ended, 0, self.n)
         times = [whole("as_target").astype(np.int64), whole("as_background").astype(np.int64)]
-        self.counts = np.stack([np.bincount(self.pair, n * (times[m % 2] * (self.fold == m // 2))[self.text], len(first)).astype(np.int64)
+        self.counts = np.stack([np.bincount(self.pair, n * (times[m % 2] * (self.fold == m // 2))[self.text], len(first)).astype(np.int32)
                                 for m in range(MODELS)], axis=1)
         self.contexts, self.context = np.unique(self.h, return_inverse=True)
         self.totals = _summed(self.context, self.counts, len(self.contexts))
@@ -341,17 +341,16 @@ class Smoothing:
         self.pairs, self.size = np.array(pairs, np.float64), size
         self.floor = np.where(self.pairs > 0, self.discount * followers / np.maximum(self.pairs, 1) / size, 1 / size)
 
-    def lower(self, followed: np.ndarray) -> np.ndarray:
-        """Probability of words by the numbers of words they follow, one column a model."""
-        return np.maximum(followed - self.discount, 0) / np.maximum(self.pairs, 1) + self.floor
+    def lower(self, followed: np.ndarray, m=slice(None)) -> np.ndarray:
+        """Probability of words by the numbers of words they follow, of one model or one column a model."""
+        return np.maximum(followed - self.discount[m], 0) / np.maximum(self.pairs[m], 1) + self.floor[m]
 
-    def weight(self, totals: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        return np.where(totals > 0, self.discount * kinds / np.maximum(totals, 1), 1.0)
+    def weight(self, totals: np.ndarray, kinds: np.ndarray, m=slice(None)) -> np.ndarray:
+        return np.where(totals > 0, self.discount[m] * kinds / np.maximum(totals, 1), 1.0)
 
-    def bonus(self, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, followed: np.ndarray) -> np.ndarray:
-        back = self.weight(totals, kinds) * self.lower(followed)
-        own = np.where(counts > 0, counts - self.discount, 0) / np.maximum(totals, 1)
-        return whole(-np.log(own / back + 1))
+    def bonus(self, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, followed: np.ndarray, m=slice(None)) -> np.ndarray:
+        own = np.where(counts > 0, counts - self.discount[m], 0) / np.maximum(totals, 1)
+        return whole(-np.log(own / (self.weight(totals, kinds, m) * self.lower(followed, m)) + 1))
 
 
 def _discount(once: int, twice: int) -> float:
@@ -416,15 +415,17 @@ def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing:
     def _score(got: Bucket, known: np.ndarray, followed: np.ndarray):
         place = _find(hot.codes, got.contexts)
         is_hot = place < len(hot.codes)
-        totals = np.where(is_hot[:, None], hot.totals[place], got.totals)
-        kinds = np.where(is_hot[:, None], hot.kinds[place], got.kinds)
-        bonus = smoothing.bonus(got.counts, totals[got.context], kinds[got.context], followed[_find(known, got.w)])
-        # A hot word's own losses were added where the text was read.
-        context = np.where(is_hot[:, None], 0, whole(-np.log(smoothing.weight(totals, kinds))))
-        follower = np.where(is_hot[:, None], 0, whole(-np.log(smoothing.lower(followed[_find(known, got.contexts)]))))
-        loss = bonus + follower[got.context] + np.where((got.w != END)[:, None], context[got.context], 0)
-        model = 2 * (1 - got.fold[got.text])
-        sums = [np.bincount(got.text, got.n * loss[got.pair, model + side], len(got.key)).astype(np.int64) for side in (0, 1)]
+        word, as_word = _find(known, got.w), _find(known, got.contexts)
+        going_on = got.w != END
+        sums = [np.zeros(len(got.key), np.int64) for _ in range(2)]
+        for m in range(MODELS):  # one after the other, to hold one column at a time
+            totals, kinds = (np.where(is_hot, h[place, m], g[:, m]) for h, g in ((hot.totals, got.totals), (hot.kinds, got.kinds)))
+            loss = smoothing.bonus(got.counts[:, m], totals[got.context], kinds[got.context], followed[word, m], m)
+            # A hot word's own losses were added where the text was read.
+            loss += np.where(is_hot, 0, whole(-np.log(smoothing.lower(followed[as_word, m], m))))[got.context]
+            loss += np.where(is_hot, 0, whole(-np.log(smoothing.weight(totals, kinds, m))))[got.context] * going_on
+            other = np.flatnonzero((got.fold == 1 - m // 2)[got.text])
+            sums[m % 2] += np.bincount(got.text[other], got.n[other].astype(np.int64) * loss[got.pair[other]], len(got.key)).astype(np.int64)
         zero = np.zeros(len(got.key))
         return _batch(got.key, zero, zero, zero, *sums)
 
