@@ -332,7 +332,7 @@ def test_pii_threshold_judges_each_level():
 
 def test_queries_and_pipeline(spark):
     assert sorted(queries.QUERIES) == sorted(f"op{k}_{n}" for k, n in enumerate(
-        "lm_scoring toxicity quality html decontamination language simhash packing sharding pii".split(), 1))
+        "lm_scoring toxicity quality html decontamination language simhash packing sharding pii vector_codes prefix_trie exact_dedup".split(), 1))
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
