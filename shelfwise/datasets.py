@@ -127,9 +127,13 @@ def comment_sizes(spark: SparkSession, sf_dir: str, texts: bool = False) -> Data
 
 
 def reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
-    """Reviews with author, time, sentiment and the weight of their comment, or also its text."""
+    """Reviews with author, time, sentiment and the weight of their comment, or also its text.
+
+    With texts the join is a merge: rows with the same text come out next to each other, for writers that compress.
+    """
     total = load(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    comments = comment_sizes(spark, sf_dir, texts)
     return (
         load(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -142,7 +146,7 @@ def reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
             (F.col("l_orderkey") % total).alias("doc_id"),
         )
         .withColumn("sentiment_score", C.sentiment_score("rating"))
-        .join(comment_sizes(spark, sf_dir, texts), "doc_id")
+        .join(comments.hint("merge") if texts else comments, "doc_id")
         .drop("doc_id")
     )
 

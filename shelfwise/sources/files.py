@@ -14,6 +14,8 @@ from shelfwise.schemas import RAW, with_corrupt
 PROCESSED = ("products", "reviews", "user_behavior", "recommendations")
 ZONES = ("raw", "processed", "products", "reviews", "user_behavior")
 FORMATS = ("json", "csv", "parquet")
+#: Rows of a raw file: gzip files are read by one task each.
+RAW_ROWS = 50_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -45,6 +47,13 @@ def scan_raw(spark: SparkSession, data_type: str, *paths: str) -> DataFrame:
     raise FileNotFoundError(f"none of {paths} exists")
 
 
+def write_raw(df: DataFrame, path: str) -> str:
+    """JSON lines as gzip files of bounded length, rows in the order they come in: a long text that
+    neighbouring rows share is stored about once a file."""
+    df.write.option("maxRecordsPerFile", RAW_ROWS).option("compression", "gzip").json(path)
+    return path
+
+
 def scan_raw_products(spark: SparkSession, *paths: str) -> DataFrame:
     return scan_raw(spark, "products", *paths)
 

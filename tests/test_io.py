@@ -1,12 +1,15 @@
 import json
 import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
 from shelfwise.plans.batch import run_batch
+from shelfwise.registry.files import written
 from shelfwise.sources import files, messages, pages, tables
 from shelfwise.operators.snapshots import merged_view
 from shelfwise.plans.versions import VersionedViews, folder_names
@@ -266,3 +269,21 @@ def test_page_extraction(spark):
     found = pages.extract_reviews(page).collect()
     assert len(found) == 60 and pages.extract_reviews(page, per_page=50).count() == 50
     assert (found[0].username, found[0].comment, found[0].time, found[0].rating) == ("ann", "fine", "N/A", 1)
+
+
+def test_raw_reviews_store_a_shared_comment_about_once(spark, tmp_path):
+    """Many reviews carry the same long text; their files must not grow with it."""
+    rng = np.random.default_rng(1)
+    data = tmp_path / "sf"
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 2000)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{data}/documents.parquet")
+    spark.range(4000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{data}/orders.parquet")
+    spark.range(4000).repartition(4).selectExpr(
+        "id AS l_orderkey", "id % 9 AS l_partkey", "1 AS l_linenumber", "CAST(id % 50 AS double) AS l_quantity",
+        "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate").write.parquet(f"{data}/lineitem.parquet")
+    path = written(spark, str(data), "reviews")
+    found = files.scan_raw_reviews(spark, path)
+    assert found.groupBy("comment").count().select("count").distinct().collect() == [(200,)]
+    assert {r.comment for r in found.select("comment").distinct().collect()} == set(texts)
+    stored = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).iterdir())
+    assert stored < 4000 * 2000 / 20
