@@ -18,7 +18,7 @@ from shelfwise.streaming import streams as S
 def drained(spark, stream, schema):
     """Run an append stream over what is there and read back what it wrote."""
     path = scratch_path(spark, "stream")
-    query_ = S.start_append(stream, path, scratch_path(spark, "stream-checkpoint"), available_now=True)
+    query_ = S.start_append(stream, path, scratch_path(spark, "stream-checkpoint"), available_now=True, compression="gzip")
     query_.awaitTermination()
     return spark.read.schema(schema).json(path)
 

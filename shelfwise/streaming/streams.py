@@ -60,10 +60,10 @@ def _typed(messages: DataFrame, schema) -> DataFrame:
 
 def start_append(
     stream: DataFrame, path: str, checkpoint: str, settings: StreamSettings = StreamSettings(),
-    available_now: bool = False, fmt: str = "json",
+    available_now: bool = False, fmt: str = "json", **options: str,
 ) -> StreamingQuery:
-    """Append to files; the checkpoint makes a restart neither lose nor repeat rows."""
+    """Append to files; the checkpoint makes a restart neither lose nor repeat rows. ``options`` go to the writer."""
     return (
-        stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+        stream.writeStream.format(fmt).options(**options).option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(**settings.trigger(available_now)).start()
     )
