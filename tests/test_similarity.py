@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import blocks as B
+from shelfwise.operators import short_lists
 from shelfwise.operators import similarity as S
 
 
@@ -170,3 +171,16 @@ def test_text_ids_and_dimensions(spark):
     vectors = S.cut_lineage(S.unit_vectors(named, "id", "dim", "x"))
     got = S.block_top_k(vectors, vectors, 5, ids=6, seeds=2).collect()
     assert {(int(r.qid[1:]), int(r.vid[1:])): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
+
+
+@pytest.mark.parametrize("block", [1, 7, 500])
+def test_short_lists_are_sent_to_blocks_of_queries(spark, block, monkeypatch):
+    """No plan joins pairs: rows sent are lists per block, and every block size gives the exact neighbours."""
+    monkeypatch.setattr(short_lists, "QUERIES", block)
+    rng = np.random.default_rng(block)
+    matrix = np.where(rng.random((80, 60)) < 0.05, rng.integers(1, 6, (80, 60)), 0).astype(float)
+    assert search(spark, matrix, 4, cells_per_pair=0) == pytest.approx(brute_force(matrix, 4), abs=2e-9)
+    vectors = S.cut_lineage(S.unit_vectors(long_form(spark, matrix), "id", "dim", "x"))
+    found = S.top_k(vectors, vectors, 4, cells_per_pair=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "(qid" not in plan.split("MapInArrow", 1)[1]
