@@ -361,6 +361,15 @@ def whole(loss: np.ndarray) -> np.ndarray:
     return np.rint(loss * SCALE).astype(np.int64)
 
 
+def _added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by place."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, values)
+    return out
+
+
+#: Places where the sums of texts are added up.
+ADDERS = 256
 _SUMS = ("key", "copies", "rows", "n", "target", "background")
 
 
@@ -392,7 +401,11 @@ def _bundled(need: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing: Smoothing) -> DataFrame:
-    """key and sums of copies, rows, words and losses; several rows a key."""
+    """key and sums of copies, rows, words and losses, one row a key.
+
+    A text has a partial sum in every bucket that one of its bigrams is in, so at most one a bigram. They go as
+    arrays, one row a bucket and place of the keys, and are added up there.
+    """
     def score(batches):
         for _, parts in _by_bucket(batches):
             table = pa.Table.from_batches(parts)
@@ -402,7 +415,7 @@ def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing:
             for k in range(len(kind)):
                 found = _unpacked(data[k].as_py())
                 if kind[k] == SUMS:
-                    yield _batch(found["key"], found["copies"], np.ones(len(found["key"])), found["n"], found["target"], found["background"])
+                    yield _dealt(found["key"], found["copies"], np.ones(len(found["key"])), found["n"], found["target"], found["background"])
                 else:
                     (sent if kind[k] == BIGRAMS else need).append(found)
             if sent:
@@ -427,14 +440,41 @@ def scored(rows: DataFrame, need: DataFrame, hot: Hot, buckets: int, smoothing:
             other = np.flatnonzero((got.fold == 1 - m // 2)[got.text])
             sums[m % 2] += np.bincount(got.text[other], got.n[other].astype(np.int64) * loss[got.pair[other]], len(got.key)).astype(np.int64)
         zero = np.zeros(len(got.key))
-        return _batch(got.key, zero, zero, zero, *sums)
+        distinct, at = np.unique(got.key, return_inverse=True)  # a key comes once for each time its text was sent
+        sums = [_added(at, x, len(distinct)) for x in sums]
+        zero = np.zeros(len(distinct))
+        return _dealt(distinct, zero, zero, zero, *sums)
+
+    def _dealt(*columns):
+        place = np.mod(columns[0], ADDERS)
+        order = np.lexsort((columns[0], place))
+        parts = np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []
+        packed = [_packed(**{c: x[part].astype(np.int64) for c, x in zip(_SUMS, columns, strict=True)}) for part in parts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(place[part[0]]) for part in parts], pa.int32()), pa.array(packed, pa.binary())], ["place", "data"])
+
+    def add(batches):
+        held, size = [], 0
 
-    def _batch(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(_SUMS))
+        def together():
+            key = np.concatenate([h["key"] for h in held])
+            distinct, at = np.unique(key, return_inverse=True)
+            return {"key": distinct, **{c: _added(at, np.concatenate([h[c] for h in held]), len(distinct)) for c in _SUMS[1:]}}
+
+        for batch in batches:
+            for data in batch.column("data"):
+                held.append(_unpacked(data.as_py()))
+                size += len(held[-1]["key"])
+                if size > MEMORY:
+                    held = [together()]
+                    size = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in together().values()], list(_SUMS))
 
     sent = bigrams(rows, hot, buckets, per_text=True)
     dealt = sent.unionByName(_bundled(need)).repartition(4 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(score, ", ".join(f"{c} long" for c in _SUMS))
+    partial = dealt.mapInArrow(score, "place int, data binary")
+    return partial.repartition(ADDERS, "place").mapInArrow(add, ", ".join(f"{c} long" for c in _SUMS))
 
 
 def hot_words(rows: DataFrame, share: float, length: int) -> np.ndarray:
@@ -478,7 +518,7 @@ def cross_entropy_difference(documents: DataFrame, aimed: Column, least_hot: int
     _fill(hot, frequent, followers, smoothing)
     need = stats.where(F.col("kind") == FOLLOWERS).select("bucket", "code").join(followers, "code").unionByName(
         followers.withColumn("bucket", F.pmod("code", F.lit(buckets)).cast("int")))
-    sums = stored(scored(rows, need, hot, buckets, smoothing).groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS[1:])), "lm-sums")
+    sums = stored(scored(rows, need, hot, buckets, smoothing), "lm-sums")
     mean = lambda c: (F.col(c) / F.col("n") / SCALE).alias(f"{c}_loss")
     per_text = sums.select("key", "copies", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"), mean("target"), mean("background"))
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm.lm_scoring import _packed, _unpacked, cross_entropy_difference, matched, words
+from shelfwise.llm import lm_scoring
+from shelfwise.llm.lm_scoring import _packed, _unpacked, cross_entropy_difference, matched, scored, words
 
 SMALL = "/root/testdata/sf0.01"
 COLUMNS = "doc_id long, text string, aimed boolean, key string, n long, bucket int, kind int, target double"
@@ -104,3 +105,18 @@ def test_membership_does_not_move_the_score(spark):
     middle = {k: float(np.median(v)) for k, v in by.items()}
     assert abs(middle[0] - middle[1]) < 0.2
     assert middle["bad"] > max(middle[0], middle[1])
+
+
+def test_sums_of_many_buckets_leave_as_one_row_a_text(spark, texts, monkeypatch):
+    rows = []
+
+    def watched(*args):
+        found = scored(*args)
+        rows.append((found.count(), found.select("key").distinct().count()))
+        return found
+
+    monkeypatch.setattr(lm_scoring, "scored", watched)
+    got = cross_entropy_difference(texts, F.col("aimed"), 8, 500)
+    assert rows[0][0] == rows[0][1] > 1
+    monkeypatch.undo()
+    assert sorted(map(str, got.collect())) == sorted(map(str, cross_entropy_difference(texts, F.col("aimed"), 8, 10**9).collect()))
