@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.text import spread_texts
+
 # BM25 parameters and the boosts of the searched fields.
 K1, B = 1.2, 0.75
 PRODUCT_FIELDS = {"name": 3.0, "location": 1.0}
@@ -95,7 +97,7 @@ def build_inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Whole texts are spread by id first, so that counting per term and id stays in place.
     """
-    spread = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    spread = spread_texts(docs, key, text)
     positions = spread.select("id", F.posexplode(tokens("text")).alias("position", "term"))
     return positions.groupBy("term", "id").agg(
         F.count(F.lit(1)).alias("tf"), F.min("position").alias("first_position")

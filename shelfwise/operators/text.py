@@ -9,6 +9,8 @@ from shelfwise.functions.stop_words import ENGLISH
 from shelfwise.operators.skew import join_counted
 from shelfwise.session import cut_lineage
 
+#: Characters of text whose terms one task counts.
+TASK_CHARS = 4_000_000
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -18,6 +20,17 @@ def words(text: Column, stop_words: list[str]) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop_words))
 
 
+def spread_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, text)`` spread by id over as many tasks as the texts fill with ``TASK_CHARS`` characters.
+
+    What a task counts per id and term is many times its texts, so it must not grow with the table, as it
+    does where shuffled bytes decide how many partitions are joined into one task.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return rows.repartition(1 + size // TASK_CHARS, "id")
+
+
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """``(id, term, tf)`` with single words and adjacent pairs.
 
@@ -25,7 +38,7 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: list[str] | No
     terms, and counting per id and term then needs no second shuffle.
     """
     stop = ENGLISH if stop_words is None else stop_words
-    spread = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    spread = spread_texts(docs, key, text)
     tokens = spread.select("id", words(F.col("text"), stop).alias("t"))
     size = F.size("t")
     pairs = F.zip_with(

@@ -3,8 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+from conftest import rows
 
 from shelfwise.operators import search as S
+from shelfwise.operators import text as X
 from shelfwise.operators.text import tfidf, vocabulary
 
 DOCS = {1: "The red ring, the RED bolt", 2: "ring ring a bolt of Đồng", 3: "", 4: "x y z", 5: "red ring"}
@@ -89,3 +91,18 @@ def test_inverted_index_round_trip(spark, tmp_path):
     assert {(r.term, r.id) for r in read.collect()} == {k for k in got if k[0] in ("ring", "red")}
     df = {r.term: (r.df, r.occurrences) for r in S.document_frequency(postings).collect()}
     assert df["ring"] == (3, 4) and df["red"] == (2, 3)
+
+
+def test_terms_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    """The tasks that count terms grow in number with the texts, not in size; the counts stay the same."""
+    docs = spark.range(40).selectExpr("id AS doc", "concat('red ring ', id, repeat(' blue', 20)) AS text")
+
+    def counted():
+        postings = S.build_inverted_index(docs, "doc", "text")
+        return postings.rdd.getNumPartitions(), rows(postings), rows(X.term_counts(docs, "doc", "text"))
+
+    whole = counted()
+    monkeypatch.setattr(X, "TASK_CHARS", 100)
+    parts = counted()
+    assert parts[0] > 30 and whole[0] == 1
+    assert parts[1:] == whole[1:]
