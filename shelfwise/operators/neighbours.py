@@ -33,13 +33,11 @@ def user_similarity(behavior: DataFrame, k: int = NEIGHBOURS, short_list: int =
 
 def co_interaction(behavior: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Products shared by a user and each of its neighbours."""
-    mine = behavior.where("interaction_score > 0").select(*PAIR)
-    theirs = mine.select(F.col("user_id").alias("neighbour_id"), "product_id")
-    return (
-        neighbours.select("user_id", "neighbour_id")
-        .join(mine, "user_id").join(theirs, ["neighbour_id", "product_id"])
-        .groupBy("user_id", "neighbour_id").agg(F.count(F.lit(1)).alias("shared_products"))
-    )
+    profiles = behavior.where("interaction_score > 0").groupBy("user_id").agg(F.collect_set("product_id").alias("products"))
+    mine = profiles.withColumnRenamed("products", "mine")
+    both = neighbours.select("user_id", "neighbour_id").join(profiles.withColumnRenamed("user_id", "neighbour_id"), "neighbour_id").join(mine, "user_id")
+    shared = F.size(F.array_intersect("mine", "products")).cast("long")
+    return both.select("user_id", "neighbour_id", shared.alias("shared_products")).where("shared_products > 0")
 
 
 def predicted_scores(behavior: DataFrame, neighbours: DataFrame) -> DataFrame:

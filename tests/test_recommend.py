@@ -227,3 +227,13 @@ def test_merge_scores(spark):
     one = spark.createDataFrame([("u", "p", 2.0), ("u", "q", 1.0)], "user_id string, product_id string, cf_score double")
     two = spark.createDataFrame([("u", "q", 3.0), ("v", "p", 0.5)], "user_id string, product_id string, mf_score double")
     assert rows(H.merge_scores(one, two)) == [("u", "p", 2.0, 0.0), ("u", "q", 1.0, 3.0), ("v", "p", 0.0, 0.5)]
+
+
+def test_shared_products_come_from_whole_profiles(spark):
+    """No join goes row by row over neighbours' products; negative and zero scores share nothing."""
+    behavior = spark.createDataFrame(
+        [("u", "a", 1.0), ("u", "b", 2.0), ("v", "b", 1.0), ("v", "a", 0.0), ("w", "c", 1.0)], "user_id string, product_id string, interaction_score double")
+    near = spark.createDataFrame([("u", "v"), ("v", "u"), ("u", "w")], "user_id string, neighbour_id string")
+    found = N.co_interaction(behavior, near)
+    assert rows(found) == [("u", "v", 1), ("v", "u", 1)]
+    assert "Explode" not in str(found._jdf.queryExecution()) and "array_intersect" in str(found._jdf.queryExecution())
