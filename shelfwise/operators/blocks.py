@@ -8,14 +8,17 @@ dot product is at most the sum of the products of both norms over the buckets.
 
 Every query block first meets the ``SEEDS`` index blocks with the highest bounds, best
 first. Its k-th best results then decide which other index blocks can still change anything:
-only those are sent to it. Inside a task the running k-th best skips further blocks. What a
-task holds is one query block, one index block and k results a query; results of a query
-are ranked where they were found, so no pairs are shuffled.
+only those are sent to it. Neighbouring query blocks form a group, and an index block is sent
+once to a group, so that what is sent is some ``GROUPS`` times the index rather than its square.
+Inside a task the running k-th best skips further blocks. What a task holds is one group of
+query blocks, one index block and k results a query; results of a query are ranked where they
+were found, so no pairs are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,8 @@ BLOCK_IDS, BLOCK_ENTRIES = 1024, 100_000
 #: Numbers of an envelope; a driver holds the envelopes of at most MAX_BLOCKS blocks (32 MB), larger tables get larger blocks.
 ENVELOPE, MAX_BLOCKS = 64, 65_536
 SEEDS = 16
+#: Groups of query blocks that are aimed at, and query blocks of a group at most.
+GROUPS, GROUP_BLOCKS = 32, 32
 #: Tasks of a comparison at most; each takes whole query blocks.
 MAX_TASKS = 10_000
 DECIMALS = 9
@@ -113,6 +118,26 @@ def packed(rows: DataFrame, ids: int = BLOCK_IDS, entries: int = BLOCK_ENTRIES,
     return blocks
 
 
+class IndexBlock:
+    """An index block; its entries are sorted by dimension once, whatever number of query blocks it meets."""
+
+    def __init__(self, ids, sizes, dims, ws, envelope):
+        self.ids, self.envelope, self._rows = np.asarray(ids), np.asarray(envelope), (sizes, np.asarray(dims), np.asarray(ws, float))
+
+    @cached_property
+    def _tile(self):
+        sizes, dims, ws = self._rows
+        names, cols = np.unique(dims, return_inverse=True)
+        return names, _by_column(np.repeat(np.arange(len(self.ids)), sizes), cols, ws)
+
+    def tile_of(self, dims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries in the given sorted dimensions, numbered as these are."""
+        names, (rows, cols, values) = self._tile
+        cols = pd.Index(dims).get_indexer(names)[cols]
+        known = cols >= 0
+        return (rows, cols, values) if known.all() else (rows[known], cols[known], values[known])
+
+
 class QueryBlock:
     """A block of queries and their k best results so far; ``skipped`` counts index blocks that a bound ruled out."""
 
@@ -121,8 +146,8 @@ class QueryBlock:
         n, dims, ws = len(self.ids), np.asarray(dims), np.asarray(ws, float)
         rows = np.repeat(np.arange(n), sizes)
         self.norms = bucket_norms(rows, dims, ws, n)
-        self.dims = pd.Index(pd.unique(dims))
-        self.tile = _by_column(rows, self.dims.get_indexer(dims), ws)
+        self.dims, cols = np.unique(dims, return_inverse=True)
+        self.tile = _by_column(rows, cols, ws)
         self.kth = np.full(n, 0.0 if positive_only else -np.inf)
         self.row, self.vid, self.sim, self.skipped = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0), 0
 
@@ -131,21 +156,25 @@ class QueryBlock:
         self._keep(pd.Index(self.ids).get_indexer(np.asarray(qids)), np.asarray(vids), np.asarray(sims, float))
 
     def meet(self, ids, sizes, dims, ws, envelope) -> None:
-        bound = self.norms @ np.asarray(envelope) * (1 + 1e-9) + 1e-9
+        self.meet_block(IndexBlock(ids, sizes, dims, ws, envelope))
+
+    def meet_block(self, index: IndexBlock) -> None:
+        bound = self.norms @ index.envelope * (1 + 1e-9) + 1e-9
         if not (bound >= self.kth).any() or (self.positive_only and not len(self.dims)):
             self.skipped += 1
             return
-        ids, cols = np.asarray(ids), self.dims.get_indexer(np.asarray(dims))
-        known = cols >= 0
-        rows = np.repeat(np.arange(len(ids)), sizes)[known]
-        tile = _by_column(rows, cols[known], np.asarray(ws, float)[known])
-        sims = product(self.tile, tile, (len(self.ids), len(ids)), len(self.dims))
-        least = self.kth - 1e-9
-        if not self.positive_only and sims.shape[1] > self.k + 1:  # nothing is known of some rows yet
-            open_rows = np.flatnonzero(np.isinf(least))
+        ids = index.ids
+        sims = product(self.tile, index.tile_of(self.dims), (len(self.ids), len(ids)), len(self.dims))
+        # Of positive similarities those count that nine decimals show.
+        least = np.maximum(self.kth - 1e-9, 4e-10) if self.positive_only else self.kth - 1e-9
+        near = sims >= least[:, None]
+        if sims.shape[1] > self.k + 1:  # of many near ones in a row only its best k can stay, one of them may be itself
+            full = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * (self.k + 1))
             place = sims.shape[1] - self.k - 1
-            least[open_rows] = np.partition(sims[open_rows], place, axis=1)[:, place] - 1e-9
-        r, c = np.nonzero((sims > 0) & (sims >= least[:, None]) if self.positive_only else sims >= least[:, None])
+            if len(full):
+                least[full] = np.maximum(least[full], np.partition(sims[full], place, axis=1)[:, place] - 1e-9)
+                near[full] = sims[full] >= least[full, None]
+        r, c = np.divmod(np.flatnonzero(near), sims.shape[1])
         found, vids = np.round(sims[r, c], DECIMALS), ids[c]
         keep = found >= self.kth[r]
         if self.positive_only:
@@ -178,11 +207,13 @@ def product(q_tile, v_tile, shape: tuple[int, int], n_dims: int) -> np.ndarray:
     q_count = np.bincount(q_tile[1], minlength=n_dims)
     v_count = np.bincount(v_tile[1], minlength=n_dims)
     common = q_count * v_count > shape[0] * shape[1] / 64
-    sims = np.zeros(shape)
     hot = np.flatnonzero(common)
-    for start in range(0, len(hot), SLAB):
-        slab = hot[start:start + SLAB]
-        sims += _dense(q_tile, slab, shape[0], n_dims) @ _dense(v_tile, slab, shape[1], n_dims).T
+    slabs = [hot[start:start + SLAB] for start in range(0, len(hot), SLAB)]
+    parts = (_dense(q_tile, slab, shape[0], n_dims) @ _dense(v_tile, slab, shape[1], n_dims).T for slab in slabs)
+    sims = next(parts, None)
+    sims = np.zeros(shape) if sims is None else sims
+    for more in parts:
+        sims += more
     rare = ~common[q_tile[1]] & (v_count[q_tile[1]] > 0)
     rows, cols, values = (part[rare] for part in q_tile)
     v_start = np.cumsum(v_count) - v_count
@@ -237,54 +268,70 @@ def _pairs(blocks: DataFrame, numbers: np.ndarray, envelopes: np.ndarray, seeds:
     return blocks.select("block", "envelope", *["floor"] * with_floor).mapInPandas(choose, "qb long, vb long, bound double")
 
 
-def _compare(queries: DataFrame, index: DataFrame, pairs: DataFrame, tasks: int, k: int, positive_only: bool, exclude_same: bool) -> DataFrame:
-    """``(block, qid, vid, sim, floor)``: lists of the k best of each query of every block that has pairs."""
+def _compare(
+    queries: DataFrame, index: DataFrame, pairs: DataFrame, tasks: int, k: int, positive_only: bool, exclude_same: bool, groups: DataFrame | None = None,
+) -> DataFrame:
+    """``(block, qid, vid, sim, floor)``: lists of the k best of each query of every block that has pairs.
+
+    ``groups`` maps query blocks to groups ``(qb, part)``, each of which is compared in one task.
+    """
     q_type, v_type = (t.schema["ids"].dataType.simpleString() for t in (queries, index))
     empty = {c: F.lit(None).cast(t) for c, t in (("qid", q_type), ("vid", v_type), ("sim", "array<double>"))}
     known = [F.col(c) if c in queries.columns else empty[c].alias(c) for c in empty]
-    asked = queries.join(pairs.select(F.col("qb").alias("block")).distinct(), "block", "left_semi").select(
-        F.col("block").alias("qb"), F.lit(float("-inf")).alias("turn"), F.col("ids").alias("q_ids"), F.lit(None).cast(v_type).alias("v_ids"),
+    pairs = pairs.withColumn("part", F.col("qb")) if groups is None else pairs.join(F.broadcast(groups), "qb")  # MAX_BLOCKS rows at most
+    asked = queries.join(pairs.select(F.col("qb").alias("block"), "part").distinct(), "block").select(
+        "part", F.array("block").alias("qbs"), F.lit(float("-inf")).alias("turn"), F.col("ids").alias("q_ids"), F.lit(None).cast(v_type).alias("v_ids"),
         "sizes", "dims", "ws", F.lit(None).cast("array<double>").alias("envelope"), *known)
-    sent = pairs.join(index, pairs["vb"] == index["block"]).select(
-        "qb", (-F.col("bound")).alias("turn"), F.lit(None).cast(q_type).alias("q_ids"), F.col("ids").alias("v_ids"),
+    wanted = pairs.groupBy("part", "vb").agg(F.collect_list("qb").alias("qbs"), F.max("bound").alias("bound"))
+    sent = wanted.join(index, wanted["vb"] == index["block"]).select(
+        "part", "qbs", (-F.col("bound")).alias("turn"), F.lit(None).cast(q_type).alias("q_ids"), F.col("ids").alias("v_ids"),
         "sizes", "dims", "ws", "envelope", *(c.alias(n) for n, c in empty.items()))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number = None, None
+        now, part, schema = {}, None, None
 
-        def done() -> pa.RecordBatch:
-            full = np.bincount(now.row, minlength=len(now.ids)) >= k
-            floor = now.kth.min() if full.all() else (0.0 if positive_only else float("-inf"))
+        def done(number: int, block: QueryBlock) -> pa.RecordBatch:
+            full = np.bincount(block.row, minlength=len(block.ids)) >= k
+            floor = block.kth.min() if full.all() else (0.0 if positive_only else float("-inf"))
             return pa.RecordBatch.from_pydict(
-                {"block": [number], "qid": [now.ids[now.row]], "vid": [now.vid], "sim": [now.sim], "floor": [floor]}, schema=schema)
+                {"block": [number], "qid": [block.ids[block.row]], "vid": [block.vid], "sim": [block.sim], "floor": [floor]}, schema=schema)
 
-        schema = None
         for batch in batches:
-            types = (batch.schema.field(c).type for c in ("qb", "q_ids", "v_ids", "envelope", "turn"))
+            types = (batch.schema.field(c).type for c in ("part", "q_ids", "v_ids", "envelope", "turn"))
             schema = pa.schema([*zip(("block", "qid", "vid", "sim", "floor"), types, strict=True)])
             column = {c: batch.column(c) for c in batch.schema.names}
 
             def values(name: str, at: int) -> np.ndarray:
                 return column[name][at].values.to_numpy(zero_copy_only=False)
 
-            for at, qb in enumerate(column["qb"].to_pylist()):
+            for at, (group, blocks) in enumerate(zip(column["part"].to_pylist(), column["qbs"].to_pylist(), strict=True)):
+                if group != part:
+                    yield from (done(*held) for held in now.items())
+                    now, part = {}, group
                 if column["q_ids"][at].is_valid:
-                    if now is not None:
-                        yield done()
-                    number = qb
-                    now = QueryBlock(*(values(c, at) for c in ("q_ids", "sizes", "dims", "ws")), k, positive_only, exclude_same)
+                    block = QueryBlock(*(values(c, at) for c in ("q_ids", "sizes", "dims", "ws")), k, positive_only, exclude_same)
                     if column["qid"][at].is_valid and len(column["qid"][at]):
-                        now.known(*(values(c, at) for c in ("qid", "vid", "sim")))
+                        block.known(*(values(c, at) for c in ("qid", "vid", "sim")))
+                    now[blocks[0]] = block
                 else:
-                    now.meet(*(values(c, at) for c in ("v_ids", "sizes", "dims", "ws", "envelope")))
-        if now is not None:
-            yield done()
+                    met = IndexBlock(*(values(c, at) for c in ("v_ids", "sizes", "dims", "ws", "envelope")))
+                    for number in blocks:
+                        now[number].meet_block(met)
+        yield from (done(*held) for held in now.items())
 
-    # A query block is whole in one task, its index blocks after it, best bounds first.
-    dealt = asked.unionByName(sent).repartition(tasks, "qb").sortWithinPartitions("qb", "turn")
+    # A group's query blocks are whole in one task, their index blocks after them, best bounds first.
+    dealt = asked.unionByName(sent).repartition(tasks, "part").sortWithinPartitions("part", "turn")
     return dealt.mapInArrow(lists, f"block long, qid {q_type}, vid {v_type}, sim array<double>, floor double")
 
 
+def _groups(queries: DataFrame) -> tuple[DataFrame, int]:
+    """``(qb, part)`` of neighbouring query blocks, and the number of groups."""
+    numbers = [r[0] for r in queries.select("block").orderBy("block").collect()]  # MAX_BLOCKS at most
+    size = min(GROUP_BLOCKS, max(1, len(numbers) // GROUPS))
+    rows = [(qb, i // size) for i, qb in enumerate(numbers)]
+    return queries.sparkSession.createDataFrame(rows, "qb long, part long"), len({part for _, part in rows})
+
+
 def search(
     queries: DataFrame, index: DataFrame, k: int, positive_only: bool = True, exclude_same: bool = True, seeds: int = SEEDS,
 ) -> DataFrame:
@@ -294,8 +341,9 @@ def search(
     q_type, v_type = (t.schema["ids"].dataType.elementType.simpleString() for t in (queries, index))
     if not len(numbers):
         return spark.createDataFrame([], f"qid {q_type}, vid {v_type}, sim double")
-    tasks = min(MAX_TASKS, 2 * queries.count() + 1)
-    options = (tasks, k, positive_only, exclude_same)
+    groups, made = _groups(queries)
+    # Some more tasks than groups, so that few tasks get two.
+    options = (min(MAX_TASKS, 4 * made + 1), k, positive_only, exclude_same, groups)
     first = _compare(queries, index, _pairs(queries, numbers, envelopes, seeds), *options)
     found = first
     if len(numbers) > seeds:

@@ -184,3 +184,17 @@ def test_short_lists_are_sent_to_blocks_of_queries(spark, block, monkeypatch):
     found = S.top_k(vectors, vectors, 4, cells_per_pair=0)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "(qid" not in plan.split("MapInArrow", 1)[1]
+
+
+def test_groups_of_query_blocks_are_sent_an_index_block_once(spark, monkeypatch):
+    """What is sent is groups times index blocks, not the square of the blocks; lists are exact for every grouping."""
+    monkeypatch.setattr(B, "GROUPS", 3)
+    matrix = skewed(10)
+    blocks = B.packed(B.rows_of(S.cut_lineage(S.unit_vectors(long_form(spark, matrix), "id", "dim", "x"))), ids=5)
+    groups, made = B._groups(blocks)
+    pairs = B._pairs(blocks, *B._envelopes(blocks), 4)
+    assert blocks.count() >= 18 and made < 6 and groups.count() == blocks.count()
+    sent = pairs.join(groups, "qb").select("part", "vb").distinct().count()
+    assert sent <= made * blocks.count() and sent < pairs.count()
+    got = B.search(blocks, blocks, 5, seeds=4).collect()
+    assert {(r.qid, r.vid): r.sim for r in got} == pytest.approx(brute_force(matrix, 5), abs=2e-9)
