@@ -106,4 +106,7 @@ def _product(places: np.ndarray, values: np.ndarray, row: np.ndarray, n: int, fa
     if not n or not len(row):
         return np.zeros((n, factors.shape[1]))
     starts = np.searchsorted(row, np.arange(n))
-    return np.add.reduceat(values[:, None] * factors[places], starts, axis=0)
+    out = np.empty((n, factors.shape[1]))
+    for f in range(factors.shape[1]):  # one factor at a time: what is held is a number a cell, not a row of factors a cell
+        out[:, f] = np.add.reduceat(values * factors[places, f], starts)
+    return out

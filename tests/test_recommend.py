@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -7,6 +9,7 @@ from shelfwise.operators import als as L
 from shelfwise.operators import factors as M
 from shelfwise.operators import hybrid as H
 from shelfwise.operators import neighbours as N
+from shelfwise.operators import small_side
 from shelfwise.operators.content import similar_products
 
 USERS = ["u123", "u456", "u789", "u101"]
@@ -237,3 +240,14 @@ def test_shared_products_come_from_whole_profiles(spark):
     found = N.co_interaction(behavior, near)
     assert rows(found) == [("u", "v", 1), ("v", "u", 1)]
     assert "Explode" not in str(found._jdf.queryExecution()) and "array_intersect" in str(found._jdf.queryExecution())
+
+
+def test_a_factor_step_holds_a_number_a_cell():
+    """Not a row of factors a cell, which for 20 factors was more than 30 times the cells."""
+    row = np.repeat(np.arange(2000), 50)
+    places, values, factors = np.arange(len(row)) % 70, np.ones(len(row)), np.arange(1400.0).reshape(70, 20)
+    tracemalloc.start()
+    out = small_side._product(places, values, row, 2000, factors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * values.nbytes and np.allclose(out, [factors[places[row == i]].sum(0) for i in range(2000)])
