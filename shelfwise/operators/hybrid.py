@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import columns as C
 from shelfwise.operators.content import content_candidates, similar_products
-from shelfwise.operators.interactions import PAIR, enrich, exclude_seen
+from shelfwise.operators.interactions import PAIR, enrich
 from shelfwise.operators.neighbours import knn_recommend
 from shelfwise.operators.ranking import top_n
 from shelfwise.operators.skew import join_counted
@@ -28,8 +28,8 @@ SWEEP_WEIGHTS = (
 
 
 def max_normalise(scores: DataFrame, score: str) -> DataFrame:
-    """Divide by the user's largest score; 0 where that is not positive."""
-    largest = scores.groupBy("user_id").agg(F.max(score).alias("_largest"), F.count(F.lit(1)).alias("_n"))
+    """Divide by the user's largest score; 0 where that is not positive. Pass a stored table where scores are costly."""
+    largest = cut_lineage(scores.groupBy("user_id").agg(F.max(score).alias("_largest"), F.count(F.lit(1)).alias("_n")))
     share = F.when(F.col("_largest") > 0, F.col(score) / F.col("_largest")).otherwise(0.0)
     return join_counted(scores, largest, "user_id").withColumn(score, share).select(*scores.columns)
 
@@ -52,6 +52,18 @@ def merge_scores(*scores: DataFrame) -> DataFrame:
     return merged.na.fill(0.0, columns)
 
 
+def _flagged(behavior: DataFrame, cb: DataFrame, cf: DataFrame) -> DataFrame:
+    """``(user_id, product_id, cb_score, cf_score, seen)``: candidates of either source, and whether the user touched them.
+
+    Content candidates, by far the most rows, come grouped by pair; left joins by pair keep them where they are.
+    """
+    seen = behavior.select(*PAIR).distinct().withColumn("seen", F.lit(True))
+    matched = cut_lineage(cb.join(cf, PAIR, "left").join(seen, PAIR, "left"))
+    alone = cf.join(matched.where("cf_score IS NOT NULL"), PAIR, "left_anti").join(seen, PAIR, "left")
+    rows = matched.unionByName(cut_lineage(alone.withColumn("cb_score", F.lit(None).cast("double"))))
+    return rows.withColumn("seen", F.coalesce("seen", F.lit(False)))
+
+
 def hybrid_blend(
     behavior: DataFrame,
     products: DataFrame,
@@ -62,10 +74,14 @@ def hybrid_blend(
     cb_weight: float = CB_WEIGHT,
 ) -> DataFrame:
     """Normalise per source, blend, drop what the user touched, keep n, then attach products."""
-    cb, cf = cut_lineage(cb), cut_lineage(cf)  # each is read for its largest scores, too
-    merged = merge_candidates(max_normalise(cb, "cb_score"), max_normalise(cf, "cf_score"))
+    rows = _flagged(behavior, cb.select(*PAIR, "cb_score"), cut_lineage(cf.select(*PAIR, "cf_score")))
+    largest = cut_lineage(rows.groupBy("user_id").agg(
+        F.max("cb_score").alias("_cb"), F.max("cf_score").alias("_cf"), F.count(F.lit(1)).alias("_n")))
+    merged = join_counted(rows.where("NOT seen").drop("seen"), largest, "user_id").select(*PAIR, *(
+        F.when(F.col(most) > 0, F.coalesce(score, F.lit(0.0)) / F.col(most)).otherwise(0.0).alias(score)
+        for score, most in (("cb_score", "_cb"), ("cf_score", "_cf"))))
     blended = merged.withColumn("hybrid_score", cf_weight * F.col("cf_score") + cb_weight * F.col("cb_score"))
-    best = cut_lineage(top_n(exclude_seen(blended, behavior), "user_id", "hybrid_score", "product_id", n).drop("rank"))
+    best = cut_lineage(top_n(blended, "user_id", "hybrid_score", "product_id", n).drop("rank"))
     return enrich(best, products).withColumn(
         "recommendation_score", C.recommendation_score("hybrid_score", "popularity_score")
     )

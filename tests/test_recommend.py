@@ -251,3 +251,13 @@ def test_a_factor_step_holds_a_number_a_cell():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 * values.nbytes and np.allclose(out, [factors[places[row == i]].sum(0) for i in range(2000)])
+
+
+def test_blend_flags_candidates_of_either_source(spark):
+    """One stored table holds both scores and what was touched; repeated behaviour repeats no candidate."""
+    pair = "user_id string, product_id string"
+    cb = spark.createDataFrame([("u", "p", 0.5), ("u", "q", 0.25)], f"{pair}, cb_score double")
+    cf = spark.createDataFrame([("u", "q", 2.0), ("u", "r", 1.0), ("v", "p", 3.0)], f"{pair}, cf_score double")
+    touched = spark.createDataFrame([("u", "q"), ("u", "q"), ("v", "p")], pair)
+    assert rows(H._flagged(touched, cb, cf)) == [
+        ("u", "p", 0.5, None, False), ("u", "q", 0.25, 2.0, True), ("u", "r", None, 1.0, False), ("v", "p", None, 3.0, True)]
