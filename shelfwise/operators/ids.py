@@ -58,4 +58,5 @@ def ordinal_ids(df: DataFrame, order: list[str], doc_id: str = "doc_id") -> Data
     starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     number = F.col("_start") + F.col("_at") - F.shiftleft(F.col("_part"), 33)
-    return placed.join(starts, "_part").withColumn(doc_id, number).select(*df.columns, doc_id)
+    # One row per partition; without the hint whole rows are shuffled by partition.
+    return placed.join(F.broadcast(starts), "_part").withColumn(doc_id, number).select(*df.columns, doc_id)

@@ -3,9 +3,11 @@
 Documents are numbered in the order in which results are wanted (most popular first), so
 postings sorted by number are sorted by priority too. A block holds up to ``BLOCK`` postings
 of one term and field within one range of ``RANGE`` numbers: gaps between numbers, term
-frequencies, lengths and priorities, beside its highest and lowest priority and its highest
-term weight. Terms are cut by a range sort over (bucket, field, term, number), so a hot term
-spreads over as many tasks and files as its postings fill.
+frequencies (none if all are one), lengths and priorities (none if all are equal), beside its
+highest and lowest priority, the words it stands for, its greatest term frequency and its
+greatest share of a term in a text. The last two bound its term weights whatever the mean
+length will be, so texts are cut once. Blocks are cut where the documents lie and shuffled by
+bucket and ``SPREAD`` numbers: a hot term spreads over as many tasks and files as documents fill.
 
 Top lists first look at the small columns of the wanted terms' blocks, derive a bound from
 them, and read only blocks that can reach it:
@@ -20,8 +22,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,14 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.operators.ids import ordinal_ids
-from shelfwise.operators.search import K1, B, term_bucket, tokens
+from shelfwise.operators.search import K1, B, has_token, term_bucket, tokens
 
 BLOCK, RANGE, BUCKETS = 128, 4096, 64
 #: Ranges that are scored before the others are ruled out.
 SEEDS = 8
+#: Documents whose blocks of one bucket go to one task and file; blocks that a task hands to Spark at once.
+SPREAD, ROWS = 64 * RANGE, 10_000
 LOWEST = float("-inf")
 SCHEMA = ("field string, term string, bucket int, range long, first long, n int, gaps array<int>, tfs array<int>, lengths array<int>, "
-          "priorities array<double>, high double, low double, weight double")
+          "priorities array<double>, high double, low double, words long, most int, density double")
+#: Blocks as they are cut; the bucket, a folder of the stored table, follows.
+CUT = SCHEMA.replace("bucket int, ", "")
 
 
 @dataclass
@@ -61,36 +67,63 @@ class TextIndex:
         return self.spark.read.schema(self.docs_schema).parquet(f"{self.path}/docs")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings to blocks."""
-    names = ("number", "tf", "length", "priority", "weight")
-    now, held = None, []
-
-    def block() -> dict:
-        numbers, tfs, lengths, priorities, weights = zip(*held, strict=True)
-        field, term, bucket, part = now
-        return {
-            "field": field, "term": term, "range": part, "first": numbers[0], "n": len(held),
-            "gaps": [b - a for a, b in zip(numbers, numbers[1:], strict=False)], "tfs": tfs, "lengths": lengths, "priorities": priorities,
-            "high": max(priorities), "low": min(priorities), "weight": max(weights), "bucket": bucket}
-
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
-    schema = []
-    for column in SCHEMA.split(", "):
-        name, kind = column.split()
-        schema.append((name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array") else kinds[kind]))
-    for batch in batches:
-        rows, out = batch.to_pydict(), []
-        for key, *posting in zip(zip(*(rows[c] for c in ("field", "term", "bucket", "range")), strict=True), *(rows[c] for c in names), strict=True):
-            if held and (key != now or len(held) == BLOCK):
-                out.append(block())
-                held = []
-            now = key
-            held.append(posting)
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(schema))
-    if held:
-        yield pa.RecordBatch.from_pylist([block()], schema=pa.schema(schema))
+def _cut(fields: Sequence[str], span: int):
+    """Documents' words to blocks, one batch of documents at a time; a block spans at most ``span`` numbers."""
+
+    def lists(values: np.ndarray, n: np.ndarray, kind: pa.DataType, kept: np.ndarray | None = None) -> pa.ListArray:
+        if kept is not None:
+            values, n = values[np.repeat(kept, n)], np.where(kept, n, 0)
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(values, kind))
+
+    def blocks(batch: pa.RecordBatch, field: str) -> pa.RecordBatch | None:
+        docs, words = batch.num_rows, batch[field]
+        order = np.argsort(batch["number"].to_numpy())
+        numbers, priorities = batch["number"].to_numpy()[order], batch["priority"].to_numpy()[order]
+        sizes = words.value_lengths().to_numpy()
+        terms = words.flatten().dictionary_encode()
+        if not len(terms):
+            return None
+        # Equal words of a document stand together once sorted by word and place of the document.
+        keys = terms.indices.to_numpy().astype(np.int64) * docs + np.repeat(np.argsort(order), sizes)
+        keys.sort()
+        start = np.flatnonzero(np.diff(keys, prepend=-1))
+        code, at = np.divmod(keys[start], docs)
+        tfs, number = np.diff(start, append=len(keys)), numbers[at]
+        part = number // span
+        new = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        within = np.arange(len(at)) - np.repeat(new, np.diff(new, append=len(at)))
+        first = np.flatnonzero(within % BLOCK == 0)
+        n = np.diff(first, append=len(at))
+        levels, lengths = priorities[at], sizes[order][at]
+        high, low, most = np.maximum.reduceat(levels, first), np.minimum.reduceat(levels, first), np.maximum.reduceat(tfs, first)
+        columns = {
+            "field": pa.array([field]).take(pa.array(np.zeros(len(first), np.int32))), "term": terms.dictionary.take(pa.array(code[first])),
+            "range": part[first], "first": number[first], "n": n.astype(np.int32),
+            "gaps": lists(np.delete(np.diff(number, prepend=0), first), n - 1, pa.int32()), "tfs": lists(tfs, n, pa.int32(), most > 1),
+            "lengths": lists(lengths, n, pa.int32()), "priorities": lists(levels, n, pa.float64(), high > low), "high": high, "low": low,
+            "words": np.add.reduceat(tfs, first), "most": most.astype(np.int32), "density": np.maximum.reduceat(tfs / lengths, first)}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for field in fields:
+                out = blocks(batch, field)
+                for at in range(0, out.num_rows if out else 0, ROWS):
+                    yield out.slice(at, ROWS)
+
+    return cut
+
+
+def sorted_blocks(words: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``(number, priority, words of each field)`` to blocks by bucket.
+
+    Words are cut once, where the documents lie: a task sends blocks on, no words and no postings.
+    """
+    keys = ["bucket", "field", "term", "first"]
+    return (
+        words.mapInArrow(_cut(fields, RANGE), CUT).withColumn("bucket", term_bucket(F.col("term"), BUCKETS))
+        .repartition("bucket", F.floor(F.col("first") / SPREAD)).sortWithinPartitions(*keys)
+    )
 
 
 def build(df: DataFrame, fields: Mapping[str, float], path: str, order: Sequence[Column], priority: str | None = None) -> TextIndex:
@@ -102,21 +135,12 @@ def build(df: DataFrame, fields: Mapping[str, float], path: str, order: Sequence
     docs_schema = numbered.schema
     numbered = spark.read.schema(docs_schema).parquet(f"{path}/docs")
     words = numbered.select(F.col("_number").alias("number"), level.alias("priority"), *(tokens(f).alias(f) for f in fields))
-    counts = words.agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(F.size(f) > 0).alias(f"n_{f}") for f in fields), *(F.sum(F.size(f)).alias(f"len_{f}") for f in fields)).first()
+    sorted_blocks(words, list(fields)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(SCHEMA).parquet(f"{path}/postings")
+    total = {r["field"]: r["words"] for r in stored.groupBy("field").agg(F.sum("words").alias("words")).collect()}
+    counts = numbered.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(has_token(f)).alias(f"n_{f}") for f in fields)).first()
     filled = {f: counts[f"n_{f}"] for f in fields}
-    mean = {f: (counts[f"len_{f}"] or 0) / filled[f] if filled[f] else 1.0 for f in fields}
-    each = [
-        words.select(F.lit(f).alias("field"), "number", "priority", F.size(f).alias("length"), F.explode(f).alias("term")) for f in fields]
-    found = reduce(DataFrame.unionByName, each).groupBy("field", "number", "priority", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    mean_of = F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(mean[f]))))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_of[F.col("field")]))
-    keys = ["bucket", "field", "term", "number"]
-    sorted_postings = (
-        found.withColumn("bucket", term_bucket(F.col("term"), BUCKETS)).withColumn("range", F.floor(F.col("number") / RANGE))
-        .withColumn("weight", weight).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    )
-    sorted_postings.mapInArrow(_cut, SCHEMA).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    mean = {f: total.get(f, 0) / filled[f] if filled[f] else 1.0 for f in fields}
     return TextIndex(spark, path, dict(fields), counts["n"], mean, filled, docs_schema)
 
 
@@ -125,7 +149,9 @@ def _postings(blocks: DataFrame) -> DataFrame:
     # Gaps to numbers: each is the last one so far plus its gap.
     numbers = F.aggregate("gaps", F.array("first"), lambda a, gap: F.concat(a, F.array(F.element_at(a, -1) + gap)))
     zipped = F.arrays_zip(numbers.alias("number"), F.col("tfs"), F.col("lengths"), F.col("priorities"))
-    return blocks.select("field", "term", F.inline(zipped)).toDF("field", "term", "number", "tf", "length", "priority")
+    rows = blocks.select("field", "term", "high", F.inline(zipped)).toDF("field", "term", "high", "number", "tf", "length", "priority")
+    return rows.select(
+        "field", "term", "number", F.coalesce("tf", F.lit(1)).alias("tf"), "length", F.coalesce("priority", "high").alias("priority"))
 
 
 def _idf(index: TextIndex, terms: Sequence[str], frequencies: DataFrame) -> dict[tuple[str, str], float]:
@@ -191,7 +217,10 @@ def wanted_by_relevance(index: TextIndex, terms: Sequence[str], size: int, seeds
     if not idf:
         return blocks, idf, blocks
     facts = F.create_map(*(x for (field, term), v in idf.items() for x in (F.lit(f"{field}\n{term}"), F.lit(v * index.fields[field]))))
-    most = blocks.groupBy("range", "field", "term").agg(F.max("weight").alias("w")).withColumn("w", F.col("w") * facts[F.concat_ws("\n", "field", "term")])
+    means = F.create_map(*(x for f in index.fields for x in (F.lit(f), F.lit(index.mean_length[f]))))
+    # A weight grows with the frequency and with the share of the text, so their maxima bound it; of one posting it is the weight.
+    weight = (K1 + 1) / (1 + K1 * (1 - B) / F.col("most") + K1 * B / (means[F.col("field")] * F.col("density")))
+    most = blocks.groupBy("range", "field", "term").agg(F.max(weight).alias("w")).withColumn("w", F.col("w") * facts[F.concat_ws("\n", "field", "term")])
     # A document's score is that of one field; margins cover the order of sums.
     bounds = most.groupBy("range", "field").agg(F.sum("w").alias("s")).groupBy("range").agg((F.max("s") * (1 + 1e-9) + 1e-9).alias("bound"))
     first = [r[0] for r in bounds.orderBy(F.desc("bound"), "range").limit(seeds).collect()]

@@ -13,13 +13,18 @@ from shelfwise.operators.text import spread_texts
 # BM25 parameters and the boosts of the searched fields.
 K1, B = 1.2, 0.75
 PRODUCT_FIELDS = {"name": 3.0, "location": 1.0}
-NOT_WORD = r"[^\p{L}\p{N}]+"
+NOT_WORD, WORD_CHARACTER = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]"
 
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+
+
+def has_token(text: str) -> Column:
+    """Whether a text has any token; it is read up to the first."""
+    return F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(WORD_CHARACTER)
 
 
 def query_terms(df: DataFrame, text: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import postings as O
 from shelfwise.operators import search as S
+from shelfwise.operators.ids import ordinal_ids
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +83,27 @@ def test_no_documents_are_scanned(index, capsys):
 def test_empty_table(spark, shop, tmp_path):
     index = O.build(shop.limit(0), S.PRODUCT_FIELDS, str(tmp_path), [F.col("product_id")], "popularity_score")
     assert O.top_by_priority(index, ["w3"]).count() == 0 and O.top_by_relevance(index, ["w3"]).count() == 0
+
+
+def test_blocks_are_cut_where_the_documents_lie(spark):
+    """No row per word or posting is shuffled; blocks of unsorted documents hold every word, in every range, once."""
+    rng = np.random.default_rng(3)
+    data = [(int(k), float(k % 3), ["hot"] * int(rng.integers(0, 3)) + [f"w{w}" for w in rng.integers(0, 9, rng.integers(0, 4))], ["same"]) for k in rng.permutation(9000)]
+    words = spark.createDataFrame(data, "number long, priority double, name array<string>, place array<string>").coalesce(2)
+    blocks = O.sorted_blocks(words, ["name", "place"])
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Explode" not in plan and "rangepartitioning" not in plan
+    expected = {(f, w, k): (ws.count(w), len(ws), p) for k, p, *both in data for f, ws in zip(("name", "place"), both) for w in ws}
+    found = O._postings(blocks).collect()
+    assert len(found) == len(expected) and {tuple(r[:3]): tuple(r[3:]) for r in found} == expected
+    for b in blocks.collect():
+        held = [expected[b["field"], b["term"], k] for k in np.cumsum([b["first"], *b["gaps"]])]
+        assert b["n"] == len(held) <= O.BLOCK and {int(k) // O.RANGE for k in np.cumsum([b["first"], *b["gaps"]])} == {b["range"]}
+        assert b["words"] == sum(tf for tf, _, _ in held) and b["most"] == max(tf for tf, _, _ in held)
+        assert b["density"] == max(tf / length for tf, length, _ in held) and (b["low"], b["high"]) == (min(p for *_, p in held), max(p for *_, p in held))
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """Only the range sort moves whole rows; the starts of its partitions are sent along."""
+    plan = ordinal_ids(spark.range(100).withColumn("text", F.lit("t")), [F.col("id")], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
