@@ -19,6 +19,8 @@ from shelfwise.session import cut_lineage
 # Model settings.
 RANK, ITERATIONS, REGULARISATION, ALPHA, SEED = 10, 10, 0.1, 1.0, 42
 TRAIN_PERCENT = 80
+#: Least and most blocks of items, and the ratings that fill one.
+ITEM_BLOCKS, BLOCK_RATINGS = (2, 10), 20_000_000
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], percent: int = TRAIN_PERCENT, seed: int = SEED):
@@ -41,16 +43,28 @@ def indexed(behavior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ratings, users, items
 
 
-def als(rank: int = RANK, iterations: int = ITERATIONS, regularisation: float = REGULARISATION) -> ALS:
+def item_blocks(ratings: DataFrame) -> int:
+    """As few blocks of items as their ratings allow.
+
+    Each step sends the factors of a user to every block with one of the user's items, so to all blocks where users touch
+    many items. A fit starts from the users' factors, whose blocks stay: its numbers do not depend on this.
+    """
+    least, most = ITEM_BLOCKS
+    return min(most, max(least, -(-ratings.count() // BLOCK_RATINGS)))
+
+
+def als(
+    rank: int = RANK, iterations: int = ITERATIONS, regularisation: float = REGULARISATION, blocks: int = ITEM_BLOCKS[1]
+) -> ALS:
     return ALS(
-        rank=rank, maxIter=iterations, regParam=regularisation, alpha=ALPHA, implicitPrefs=True,
+        rank=rank, maxIter=iterations, regParam=regularisation, alpha=ALPHA, implicitPrefs=True, numItemBlocks=blocks,
         userCol="user_index", itemCol="item_index", ratingCol="rating",
         coldStartStrategy="drop", seed=SEED, checkpointInterval=5,
     )
 
 
 def als_fit(ratings: DataFrame, **settings) -> ALSModel:
-    return als(**settings).fit(ratings)
+    return als(blocks=item_blocks(ratings), **settings).fit(ratings)
 
 
 def als_rmse(model: ALSModel, test: DataFrame) -> DataFrame:
@@ -91,7 +105,7 @@ def mf_sweep(
     parallelism: int = 6,
 ) -> TrainValidationSplitModel:
     """Fit the grid on 80 % and compare the settings on the rest; ``validationMetrics`` holds the errors."""
-    model = als()
+    model = als(blocks=item_blocks(ratings))
     grid = (
         ParamGridBuilder()
         .addGrid(model.rank, list(ranks))

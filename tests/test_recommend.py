@@ -261,3 +261,22 @@ def test_blend_flags_candidates_of_either_source(spark):
     touched = spark.createDataFrame([("u", "q"), ("u", "q"), ("v", "p")], pair)
     assert rows(H._flagged(touched, cb, cf)) == [
         ("u", "p", 0.5, None, False), ("u", "q", 0.25, 2.0, True), ("u", "r", None, 1.0, False), ("v", "p", None, 3.0, True)]
+
+
+def test_factors_go_to_few_item_blocks(spark, monkeypatch):
+    """A user with items everywhere is sent to each block; their number follows the ratings and changes no factor."""
+    rng = np.random.default_rng(5)
+    data = [(i, j, float(rng.integers(1, 6))) for i in range(60) for j in range(40) if rng.random() < 0.5]
+    ratings = spark.createDataFrame(data, "user_index int, item_index int, rating float").repartition(3).cache()
+    few = L.als_fit(ratings, iterations=4)
+    assert few._java_obj.itemFactors().rdd().getNumPartitions() == 2
+    swept = L.mf_sweep(ratings, ranks=(2,), iterations=(2,))
+    assert swept.bestModel._java_obj.itemFactors().rdd().getNumPartitions() == 2
+    monkeypatch.setattr(L, "BLOCK_RATINGS", 200)
+    assert L.item_blocks(ratings) == -(-len(data) // 200) and L.item_blocks(ratings.limit(0)) == 2
+    monkeypatch.setattr(L, "BLOCK_RATINGS", 1)
+    many = L.als_fit(ratings, iterations=4)
+    assert many._java_obj.itemFactors().rdd().getNumPartitions() == 10
+    for side in ("userFactors", "itemFactors"):
+        a, b = (np.array([r.features for r in getattr(m, side).orderBy("id").collect()]) for m in (few, many))
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-4)
