@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.interactions import PAIR, exclude_seen
 from shelfwise.operators.ranking import top_n
+from shelfwise.operators.shared import shared_dims
 from shelfwise.operators.similarity import SHORT_LIST, profile_classes, top_k_of_classes, unit_vectors
 from shelfwise.session import cut_lineage
 
@@ -31,8 +32,12 @@ def user_similarity(behavior: DataFrame, k: int = NEIGHBOURS, short_list: int =
     return top_n(named, "user_id", "similarity", "neighbour_id", k)
 
 
-def co_interaction(behavior: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Products shared by a user and each of its neighbours."""
+def co_interaction(behavior: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """Products shared by a user and each of its neighbours; without neighbours, by all users that share any."""
+    if neighbours is None:
+        positive = behavior.where("interaction_score > 0").select(F.col("user_id").alias("id"), F.col("product_id").alias("dim"))
+        names = (F.col("id").alias("user_id"), F.col("other").alias("neighbour_id"), F.col("shared").alias("shared_products"))
+        return shared_dims(positive.distinct()).select(*names)
     profiles = behavior.where("interaction_score > 0").groupBy("user_id").agg(F.collect_set("product_id").alias("products"))
     mine = profiles.withColumnRenamed("products", "mine")
     both = neighbours.select("user_id", "neighbour_id").join(profiles.withColumnRenamed("user_id", "neighbour_id"), "neighbour_id").join(mine, "user_id")

@@ -68,10 +68,9 @@ def _(spark, sf):
 SELECT n.user_id, n.neighbour_id, count(*) AS shared_products
 FROM all_ranked n JOIN all_pos a ON a.user_id = n.user_id
 JOIN all_pos b ON b.user_id = n.neighbour_id AND b.product_id = a.product_id
-WHERE rank <= 10 GROUP BY 1, 2""", ("all_ranked",))
+GROUP BY 1, 2""", ("all_ranked",))
 def _(spark, sf):
-    b = cut_lineage(behavior(spark, sf))
-    return N.co_interaction(b, N.user_similarity(b))
+    return N.co_interaction(cut_lineage(behavior(spark, sf)))
 
 
 @query("knn_recommend", """

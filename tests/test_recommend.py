@@ -11,6 +11,7 @@ from shelfwise.operators import hybrid as H
 from shelfwise.operators import neighbours as N
 from shelfwise.operators import small_side
 from shelfwise.operators.content import similar_products
+from shelfwise.operators.shared import shared_dims
 
 USERS = ["u123", "u456", "u789", "u101"]
 ITEMS = ["A", "B", "C", "D", "E"]
@@ -280,3 +281,27 @@ def test_factors_go_to_few_item_blocks(spark, monkeypatch):
     for side in ("userFactors", "itemFactors"):
         a, b = (np.array([r.features for r in getattr(m, side).orderBy("id").collect()]) for m in (few, many))
         assert a.shape == b.shape and np.allclose(a, b, atol=1e-4)
+
+
+def test_all_users_that_share_a_product_are_counted(spark):
+    """Not the nearest ten: a user in the middle of a crowd shares products with everybody."""
+    rng = np.random.default_rng(3)
+    data = [(i, j, float(rng.integers(-1, 3))) for i in range(45) for j in range(12) if rng.random() < 0.4]
+    data += [(900, j, 1.0) for j in range(60)] + [(901, 70, 1.0), (902, 70, 0.0)]
+    behavior = spark.createDataFrame(data, "user_id long, product_id long, interaction_score double").repartition(3)
+    liked = {}
+    for i, j, x in data:
+        liked.setdefault(i, set()).update([j] if x > 0 else [])
+    expected = sorted(((u, v, len(liked[u] & liked[v])) for u in liked for v in liked if u != v and liked[u] & liked[v]), key=str)
+    assert sum(u == 900 for u, _, _ in expected) > 40
+    assert rows(N.co_interaction(behavior)) == expected
+    entries = behavior.where("interaction_score > 0").selectExpr("user_id AS id", "product_id AS dim")
+    for options in ({"ids": 4}, {"entries": 9}, {"ids": 7, "heavy": 20}, {"cells_per_pair": 0.0}):
+        assert rows(shared_dims(entries, **options)) == expected, options
+    named = behavior.selectExpr("'u' || user_id AS user_id", "'p' || product_id AS product_id", "interaction_score")
+    assert rows(N.co_interaction(named)) == sorted(((f"u{u}", f"u{v}", n) for u, v, n in expected), key=str)
+
+
+def test_nobody_shares_anything(spark):
+    behavior = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "user_id long, product_id long, interaction_score double")
+    assert N.co_interaction(behavior).count() == 0 and N.co_interaction(behavior.limit(0)).count() == 0
