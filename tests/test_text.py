@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from shelfwise.operators import search as S
 from shelfwise.operators import text as X
@@ -106,3 +107,21 @@ def test_terms_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
     parts = counted()
     assert parts[0] > 30 and whole[0] == 1
     assert parts[1:] == whole[1:]
+
+
+def test_tfidf_sends_a_term_once_a_block_and_stores_no_counts(spark, monkeypatch):
+    """Texts are shuffled whole; what a block sends and gets back has a row a term, not a row a text and term."""
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 30))) for i in range(60)] + [(77, None), (78, "")], "doc long, text string").repartition(3)
+    texts = {r.doc: r.text or "" for r in docs.collect()}
+    for chars in (4_000_000, 900, 40):
+        monkeypatch.setattr(X, "TASK_CHARS", chars)
+        vectors = tfidf(docs, "doc", "text", stop_words=[])
+        plan = vectors._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in plan.split("Union")[0] and "Exchange hashpartitioning" not in plan.split("Union")[0] and "SortMergeJoin" not in plan
+        got = {(r.id, r.dim): r.w for r in vectors.collect()}
+        assert got == pytest.approx(expected_tfidf(texts, set(), None))
+    labels = {r.slot: r.block for r in X.block_labels(spark, 300).collect()}
+    assert len(labels) == 300
+    of = spark.createDataFrame([(b,) for b in labels.values()], "block long").repartition(300, "block")
+    assert of.select(F.spark_partition_id()).distinct().count() == 300
