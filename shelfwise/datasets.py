@@ -134,20 +134,23 @@ def reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
     total = load(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     comments = comment_sizes(spark, sf_dir, texts)
-    return (
-        load(spark, sf_dir, "lineitem")
+    # Text ids are made after the joins: numbers are smaller to shuffle.
+    sold = (
+        load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", _stars().alias("rating"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("doc_id", F.col("l_orderkey") % total)
+    )
+    return (
+        sold.join(comments.hint("merge") if texts else comments, "doc_id")
         .select(
             F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("review_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("o_custkey").cast("string").alias("username"),
-            _stars().alias("rating"),
+            "rating",
             F.col("l_shipdate").alias("time"),
-            (F.col("l_orderkey") % total).alias("doc_id"),
+            C.sentiment_score("rating").alias("sentiment_score"),
+            *[c for c in comments.columns if c != "doc_id"],
         )
-        .withColumn("sentiment_score", C.sentiment_score("rating"))
-        .join(comments.hint("merge") if texts else comments, "doc_id")
-        .drop("doc_id")
     )
 
 

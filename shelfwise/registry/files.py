@@ -39,12 +39,7 @@ def raw_json(spark, sf, data_type: str) -> DataFrame:
 
 
 def written(spark, sf, data_type: str) -> str:
-    path = scratch_path(spark, f"raw-{data_type}")
-    rows = raw_json(spark, sf, data_type)
-    if data_type == "reviews":  # every row carries its whole comment, and many rows the same one
-        return files.write_raw(rows, path)
-    rows.write.json(path)
-    return path
+    return files.write_raw(raw_json(spark, sf, data_type), scratch_path(spark, f"raw-{data_type}"))
 
 
 def json_arrays(df: DataFrame, path: str) -> str:

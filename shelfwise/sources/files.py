@@ -16,6 +16,8 @@ ZONES = ("raw", "processed", "products", "reviews", "user_behavior")
 FORMATS = ("json", "csv", "parquet")
 #: Rows of a raw file: gzip files are read by one task each.
 RAW_ROWS = 50_000
+#: Distinct values of a column that a part of a processed table keeps once; many reviews share a long comment.
+DICTIONARY_BYTES = 16 << 20
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -73,7 +75,8 @@ def write_run(df: DataFrame, base: str, table: str, run_ts: str, processed_date:
     elif isinstance(processed_date, str):
         processed_date = F.lit(processed_date)
     path = f"{base}/{table}"
-    df.withColumn("processed_date", processed_date).write.mode("overwrite").parquet(f"{path}/run_ts={run_ts}")
+    writer = df.withColumn("processed_date", processed_date).write.mode("overwrite").option("compression", "zstd")
+    writer.option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(f"{path}/run_ts={run_ts}")
     return path
 
 

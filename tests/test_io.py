@@ -287,3 +287,23 @@ def test_raw_reviews_store_a_shared_comment_about_once(spark, tmp_path):
     assert {r.comment for r in found.select("comment").distinct().collect()} == set(texts)
     stored = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).iterdir())
     assert stored < 4000 * 2000 / 20
+
+
+def test_processed_reviews_store_a_shared_comment_about_once(spark, tmp_path):
+    """More distinct comments than a small dictionary holds, each in many rows; raw tables are compressed."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6000)) for _ in range(500)]
+    comments = spark.createDataFrame(list(enumerate(texts)), "n int, comment string").repartition(1)
+    rows_of = comments.selectExpr("n", "comment", "explode(sequence(1, 25)) AS copy")
+    files.write_run(rows_of, str(tmp_path), "reviews", "20240131", "2024-01-31")
+    found = files.scan_processed(spark, str(tmp_path), "reviews")
+    assert found.groupBy("comment").count().select("count").distinct().collect() == [(25,)] and found.count() == 12500
+    stored = sum(f.stat().st_size for f in (tmp_path / "reviews").rglob("*.parquet"))
+    assert stored < 500 * 6000
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="test tables are not here")
+def test_all_raw_tables_are_compressed(spark):
+    for data_type in ("products", "user_behavior"):
+        path = Path(written(spark, "/root/testdata/sf0.001", data_type).removeprefix("file:"))
+        assert {f.suffix for f in path.glob("part-*")} == {".gz"}
