@@ -20,15 +20,15 @@ from shelfwise.session import scratch_path
 from shelfwise.sources import files, messages, tables
 
 
-def raw_json(spark, sf, data_type: str) -> DataFrame:
-    """Rows of a raw table as the collectors leave them: text ids and times."""
+def raw_json(spark, sf, data_type: str, **of_length) -> DataFrame:
+    """Rows of a raw table as the collectors leave them: text ids and times. ``of_length`` chooses reviews as ``datasets.reviews`` does."""
     def text(column: str):
         return F.col(column).cast("string").alias(column)
 
     if data_type == "products":
         return D.raw_products(spark, sf).withColumn("product_id", text("product_id"))
     if data_type == "reviews":
-        return D.reviews(spark, sf, texts=True).select(
+        return D.reviews(spark, sf, texts=True, **of_length).select(
             "review_id", text("product_id"), "username", "rating", "comment",
             F.date_format("time", "yyyy-MM-dd").alias("time"),
         )
@@ -39,7 +39,12 @@ def raw_json(spark, sf, data_type: str) -> DataFrame:
 
 
 def written(spark, sf, data_type: str) -> str:
-    return files.write_raw(raw_json(spark, sf, data_type), scratch_path(spark, f"raw-{data_type}"))
+    path = scratch_path(spark, f"raw-{data_type}")
+    if data_type != "reviews":
+        return files.write_raw(raw_json(spark, sf, data_type), path)
+    # Every row carries its whole comment, and many rows the same one.
+    files.write_raw(raw_json(spark, sf, data_type, up_to=files.GZIP_REACH), path)
+    return files.write_raw(raw_json(spark, sf, data_type, longer_than=files.GZIP_REACH), path, "lz4")
 
 
 def json_arrays(df: DataFrame, path: str) -> str:

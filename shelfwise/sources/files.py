@@ -14,8 +14,10 @@ from shelfwise.schemas import RAW, with_corrupt
 PROCESSED = ("products", "reviews", "user_behavior", "recommendations")
 ZONES = ("raw", "processed", "products", "reviews", "user_behavior")
 FORMATS = ("json", "csv", "parquet")
-#: Rows of a raw file: gzip files are read by one task each.
+#: Rows of a raw file: compressed files are read by one task each.
 RAW_ROWS = 50_000
+#: Bytes of a text that gzip, which looks back 32 KB, can find again in the next row.
+GZIP_REACH = 30_000
 #: Distinct values of a column that a part of a processed table keeps once; many reviews share a long comment.
 DICTIONARY_BYTES = 16 << 20
 
@@ -49,10 +51,13 @@ def scan_raw(spark: SparkSession, data_type: str, *paths: str) -> DataFrame:
     raise FileNotFoundError(f"none of {paths} exists")
 
 
-def write_raw(df: DataFrame, path: str) -> str:
-    """JSON lines as gzip files of bounded length, rows in the order they come in: a long text that
-    neighbouring rows share is stored about once a file."""
-    df.write.option("maxRecordsPerFile", RAW_ROWS).option("compression", "gzip").json(path)
+def write_raw(df: DataFrame, path: str, codec: str = "gzip") -> str:
+    """JSON lines as compressed files of bounded length, rows in the order they come in: a long text that
+    neighbouring rows share is stored about once a file. Files are added to those of the folder.
+
+    gzip does so with texts of up to ``GZIP_REACH`` bytes; for longer ones lz4 reaches twice as far.
+    """
+    df.write.mode("append").option("maxRecordsPerFile", RAW_ROWS).option("compression", codec).json(path)
     return path
 
 

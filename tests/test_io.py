@@ -307,3 +307,20 @@ def test_all_raw_tables_are_compressed(spark):
     for data_type in ("products", "user_behavior"):
         path = Path(written(spark, "/root/testdata/sf0.001", data_type).removeprefix("file:"))
         assert {f.suffix for f in path.glob("part-*")} == {".gz"}
+
+
+def test_raw_reviews_with_comments_beyond_the_reach_of_gzip(spark, tmp_path):
+    """A comment of 40 KB is not stored with every review; null and short comments stay beside it."""
+    rng = np.random.default_rng(4)
+    data = tmp_path / "sf"
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in (40_000, 40_000, 300)] + [None, "", "é" * 15_001]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{data}/documents.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{data}/orders.parquet")
+    spark.range(300).selectExpr(
+        "id AS l_orderkey", "id % 9 AS l_partkey", "1 AS l_linenumber", "CAST(id % 50 AS double) AS l_quantity",
+        "timestamp_ntz'2024-01-01 00:00:00' AS l_shipdate").write.parquet(f"{data}/lineitem.parquet")
+    path = written(spark, str(data), "reviews")
+    found = files.scan_raw_reviews(spark, path)
+    assert {r.comment: r["count"] for r in found.groupBy("comment").count().collect()} == dict.fromkeys(texts, 50)
+    stored = sum(f.stat().st_size for f in Path(path.removeprefix("file:")).iterdir())
+    assert stored < 100 * 40_000 / 3
